@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import GBTClassificationModel, LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetwatch.models.prep import FEATURES
@@ -77,7 +77,7 @@ def tree_paths(model: GBTClassificationModel, spark) -> list[dict]:
         "nodeData.leftChild",
         "nodeData.rightChild",
         F.col("nodeData.split.featureIndex").alias("feature"),
-        F.col("nodeData.split.leftCategoriesOrThreshold")[0].alias("threshold"),
+        F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"),
     )
     nodes = {(r["treeID"], r["id"]): r for r in table.collect()}
     leaves = []
@@ -177,7 +177,7 @@ def explanation_sample(df: DataFrame, modulus: int = 500) -> DataFrame:
     return sample_rows(df, modulus)
 
 
-def _named(names: list[str]) -> F.Column:
+def _named(names: list[str]) -> Column:
     return F.array(*[F.lit(n) for n in names])
 
 

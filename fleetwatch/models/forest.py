@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetwatch.models.prep import FEATURES
@@ -46,7 +46,7 @@ class Forest:
     rows_per_tree: int
 
 
-def _share(*parts) -> F.Column:
+def _share(*parts) -> Column:
     """Hash of a row as a number in [0, 1)."""
     return F.pmod(F.xxhash64(*parts), F.lit(HASH_STEPS)) / F.lit(float(HASH_STEPS))
 
@@ -89,6 +89,8 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
             continue
         feature = int(rng.choice(varying))
         threshold = float(rng.uniform(low[feature], high[feature]))
+        # Rounding may give the upper end itself, which would leave the right side empty.
+        threshold = min(threshold, float(np.nextafter(high[feature], -np.inf)))
         nodes.append([node, feature, threshold, -1, -1, 0.0])
         goes_left = x[rows, feature] <= threshold
         open_nodes.append((rows[~goes_left], depth + 1, node, 4))

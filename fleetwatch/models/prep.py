@@ -55,9 +55,8 @@ def prep_pipeline(
                 handleInvalid="keep",
                 stringOrderType="alphabetAsc",
             ),
-            OneHotEncoder(
-                inputCols=[f"{c}__index"], outputCols=[f"{c}__onehot"], dropLast=True, handleInvalid="keep"
-            ),
+            # The indexer gives unknown text the last index, and the last place is dropped: all zeros.
+            OneHotEncoder(inputCols=[f"{c}__index"], outputCols=[f"{c}__onehot"], dropLast=True),
         ]
         parts.append(f"{c}__onehot")
     stages.append(VectorAssembler(inputCols=parts, outputCol=FEATURES))

@@ -73,12 +73,17 @@ def fit_boosted(
         seed=seed,
         **chosen,
     )
+    # Without column metadata every place of the vector is split as a number, one-hot places too.
+    prepared = prepared.withMetadata(FEATURES, {})
     if validation is None:
         return learner.fit(prepared)
     columns = [FEATURES, LABEL, weight]
     held_out = validation.withColumn(weight, F.lit(1.0)).select(*columns, F.lit(True).alias("held_out"))
     rows = prepared.select(*columns, F.lit(False).alias("held_out")).unionByName(held_out)
-    return learner.setValidationIndicatorCol("held_out").setValidationTol(0.0).fit(rows)
+    rows = rows.withMetadata(FEATURES, {})
+    learner.setValidationIndicatorCol("held_out")
+    learner.set(learner.validationTol, 0.0)
+    return learner.fit(rows)
 
 
 def _probability(df: DataFrame, model, name: str) -> DataFrame:

@@ -21,6 +21,7 @@ def build_session(cores: str = "*", app: str = "fleetwatch", **extra: str) -> Sp
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.driver.memory": "8g",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         **extra,
     }
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
