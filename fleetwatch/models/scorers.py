@@ -94,8 +94,11 @@ def _probability(df: DataFrame, model, name: str) -> DataFrame:
     return scored.withColumn(f"risk_{name}", vector_to_array(out["p"])[1]).drop(*out.values())
 
 
-def score_holdout(prepared: DataFrame, models: dict) -> DataFrame:
-    """``risk_<name>`` per model, and the sector-count rule where its two counters exist."""
+def score_holdout(prepared: DataFrame, models: dict, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``risk_<name>`` per model, and the sector-count rule where its two counters exist.
+
+    ``keep`` names further columns to carry along.
+    """
     scored = prepared
     for name, model in models.items():
         scored = _probability(scored, model, name)
@@ -103,4 +106,4 @@ def score_holdout(prepared: DataFrame, models: dict) -> DataFrame:
         rule = rule_score(F.col("smart_5_raw_num"), F.col("smart_197_raw_num"))
         scored = scored.withColumn(f"risk_{RULE}", rule)
     keys = ["obs_date", "serial_number", "model", "failure_date", LABEL]
-    return scored.select(*keys, *[c for c in scored.columns if c.startswith("risk_")])
+    return scored.select(*keys, *[c for c in scored.columns if c.startswith("risk_")], *keep)

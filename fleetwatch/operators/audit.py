@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetwatch.functions.scores import differs, is_close, off_by_more
-from fleetwatch.operators.joins import collapse_copies, match_predictions
+from fleetwatch.functions.scores import is_close, off_by_more
+from fleetwatch.operators.joins import match_predictions
 from fleetwatch.operators.labels import ENTITY, LABEL, STATUS, label_counts
 from fleetwatch.operators.sampling import sample_rows
 from fleetwatch.sources.tables import schema_rows
@@ -62,43 +62,26 @@ def audit_schema(a: DataFrame, b: DataFrame) -> DataFrame:
 def audit_values(a: DataFrame, b: DataFrame, modulus: int = 100) -> DataFrame:
     """Differences per column on a hash sample of entity-days, provenance excluded.
 
-    Also the sizes of both samples and of their overlap, which must be equal and not 0. Equal rows are
-    collapsed first and weigh as many pairs as they stand for.
+    Also the sizes of both samples and of their overlap, which must be equal and not 0. Equal copies
+    are one row in the join and weigh as many pairs as they stand for.
     """
-    keys = ["obs_date", ENTITY]
-    compared = [c for c in a.columns if c not in (*keys, PROVENANCE)]
-    left = collapse_copies(sample_rows(a, modulus), [*keys, *compared])
-    right = collapse_copies(sample_rows(b, modulus), [*keys, *compared])
-    other = right.withColumnsRenamed({c: f"other_{c}" for c in [*compared, "copies"]})
-    pairs = left.join(other, keys)
-    weight = F.col("copies") * F.col("other_copies")
-
-    def total(condition: Column) -> Column:
-        return F.coalesce(F.sum(F.when(condition, weight)), F.lit(0))
-
-    counted = pairs.agg(
-        total(F.lit(True)).alias("matched"),
-        *[total(differs(F.col(c), F.col(f"other_{c}"))).alias(f"d_{c}") for c in compared],
-    )
-    sizes = left.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n"), F.lit("left").alias("item")).unionByName(
-        right.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n"), F.lit("right").alias("item"))
-    )
-    stacked = ", ".join(f"'{c}', d_{c}" for c in compared)
-    per_column = counted.selectExpr("matched", f"stack({len(compared)}, {stacked}) as (item, n)")
-    one = counted.select(F.lit("matched").alias("item"), F.col("matched").alias("n"))
-    size_rows = sizes.select("item", "n").unionByName(one.select("item", "n"))
-    agreed = size_rows.agg(
-        F.max(F.when(F.col("item") == "left", F.col("n"))).alias("l"),
-        F.max(F.when(F.col("item") == "right", F.col("n"))).alias("r"),
-        F.max(F.when(F.col("item") == "matched", F.col("n"))).alias("m"),
-    )
-    l, r, m = F.col("l"), F.col("r"), F.col("m")
-    name = "feature_values_sample"
-    return _check(
-        agreed, name, F.lit("sample rows"), l, r, (l > 0) & (l == r) & (l == m)
-    ).unionByName(
-        _check(per_column, name, F.col("item"), F.lit(0), F.col("n"), F.col("n") == 0)
+    compared = [c for c in a.columns if c not in ("obs_date", ENTITY, PROVENANCE)]
+    pairs = match_predictions(sample_rows(a, modulus), sample_rows(b, modulus), compared)
+    weight = "if(a_copies is null or b_copies is null, 0, a_copies * b_copies)"
+    # Spelled as SQL: a wide table has many of these, and text is cheaper to build than columns.
+    one = pairs.selectExpr(
+        "coalesce(sum(a_copies), 0) as l",
+        "coalesce(sum(b_copies), 0) as r",
+        f"coalesce(sum({weight}), 0) as m",
+        *[
+            f"coalesce(sum(if(`a_{c}` is distinct from `b_{c}`, {weight}, 0)), 0) as d_{i}"
+            for i, c in enumerate(compared)
+        ],
     )
+    items = ["'sample rows', l, r, l > 0 and l = r and l = m"]
+    items += [f"'{c}', 0L, d_{i}, d_{i} = 0" for i, c in enumerate(compared)]
+    rows = one.selectExpr(f"stack({len(items)}, {', '.join(items)}) as (item, left, right, ok)")
+    return _check(rows, "feature_values_sample", *[F.col(c) for c in ("item", "left", "right", "ok")])
 
 
 def compare_predictions(
@@ -115,9 +98,7 @@ def compare_predictions(
     off = reduce(
         lambda x, y: x | y, [off_by_more(F.col(f"a_{s}"), F.col(f"b_{s}"), tolerance) for s in scores]
     )
-    # One key may have several distinct rows on a side and then meets each row of the other side; the
-    # row counts of the sides come from the tables, not from the pairs.
-    counted = pairs.agg(
+    return pairs.agg(
         total(F.col("b_copies").isNull(), F.col("a_copies")).alias("missing_keys"),
         total(F.col("a_copies").isNull(), F.col("b_copies")).alias("extra_keys"),
         total(both, weight).alias("matched_rows"),
@@ -128,7 +109,6 @@ def compare_predictions(
             for s in scores
         ],
     )
-    return counted
 
 
 def audit_predictions(

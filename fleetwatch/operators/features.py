@@ -275,21 +275,27 @@ def window_features(
     return plain.unionByName(hot_history_features(hot, attrs, days, limits=limits))
 
 
-def join_labels(features: DataFrame, labeled: DataFrame, repeat_duplicates: bool = False) -> DataFrame:
+def join_labels(
+    features: DataFrame,
+    labeled: DataFrame,
+    repeat_duplicates: bool = False,
+    limits: Limits = DEFAULT_LIMITS,
+) -> DataFrame:
     """Feature rows with the label of the same (date text, entity); rows without a label drop out.
 
     The label of a key is the same in all its copies, so one copy is joined and each feature row stays
     one row. ``repeat_duplicates`` repeats it once per label copy, as a plain inner join would.
     """
-    keys = ["date", ENTITY]
-    one_per_key = labeled.groupBy(*keys).agg(
-        *[F.first(c).alias(c) for c in ("failure_date", LABEL, STATUS)],
-        F.count(F.lit(1)).alias("copies"),
+    keys, tail = ["date", ENTITY], ["failure_date", LABEL, STATUS]
+    copies = F.count(F.lit(1))
+    # A key's label is the same in every copy, so grouping by it as well gives one row per key.
+    per_key = cut(
+        labeled.groupBy(*keys, *tail).agg(copies.alias(SIZE), copies.alias("copies")), "labels_by_key"
     )
-    joined = features.join(one_per_key, keys)
+    joined = join_lookup(features, per_key, keys, limits=limits)
     if repeat_duplicates:
         joined = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copy")
-    return joined.select(*features.columns, "failure_date", LABEL, STATUS)
+    return joined.select(*features.columns, *tail)
 
 
 def build_features(
@@ -316,7 +322,7 @@ def build_features(
     columns = _feature_columns(kept, WINDOW_DAYS)
     if labeled is not None:
         labels = eligible(labeled).select("date", ENTITY, "failure_date", LABEL, STATUS)
-        return join_labels(table.select(*columns), labels, repeat_duplicates)
+        return join_labels(table.select(*columns), labels, repeat_duplicates, limits)
     label, status = label_columns(F.col("obs_date"), horizon_days)
     outcome = with_failure_event(table.where("failure_flag = 0"), known, limits=limits)
     outcome = outcome.withColumns({LABEL: label, STATUS: status})

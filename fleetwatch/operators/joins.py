@@ -46,9 +46,22 @@ def restore_cases(df: DataFrame, cases: DataFrame, keys: tuple[str, ...] = KEYS)
     return restored
 
 
-def collapse_copies(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Equal rows as one row with their number, so that copies never meet as pairs in a join."""
-    return df.groupBy(*columns).agg(F.count(F.lit(1)).alias("copies"))
+def one_row_per_key(df: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """Equal copies of a row as one row with ``copies``; rows of one key that differ raise.
+
+    Copies are combined before the shuffle, and the shuffle is on the keys alone, so that a join on
+    them needs no other.
+    """
+    values = [c for c in df.columns if c not in keys]
+    copies = F.count(F.lit(1)).alias("copies")
+    if not values:
+        return df.groupBy(*keys).agg(copies)
+    row = F.struct(*values)
+    grouped = df.groupBy(*keys).agg(copies, F.min(row).alias("low"), F.max(row).alias("high"))
+    named = F.concat_ws(" ", *[F.col(k).cast("string") for k in keys])
+    wrong = F.raise_error(F.concat(F.lit("rows of one key differ: "), named)).cast("bigint")
+    checked = F.when(F.col("low").eqNullSafe(F.col("high")), F.col("copies")).otherwise(wrong)
+    return grouped.select(*keys, "low.*", checked.alias("copies"))
 
 
 def match_predictions(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
@@ -59,8 +72,7 @@ def match_predictions(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFra
 
     def side(df: DataFrame, name: str) -> DataFrame:
         keyed = df.select(F.col("obs_date").cast("date").alias("obs_date"), ENTITY, *columns)
-        renamed = {c: f"{name}_{c}" for c in [*columns, "copies"]}
-        return collapse_copies(keyed, keyed.columns).withColumnsRenamed(renamed)
+        return one_row_per_key(keyed).withColumnsRenamed({c: f"{name}_{c}" for c in [*columns, "copies"]})
 
     return side(a, "a").join(side(b, "b"), list(KEYS), "full_outer")
 
@@ -71,7 +83,9 @@ def matched(pairs: DataFrame) -> DataFrame:
 
 
 def missing_keys(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows of ``a`` whose (day, entity) is not in ``b``."""
-    day = F.col("obs_date").cast("date")
-    known = b.select(day.alias("obs_date"), ENTITY).distinct()
-    return a.withColumn("obs_date", day).join(known, list(KEYS), "left_anti")
+    """Days and entities of ``a`` that ``b`` lacks, with the number of rows behind each."""
+
+    def keys_of(df: DataFrame) -> DataFrame:
+        return one_row_per_key(df.select(F.col("obs_date").cast("date").alias("obs_date"), ENTITY))
+
+    return keys_of(a).join(keys_of(b), list(KEYS), "left_anti")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +12,7 @@ from fleetwatch.functions.scores import ratio
 from fleetwatch.operators.labels import ENTITY, LABEL
 from fleetwatch.operators.ranking import (
     ROWS_PER_RANGE,
+    Ranked,
     next_in_order,
     prefix_sum,
     score_groups,
@@ -40,60 +40,92 @@ METRICS = (
 )
 
 
-def threshold_at_fpr(
-    df: DataFrame, score: str, max_fpr: float = 0.01, rows_per_range: int = ROWS_PER_RANGE
-) -> float:
-    """Smallest score of a negative at which the false alarms stay within the budget.
+def thresholds_at_fpr(
+    df: DataFrame, scores: dict[str, str], max_fpr: float = 0.01, rows_per_range: int = ROWS_PER_RANGE
+) -> dict[str, float]:
+    """Per scorer the smallest score of a negative at which the false alarms stay within the budget.
 
     Ties count together. If even the highest score breaks the budget, the next float above it.
     """
     if not 0 <= max_fpr <= 1:
         raise ValueError("max_fpr must be between 0 and 1")
-    negatives = df.where(F.col(LABEL) == 0).groupBy(F.col(score).alias("score"))
-    counts = negatives.agg(F.count(F.lit(1)).alias("n"))
-    ranked = prefix_sum(counts, "score", ["n"], descending=True, rows_per_range=rows_per_range).rows
-    total, top = ranked.agg(F.sum("n"), F.max("score")).first()
-    if not total:
+    groups = score_groups(df.where(F.col(LABEL) == 0), scores)
+    ranked = prefix_sum(
+        groups, "score", ["neg"], descending=True, by=["model"], rows_per_range=rows_per_range
+    ).rows
+    sizes = ranked.groupBy("model").agg(
+        F.sum("neg").alias("total"), F.max("score").alias("top")
+    )
+    budget = F.floor(F.lit(float(max_fpr)) * F.col("total") + F.lit(1e-12))
+    # One row per scorer.
+    found = (
+        ranked.join(F.broadcast(sizes.withColumn("budget", budget)), "model")
+        .groupBy("model", "top")
+        .agg(F.min(F.when(F.col("cum_neg") <= F.col("budget"), F.col("score"))).alias("lowest"))
+        .collect()
+    )
+    chosen = {
+        r["model"]: math.nextafter(r["top"], math.inf) if r["lowest"] is None else r["lowest"] for r in found
+    }
+    if set(chosen) != set(scores):
         raise ValueError("no negative rows to set a threshold on")
-    budget = math.floor(max_fpr * total + 1e-12)
-    lowest = ranked.where(F.col("cum_n") <= budget).agg(F.min("score")).first()[0]
-    return math.nextafter(top, math.inf) if lowest is None else lowest
+    return {m: chosen[m] for m in scores}
 
 
-def average_precision(df: DataFrame, score: str, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
-    """One row: sum over distinct scores of the recall step times the precision there."""
-    ranked = prefix_sum(
-        score_groups(df, score), "score", ["pos", "neg"], descending=True, rows_per_range=rows_per_range
-    ).rows
+def threshold_at_fpr(
+    df: DataFrame, score: str, max_fpr: float = 0.01, rows_per_range: int = ROWS_PER_RANGE
+) -> float:
+    """The threshold of one score column."""
+    return thresholds_at_fpr(df, {score: score}, max_fpr, rows_per_range)[score]
+
+
+def _ranked_scores(df: DataFrame, scores: dict[str, str], rows_per_range: int) -> Ranked:
+    groups = score_groups(df, scores)
+    return prefix_sum(
+        groups, "score", ["pos", "neg"], descending=True, by=["model"], rows_per_range=rows_per_range
+    )
+
+
+def average_precision(
+    df: DataFrame, scores: dict[str, str], rows_per_range: int = ROWS_PER_RANGE
+) -> DataFrame:
+    """Per scorer: sum over distinct scores of the recall step times the precision there."""
     precision = F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
     gained = F.sum(F.when(F.col("pos") > 0, F.col("pos") * precision))
-    return ranked.agg(F.coalesce(gained / F.nullif(F.sum("pos"), F.lit(0)), F.lit(0.0)).alias("average_precision"))
+    value = F.coalesce(gained / F.nullif(F.sum("pos"), F.lit(0)), F.lit(0.0))
+    ranked = _ranked_scores(df, scores, rows_per_range)
+    return ranked.rows.groupBy("model").agg(value.alias("average_precision"))
 
 
 def pr_curve(
-    df: DataFrame, score: str, drop_intermediate: bool = False, rows_per_range: int = ROWS_PER_RANGE
+    df: DataFrame,
+    scores: dict[str, str],
+    drop_intermediate: bool = False,
+    rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
-    """Precision and recall at every distinct score, and the end point (1, 0) without a threshold.
+    """Precision and recall per scorer at every distinct score, and the end point (1, 0).
 
     ``drop_intermediate`` leaves out points whose true positives equal those of both neighbours.
     """
-    ranked = prefix_sum(
-        score_groups(df, score), "score", ["pos", "neg"], descending=True, rows_per_range=rows_per_range
-    )
+    ranked = _ranked_scores(df, scores, rows_per_range)
     points = ranked.rows
-    positives, lowest, highest = points.agg(F.sum("pos"), F.min("score"), F.max("score")).first()
+    ends = points.groupBy("model").agg(
+        F.sum("pos").alias("all_pos"), F.min("score").alias("lowest"), F.max("score").alias("highest")
+    )
     if drop_intermediate:
-        points = next_in_order(ranked, "score", "pos", F.lit(0), descending=True)
-        edge = F.col("score").isin(lowest, highest)
+        points = next_in_order(ranked, "pos", F.lit(0))
+    points = points.join(F.broadcast(ends), "model")
+    if drop_intermediate:
+        edge = F.col("score").isin(F.col("lowest"), F.col("highest"))
         points = points.where(edge | (F.col("pos") > 0) | (F.col("next_pos") > 0))
-    recall = F.col("cum_pos") / positives if positives else F.lit(1.0)
     curve = points.select(
+        "model",
         F.col("score").alias("threshold"),
         (F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))).alias("precision"),
-        recall.alias("recall"),
+        F.when(F.col("all_pos") > 0, F.col("cum_pos") / F.col("all_pos")).otherwise(1.0).alias("recall"),
     )
-    end = df.sparkSession.createDataFrame([(None, 1.0, 0.0)], curve.schema)
-    return curve.unionByName(end)
+    last = [(m, None, 1.0, 0.0) for m in scores]
+    return curve.unionByName(df.sparkSession.createDataFrame(last, curve.schema))
 
 
 def _alert(score: str, threshold: float) -> Column:
@@ -190,18 +222,9 @@ def evaluate_scores(
     rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
     """Every metric of every scorer on one split, as tidy rows."""
-    parts = [tidy_metrics(operating_metrics(df, thresholds, prefix), split)]
-    for name in thresholds:
-        ap = average_precision(df, f"{prefix}{name}", rows_per_range)
-        parts.append(
-            ap.select(
-                F.lit(name).alias("model"),
-                F.lit(split).alias("split"),
-                F.lit("average_precision").alias("metric"),
-                F.col("average_precision").alias("value"),
-            )
-        )
-    return reduce(DataFrame.unionByName, parts)
+    counts = tidy_metrics(operating_metrics(df, thresholds, prefix), split)
+    ap = average_precision(df, {m: f"{prefix}{m}" for m in thresholds}, rows_per_range)
+    return counts.unionByName(tidy_metrics(ap, split))
 
 
 def cutoff_metrics(df: DataFrame, score: str, threshold: float, first_day, last_day) -> DataFrame:

@@ -18,20 +18,22 @@ RANGE = "key_range"
 
 @dataclass(frozen=True)
 class Ranked:
-    """A table with one row per distinct key, its running totals, and the range each row is in."""
+    """A table with one row per distinct key and group, its running totals, and each row's range."""
 
     rows: DataFrame
-    ranges: DataFrame
+    key: str
+    by: list[str]
+    descending: bool
     n_ranges: int
 
 
-def _range_starts(table: DataFrame, key: str, n_ranges: int) -> list[float]:
-    """Inner boundaries that split distinct keys into ranges of about equal size."""
+def _range_starts(table: DataFrame, key: str, by: list[str], n_ranges: int) -> list[float]:
+    """Inner boundaries that split the keys of every group into ranges of about equal size."""
     if n_ranges < 2:
         return []
     shares = [i / n_ranges for i in range(1, n_ranges)]
-    found = table.agg(F.percentile_approx(key, shares, 20 * n_ranges).alias("e")).first()["e"]
-    return sorted(set(found))
+    found = table.groupBy(*by).agg(F.percentile_approx(key, shares, 20 * n_ranges).alias("starts")).collect()
+    return sorted({e for row in found for e in row["starts"]})
 
 
 def _with_range(table: DataFrame, key: str, starts: list[float]) -> DataFrame:
@@ -42,71 +44,88 @@ def _with_range(table: DataFrame, key: str, starts: list[float]) -> DataFrame:
     return placed.withColumn(RANGE, F.col(RANGE).cast("int"))
 
 
+def _ordered(column: str, descending: bool) -> Column:
+    return F.col(column).desc() if descending else F.col(column).asc()
+
+
 def prefix_sum(
     table: DataFrame,
     key: str,
     values: list[str],
     descending: bool = False,
+    by: list[str] = (),
     rows_per_range: int = ROWS_PER_RANGE,
 ) -> Ranked:
-    """Inclusive running totals ``cum_<value>`` in key order.
+    """Inclusive running totals ``cum_<value>`` in key order, for each group of ``by``.
 
     ``table`` has one row per distinct key (group first: ties, however many, are then one row). Keys
     are cut into ranges of bounded size; each range is summed in its own task, and the totals of the
-    ranges before it, at most ``MAX_RANGES`` rows, are added from a broadcast.
+    ranges before it, a few rows per range, are added from a broadcast.
     """
+    by = list(by)
     table = cut(table.withColumn(key, F.col(key).cast("double")).where(F.col(key).isNotNull()), "ranked")
     n_ranges = min(MAX_RANGES, max(1, -(-table.count() // rows_per_range)))
-    placed = _with_range(table, key, _range_starts(table, key, n_ranges))
-    totals = placed.groupBy(RANGE).agg(*[F.sum(v).alias(f"range_{v}") for v in values])
-    direction = F.col(RANGE).desc() if descending else F.col(RANGE).asc()
-    before = Window.orderBy(direction).rowsBetween(Window.unboundedPreceding, -1)
-    ranges = totals.select(
+    placed = _with_range(table, key, _range_starts(table, key, by, n_ranges))
+    totals = placed.groupBy(*by, RANGE).agg(*[F.sum(v).alias(f"range_{v}") for v in values])
+    before = (
+        Window.partitionBy(*by)
+        .orderBy(_ordered(RANGE, descending))
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    starts = totals.select(
+        *by,
         RANGE,
         *[F.coalesce(F.sum(f"range_{v}").over(before), F.lit(0)).alias(f"before_{v}") for v in values],
     )
     in_range = (
-        Window.partitionBy(RANGE)
-        .orderBy(F.col(key).desc() if descending else F.col(key).asc())
+        Window.partitionBy(*by, RANGE)
+        .orderBy(_ordered(key, descending))
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     summed = placed.select("*", *[F.sum(v).over(in_range).alias(f"inner_{v}") for v in values])
-    joined = summed.join(F.broadcast(ranges), RANGE)
+    joined = summed.join(F.broadcast(starts), [*by, RANGE])
     rows = joined.select(
         *table.columns,
         RANGE,
         *[(F.col(f"inner_{v}") + F.col(f"before_{v}")).alias(f"cum_{v}") for v in values],
     )
-    return Ranked(rows, ranges, n_ranges)
+    return Ranked(rows, key, by, descending, n_ranges)
 
 
-def next_in_order(
-    ranked: Ranked, key: str, value: str, default: Column, descending: bool = False
-) -> DataFrame:
+def next_in_order(ranked: Ranked, value: str, default: Column) -> DataFrame:
     """Adds ``next_<value>``: the value of the next key, also across the border of a range."""
-
-    def ordered(c: str) -> Column:
-        return F.col(c).desc() if descending else F.col(c).asc()
-
-    first = F.min_by(value, key) if not descending else F.max_by(value, key)
-    heads = ranked.rows.groupBy(RANGE).agg(first.alias("head"))
-    after = Window.orderBy(ordered(RANGE))
-    following = heads.select(RANGE, F.lead("head").over(after).alias("head_after"))
-    in_range = Window.partitionBy(RANGE).orderBy(ordered(key))
+    key, by, descending = ranked.key, ranked.by, ranked.descending
+    first = F.max_by(value, key) if descending else F.min_by(value, key)
+    heads = ranked.rows.groupBy(*by, RANGE).agg(first.alias("head"))
+    after = Window.partitionBy(*by).orderBy(_ordered(RANGE, descending))
+    following = heads.select(*by, RANGE, F.lead("head").over(after).alias("head_after"))
+    in_range = Window.partitionBy(*by, RANGE).orderBy(_ordered(key, descending))
     inside = ranked.rows.withColumn("inside_next", F.lead(value).over(in_range))
-    joined = inside.join(F.broadcast(following), RANGE)
+    joined = inside.join(F.broadcast(following), [*by, RANGE])
     return joined.select(
         *ranked.rows.columns,
         F.coalesce("inside_next", "head_after", default).alias(f"next_{value}"),
     )
 
 
-def score_groups(df: DataFrame, score: str) -> DataFrame:
-    """One row per distinct score with its positives and negatives."""
-    positive = F.col(LABEL) == 1
-    return df.groupBy(F.col(score).alias("score")).agg(
-        F.count(F.when(positive, 1)).alias("pos"),
-        F.count(F.when(F.col(LABEL) == 0, 1)).alias("neg"),
+def score_groups(df: DataFrame, scores: dict[str, str]) -> DataFrame:
+    """Positives and negatives per scorer and distinct score, all scorers in one pass over the rows.
+
+    ``scores`` maps scorer name to score column.
+    """
+    pairs = F.array(
+        *[
+            F.struct(F.lit(m).alias("model"), F.col(c).cast("double").alias("score"))
+            for m, c in scores.items()
+        ]
+    )
+    return (
+        df.select(LABEL, F.inline(pairs))
+        .groupBy("model", "score")
+        .agg(
+            F.count(F.when(F.col(LABEL) == 1, 1)).alias("pos"),
+            F.count(F.when(F.col(LABEL) == 0, 1)).alias("neg"),
+        )
     )
 
 

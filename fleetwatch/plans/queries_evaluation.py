@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetwatch.operators import bootstrap, calibration, labels, metrics, profile, slices
-from fleetwatch.operators.review import stack_tables
 from fleetwatch.plans.registry import query
 from fleetwatch.plans.sql import (
     AVERAGE_PRECISION,
@@ -18,18 +17,21 @@ from fleetwatch.plans.sql import (
     thresholds,
 )
 from fleetwatch.plans.stages import PLAIN_SCORERS, Study
-from fleetwatch.sources import snapshot
+from fleetwatch.session import new_path
+from fleetwatch.sources import reports, snapshot
 
 BUDGETS = (0.0, 0.01, 0.1, 0.25)
 RULE_SCORE = "risk_sector_count_rule"
 TIED_SCORE = "risk_wear_index"
 SMOOTH_SCORE = "risk_load_index"
 CUT = 0.6
+COLUMNS = {m: f"risk_{m}" for m in PLAIN_SCORERS}
+SMOOTH = {"load_index": SMOOTH_SCORE}
 
 
 def _loose_thresholds(s: Study) -> dict[str, float]:
     """Thresholds at a budget of 10%, so that every count is well above 0."""
-    return {m: metrics.threshold_at_fpr(s.validation(), f"risk_{m}", 0.1) for m in PLAIN_SCORERS}
+    return metrics.thresholds_at_fpr(s.validation(), COLUMNS, 0.1)
 
 
 # --- rare-event metrics ----------------------------------------------------------------------------
@@ -41,9 +43,9 @@ def _loose_thresholds(s: Study) -> dict[str, float]:
     doubles=["threshold", "max_fpr"]))
 def threshold_at_fpr(s: Study) -> DataFrame:
     rows = [
-        (m, b, metrics.threshold_at_fpr(s.validation(), f"risk_{m}", b, rows_per_range=50))
-        for m in PLAIN_SCORERS
+        (m, b, t)
         for b in BUDGETS
+        for m, t in metrics.thresholds_at_fpr(s.validation(), COLUMNS, b, rows_per_range=50).items()
     ]
     return s.spark.createDataFrame(rows, "model string, max_fpr double, threshold double")
 
@@ -51,13 +53,7 @@ def threshold_at_fpr(s: Study) -> DataFrame:
 @query(compose("preds", "select scorer as model, value as average_precision from ap where split = 'test'",
                AVERAGE_PRECISION, doubles=["average_precision"]))
 def average_precision(s: Study) -> DataFrame:
-    parts = [
-        metrics.average_precision(s.test(), f"risk_{m}", rows_per_range=50).select(
-            F.lit(m).alias("model"), "average_precision"
-        )
-        for m in PLAIN_SCORERS
-    ]
-    return stack_tables(*parts)
+    return metrics.average_precision(s.test(), COLUMNS, rows_per_range=50)
 
 
 _CURVE = """points as (
@@ -67,19 +63,19 @@ _CURVE = """points as (
   from steps where split = 'test' and scorer = 'load_index')"""
 
 
-@query(compose("preds", "select s as threshold, precision, recall from points "
-               "union all select cast(null as double), 1.0, 0.0", AVERAGE_PRECISION, _CURVE,
+@query(compose("preds", "select 'load_index' as model, s as threshold, precision, recall from points "
+               "union all select 'load_index', cast(null as double), 1.0, 0.0", AVERAGE_PRECISION, _CURVE,
                doubles=["threshold", "precision", "recall"]))
 def pr_curve(s: Study) -> DataFrame:
-    return metrics.pr_curve(s.test(), SMOOTH_SCORE, rows_per_range=40)
+    return metrics.pr_curve(s.test(), SMOOTH, rows_per_range=40)
 
 
-@query(compose("preds", "select s as threshold, precision, recall from points where up or down "
-               "union all select cast(null as double), 1.0, 0.0", AVERAGE_PRECISION, _CURVE,
+@query(compose("preds", "select 'load_index' as model, s as threshold, precision, recall from points "
+               "where up or down union all select 'load_index', cast(null as double), 1.0, 0.0", AVERAGE_PRECISION, _CURVE,
                doubles=["threshold", "precision", "recall"]))
 def pr_curve_corners(s: Study) -> DataFrame:
     """The curve without points that lie between two with the same recall."""
-    return metrics.pr_curve(s.test(), SMOOTH_SCORE, drop_intermediate=True, rows_per_range=40)
+    return metrics.pr_curve(s.test(), SMOOTH, drop_intermediate=True, rows_per_range=40)
 
 
 @query(compose("preds", "select * exclude (split) from operating where split = 'test'",
@@ -130,6 +126,28 @@ def evaluate_scores(s: Study) -> DataFrame:
     return s.metrics()
 
 
+@query(compose("preds", "select model, split, metric, value from metrics", *METRIC_BLOCKS, doubles=["value"]))
+def write_metrics(s: Study) -> DataFrame:
+    """Metrics written as report files and read back."""
+    path = new_path(s.spark, "report")
+    reports.write_metrics(s.metrics(), path)
+    return reports.read_metrics(s.spark, path)
+
+
+@query(compose("preds", "select scorer as model, t as threshold from thr", thresholds(0.01), doubles=["threshold"]))
+def thresholds_of(s: Study) -> DataFrame:
+    """Thresholds read back from stored metrics."""
+    return s.spark.createDataFrame(
+        list(metrics.thresholds_of(s.metrics()).items()), "model string, threshold double"
+    )
+
+
+@query()
+def learned_metrics(s: Study) -> DataFrame:
+    """Every metric of the learned scorers, the forest and the rule on both holdouts."""
+    return s.learned_metrics()
+
+
 _HEADLINES = (
     "average_precision",
     "recall",

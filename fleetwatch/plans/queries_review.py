@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from fleetwatch.functions.hashing import bucket as spark_bucket
 from fleetwatch.functions.hashing import row_key
 from fleetwatch.models import attribution, bundle, forest, prep, scorers
 from fleetwatch.operators import audit, joins, labels, profile, review, sampling
+from fleetwatch.operators.splits import TEST, TRAIN
 from fleetwatch.plans.queries_evaluation import CUT, RULE_SCORE, SMOOTH_SCORE, TIED_SCORE, _PER_DAY
 from fleetwatch.plans.queries_tables import _SNAPSHOT, _SNAP_DOUBLES
 from fleetwatch.plans.registry import query
@@ -22,8 +24,9 @@ from fleetwatch.plans.sql import (
     hash32,
 )
 from fleetwatch.plans.stages import PLAIN_SCORERS, SPLIT, Study
-from fleetwatch.operators.splits import TEST, TRAIN
+from fleetwatch.session import new_path
 from fleetwatch.sources import snapshot
+from fleetwatch.sources.tables import feature_columns
 
 KEYS = ["obs_date", "serial_number"]
 LABEL = labels.LABEL
@@ -118,15 +121,15 @@ def match_predictions(s: Study) -> DataFrame:
     return pairs.withColumns({c: F.col(c).cast("int") for c in ("a_copies", "b_copies")})
 
 
-@query(compose("preds", "select 'missing' as side, a.obs_date, a.serial_number from short a where not exists "
+@query(compose("preds", "select 'missing' as side, a.obs_date, a.serial_number, cast(1 as bigint) as copies from short a where not exists "
                "(select 1 from other b where a.obs_date = b.obs_date and a.serial_number = b.serial_number) "
-               "union all select 'extra', b.obs_date, b.serial_number from other b where not exists "
+               "union all select 'extra', b.obs_date, b.serial_number, 1 from other b where not exists "
                "(select 1 from short a where a.obs_date = b.obs_date and a.serial_number = b.serial_number)",
                _OTHER, _SHORT, dates=["obs_date"]))
 def missing_keys(s: Study) -> DataFrame:
     a, b = _short_run(s), _other_run(s)
-    missing = joins.missing_keys(a, b).select(F.lit("missing").alias("side"), *KEYS)
-    return missing.unionByName(joins.missing_keys(b, a).select(F.lit("extra").alias("side"), *KEYS))
+    missing = joins.missing_keys(a, b).select(F.lit("missing").alias("side"), *KEYS, "copies")
+    return missing.unionByName(joins.missing_keys(b, a).select(F.lit("extra").alias("side"), *KEYS, "copies"))
 
 
 # --- sorted reads and sets -------------------------------------------------------------------------
@@ -387,14 +390,14 @@ def class_counts(s: Study) -> DataFrame:
     return scorers.class_counts(s.splits()[TRAIN])
 
 
-@query(compose("features", f"select obs_date, serial_number, 48 as places from features where "
+@query(compose("features", "select obs_date, serial_number, true as whole from features where "
                f"obs_date >= date '{SPLIT.test_start}' and obs_date <= date '{SPLIT.test_cut}'", dates=["obs_date"]))
 def prepare(s: Study) -> DataFrame:
-    """Every test row has a vector of 43 numbers and 5 models, none of it missing."""
-    rows = s.prepared(TEST)
-    x = attribution.vector_to_array(prep.FEATURES)
-    whole = ~F.exists(x, lambda v: v.isNull() | F.isnan(v))
-    return rows.select(*KEYS, F.when(whole, F.size(x)).alias("places"))
+    """Every test row has a vector with one place per name, none of it missing."""
+    x = vector_to_array(prep.FEATURES)
+    known = ~F.exists(x, lambda v: v.isNull() | F.isnan(v))
+    whole = known & (F.size(x) == len(_vector_names(s)))
+    return s.prepared(TEST).select(*KEYS, whole.alias("whole"))
 
 
 @query(compose("preds", f"select obs_date, serial_number, model, {LABEL}, risk_sector_count_rule, true as in_range "
@@ -444,9 +447,6 @@ def score_batches(s: Study) -> DataFrame:
 @query(compose("preds", "select obs_date, serial_number, true as same from test", dates=["obs_date"]))
 def load_bundle(s: Study) -> DataFrame:
     """A saved and reloaded scorer gives the stored scores again."""
-    from fleetwatch.session import new_path
-    from fleetwatch.sources.tables import feature_columns
-
     path, test = new_path(s.spark, "bundle"), s.splits()[TEST]
     numeric, _ = feature_columns(test.columns)
     bundle.save_bundle(path, s.prep(), s.scorers()["logistic_regression"], numeric)
@@ -457,8 +457,6 @@ def load_bundle(s: Study) -> DataFrame:
 
 
 def _vector_names(s: Study) -> list[str]:
-    from fleetwatch.sources.tables import feature_columns
-
     return prep.vector_names(s.prep(), feature_columns(s.features().columns)[0])
 
 
@@ -506,7 +504,7 @@ def case_explanations(s: Study) -> DataFrame:
 
 
 _LINEAR = {"smart_5_raw_num": 0.4, "smart_9_raw_num": -30.0, "smart_194_raw_num": 0.2, "smart_197_raw_num": 0.1}
-_BACKGROUND = "{c} is not null"
+
 _CENTERED = "explained as (select obs_date, serial_number, " + ", ".join(
     f"{w} * (coalesce({c}, 0) - avg(coalesce({c}, 0)) over ()) as {c}" for c, w in _LINEAR.items()
 ) + " from features)"

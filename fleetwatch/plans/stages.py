@@ -19,10 +19,12 @@ from fleetwatch.models.prep import fit_prep, prepare
 from fleetwatch.models.scorers import RULE, check_classes, fit_boosted, fit_logistic, score_holdout
 from fleetwatch.operators.features import build_features
 from fleetwatch.operators.labels import LABEL, horizon_labels
-from fleetwatch.operators.metrics import evaluate_scores, threshold_at_fpr
+from fleetwatch.operators.metrics import evaluate_scores, thresholds_at_fpr
+from fleetwatch.operators.review import stack_tables
 from fleetwatch.operators.sampling import sample_healthy, sample_training
 from fleetwatch.operators.splits import TEST, TRAIN, VALIDATION, SplitSpec, split_frames
 from fleetwatch.session import new_path, shared_folder
+from fleetwatch.sources.daily_csv import read_daily_csv
 from fleetwatch.sources.event_fleet import fleet_from_events
 from fleetwatch.sources.tables import open_table, write_table
 
@@ -38,22 +40,32 @@ SPLIT = SplitSpec(
 # Scorers that need no training; the last two are plain ratios with few and with many ties.
 PLAIN_SCORERS = (RULE, "load_index", "wear_index")
 LOAD_HALF, WEAR_HALF = 5000.0, 3.0
+ANOMALY, FOREST = "anomaly_isolation_forest", "isolation_forest"
 
-_written: dict[tuple[str, str, str], str] = {}
-_fitted: dict[tuple[str, str, str], object] = {}
+_written: dict[tuple, str] = {}
+_fitted: dict[tuple, object] = {}
 
 
 @dataclass
 class Study:
-    """All stages of one data folder."""
+    """All stages of one data folder.
+
+    By default the telemetry comes from the folder's event log; ``source`` gives any other raw table.
+    """
 
     spark: SparkSession
     folder: str
     horizon_days: int = HORIZON
     split: SplitSpec = field(default_factory=lambda: SPLIT)
+    source: Callable[[], DataFrame] | None = None
+
+    @classmethod
+    def from_daily_csv(cls, spark: SparkSession, root: str, split: SplitSpec, horizon_days: int = 30) -> Study:
+        """A study of the daily CSV files below a folder."""
+        return cls(spark, root, horizon_days, split, lambda: read_daily_csv(spark, root))
 
-    def _key(self, name: str) -> tuple[str, str, str]:
-        return shared_folder(self.spark), self.folder, name
+    def _key(self, name: str) -> tuple:
+        return shared_folder(self.spark), self.folder, self.horizon_days, self.split, name
 
     def _stage(self, name: str, build: Callable[[], DataFrame], day: str | None = None) -> DataFrame:
         key = self._key(name)
@@ -74,7 +86,7 @@ class Study:
 
     def raw(self) -> DataFrame:
         """Daily telemetry, not stored."""
-        return fleet_from_events(self.events())
+        return self.source() if self.source else fleet_from_events(self.events())
 
     def stored_raw(self) -> DataFrame:
         return self._stage("raw", self.raw)
@@ -120,7 +132,8 @@ class Study:
     def thresholds(self) -> dict[str, float]:
         """Thresholds of the plain scorers, chosen on validation."""
         return self._once(
-            "thresholds", lambda: {m: threshold_at_fpr(self.validation(), f"risk_{m}") for m in PLAIN_SCORERS}
+            "thresholds",
+            lambda: thresholds_at_fpr(self.validation(), {m: f"risk_{m}" for m in PLAIN_SCORERS}),
         )
 
     def metrics(self) -> DataFrame:
@@ -128,14 +141,14 @@ class Study:
 
         def build() -> DataFrame:
             chosen = self.thresholds()
-            return evaluate_scores(self.validation(), chosen, VALIDATION).unionByName(
-                evaluate_scores(self.test(), chosen, TEST)
+            return stack_tables(
+                evaluate_scores(self.validation(), chosen, VALIDATION), evaluate_scores(self.test(), chosen, TEST)
             )
 
         return self._stage("metrics", build)
 
     def prep(self) -> PipelineModel:
-        return self._once("prep", lambda: fit_prep(sample_training(self.splits()[TRAIN], 1.0)))
+        return self._once("prep", lambda: fit_prep(sample_training(self.splits()[TRAIN], 0.5)))
 
     def prepared(self, split: str) -> DataFrame:
         return prepare(self.splits()[split], self.prep())
@@ -163,16 +176,28 @@ class Study:
         healthy = prepare(sample_healthy(self.splits()[TRAIN], 0.5), self.prep())
         return self._once("forest", lambda: fit_isolation_forest(healthy))
 
-    def predictions(self) -> DataFrame:
-        """Test rows scored by every fitted scorer and the rule."""
+    def scored(self, split: str) -> DataFrame:
+        """All rows of a split scored by every fitted scorer and the rule."""
 
         def build() -> DataFrame:
-            rows = self.prepared(TEST)
-            scored = score_holdout(rows, self.scorers())
-            strange = score_isolation(rows, self.forest(), "anomaly_isolation_forest")
-            return scored.join(
-                strange.select("obs_date", "serial_number", "anomaly_isolation_forest"),
-                ["obs_date", "serial_number"],
-            )
+            rows = score_isolation(self.prepared(split), self.forest(), ANOMALY)
+            return score_holdout(rows, self.scorers(), keep=(ANOMALY,))
+
+        return self._stage(f"scored_{split}", build, "obs_date")
 
-        return self._stage("predictions", build, "obs_date")
+    def predictions(self) -> DataFrame:
+        """The scored test rows."""
+        return self.scored(TEST)
+
+    def learned_metrics(self) -> DataFrame:
+        """Tidy metrics of all scorers on both holdouts, thresholds chosen on validation."""
+
+        def build() -> DataFrame:
+            renamed = {s: self.scored(s).withColumnRenamed(ANOMALY, f"risk_{FOREST}") for s in (VALIDATION, TEST)}
+            names = [*self.scorers(), FOREST]
+            if f"risk_{RULE}" in renamed[TEST].columns:
+                names.append(RULE)
+            chosen = thresholds_at_fpr(renamed[VALIDATION], {m: f"risk_{m}" for m in names})
+            return stack_tables(*[evaluate_scores(df, chosen, s) for s, df in renamed.items()])
+
+        return self._stage("learned_metrics", build)

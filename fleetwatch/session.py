@@ -20,6 +20,8 @@ def build_session(cores: str = "*", app: str = "fleetwatch", **extra: str) -> Sp
         "spark.sql.shuffle.partitions": "8",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.driver.memory": "8g",
+        # Call sites are recorded per column expression, which costs more than planning wide tables.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         **extra,
