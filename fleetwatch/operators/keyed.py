@@ -23,7 +23,7 @@ class Limits:
     """Sizes beyond which another way is taken."""
 
     broadcast_keys: int = 1_000_000
-    hot_rows: int = 5_000_000
+    hot_rows: int = 1_000_000
 
 
 DEFAULT_LIMITS = Limits()

@@ -77,7 +77,7 @@ def search_reviews(
     text: str = "",
     day: str | None = None,
     outcome: int | None = None,
-    sort_by: str = "risk_xgboost",
+    sort_by: str = "risk_boosted_trees",
 ) -> DataFrame:
     """Rows whose serial or model holds a text, on one day, with one outcome, highest score first."""
     rows = df

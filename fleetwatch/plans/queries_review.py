@@ -161,6 +161,19 @@ def review_sort(s: Study) -> DataFrame:
     )
 
 
+_TITLED = ", ".join(
+    f'{"capacity_bytes / 1000000000000" if c == "capacity_tb" else c} as "{t}"'
+    for c, t in review.SNAPSHOT_TITLES.items()
+)
+_TITLED_DOUBLES = [f'"{t}"' for c, t in review.SNAPSHOT_TITLES.items() if c == "capacity_tb" or c.startswith("smart_")]
+
+
+@query(compose("fleet", f"select {_TITLED} from snap order by failure desc, smart_5_raw desc nulls last, serial_number "
+               "limit 50", _SNAPSHOT, doubles=_TITLED_DOUBLES, dates=['"Snapshot date"']))
+def titled_snapshot(s: Study) -> DataFrame:
+    return review.titled_snapshot(snapshot.latest_snapshot(s.stored_raw()), 50)
+
+
 _REVIEW = f"""chosen as (
   select * from test where {LABEL} = 1
   union select * from (select * from test where {LABEL} = 0
