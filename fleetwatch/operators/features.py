@@ -316,8 +316,9 @@ def build_features(
     found = entities.agg(*[F.sum(f"values_{n}").alias(str(n)) for n in present]).first() if present else {}
     kept = _require([n for n in present if found[str(n)]])
     known = entities.where(F.col(ENTITY).isNotNull()).select(ENTITY, "failure_date", "last_seen", SIZE)
-    # A row without entity or day never gets a label, and no other row's window can see it.
-    rows = typed_rows(raw, kept).where(F.col(ENTITY).isNotNull() & F.col(DAY_NUMBER).isNotNull())
+    # A row without an entity never gets a label. A row without a day does not either; it sorts first,
+    # is in no other row's frame, and gives the next row no change, so it needs no filter of its own.
+    rows = typed_rows(raw.where(F.col(ENTITY).isNotNull()), kept)
     table = window_features(rows, kept, known, limits)
     columns = _feature_columns(kept, WINDOW_DAYS)
     if labeled is not None:

@@ -98,35 +98,41 @@ def of_class(rows: DataFrame, label: int) -> DataFrame:
     return rows.where(F.col(LABEL) == label)
 
 
+def _rows_where(condition: Column) -> Column:
+    return F.count(F.when(condition, 1))
+
+
+def _contract_columns(day: Column, flag: Column) -> list[Column]:
+    """What the contract needs to know of one entity."""
+    return [
+        _rows_where(day.isNull()).alias("bad_days"),
+        _rows_where(F.col(ENTITY).isNull()).alias("no_entity"),
+        _rows_where(~flag.isin(0, 1)).alias("bad_flags"),
+        _rows_where(flag == 1).alias("failures"),
+    ]
+
+
+def _contract_totals(per_entity: DataFrame) -> DataFrame:
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("bad_days", "no_entity", "bad_flags")]
+    return per_entity.agg(*sums, F.coalesce(F.max("failures"), F.lit(0)).alias("most_failures"))
+
+
 def contract_counts(raw: DataFrame) -> DataFrame:
     """One row: rows with a bad day, without entity, with a flag other than 0 or 1, and the most
     failure rows of one entity."""
-    flag = truncated_flag("failure")
+    facts = _contract_columns(lenient_date("date"), truncated_flag("failure"))
+    return _contract_totals(raw.groupBy(ENTITY).agg(*facts))
 
-    def rows_where(condition: Column) -> Column:
-        return F.count(F.when(condition, 1))
 
-    per_entity = raw.groupBy(ENTITY).agg(
-        rows_where(lenient_date("date").isNull()).alias("bad_days"),
-        rows_where(F.col(ENTITY).isNull()).alias("no_entity"),
-        rows_where(~flag.isin(0, 1)).alias("bad_flags"),
-        rows_where(flag == 1).alias("failures"),
-    )
-    return per_entity.agg(
-        F.coalesce(F.sum("bad_days"), F.lit(0)).alias("bad_days"),
-        F.coalesce(F.sum("no_entity"), F.lit(0)).alias("no_entity"),
-        F.coalesce(F.sum("bad_flags"), F.lit(0)).alias("bad_flags"),
-        F.coalesce(F.max("failures"), F.lit(0)).alias("most_failures"),
-    )
-
-
-def check_contract(raw: DataFrame, horizon_days: int = DEFAULT_HORIZON) -> None:
-    """Raise ValueError where the strict label contract does not hold."""
+def _require_columns(raw: DataFrame, horizon_days: int) -> None:
     missing = {"date", ENTITY, "failure"} - set(raw.columns)
     if missing:
         raise ValueError(f"missing required columns: {sorted(missing)}")
     _check_horizon(horizon_days)
-    found = contract_counts(raw).first()
+
+
+def _require_contract(totals: DataFrame) -> None:
+    found = totals.first()
     if found["bad_days"] or found["no_entity"]:
         raise ValueError("date and serial_number must be present and parseable")
     if found["bad_flags"]:
@@ -135,6 +141,12 @@ def check_contract(raw: DataFrame, horizon_days: int = DEFAULT_HORIZON) -> None:
         raise ValueError("an entity has more than one failure row")
 
 
+def check_contract(raw: DataFrame, horizon_days: int = DEFAULT_HORIZON) -> None:
+    """Raise ValueError where the strict label contract does not hold."""
+    _require_columns(raw, horizon_days)
+    _require_contract(contract_counts(raw))
+
+
 def strict_labels(
     raw: DataFrame,
     horizon_days: int = DEFAULT_HORIZON,
@@ -143,22 +155,15 @@ def strict_labels(
 ) -> DataFrame:
     """Labels against one global end of observation, failure-day rows kept.
 
-    The contract is checked first. ``censor_reason`` is ``insufficient_followup`` only in the last
-    horizon; an earlier row after its failure keeps ``eligible`` although ``label_eligible`` is 0.
+    The contract is checked first, on the same per-entity pass that finds the failures.
+    ``censor_reason`` is ``insufficient_followup`` only in the last horizon; an earlier row after its
+    failure keeps ``eligible`` although ``label_eligible`` is 0.
     """
-    check_contract(raw, horizon_days)
-    return outcome_by_end(raw, horizon_days, observed_through, limits)
-
-
-def outcome_by_end(
-    raw: DataFrame,
-    horizon_days: int = DEFAULT_HORIZON,
-    observed_through: str | None = None,
-    limits: Limits = DEFAULT_LIMITS,
-) -> DataFrame:
-    """The labels of ``strict_labels`` without its contract check; the first failure counts."""
+    _require_columns(raw, horizon_days)
     typed = raw.withColumns({"date": lenient_date("date"), "failure": truncated_flag("failure")})
-    events = cut(failure_events(typed), "failure_events")
+    facts = _contract_columns(F.col("date"), F.col("failure"))
+    events = cut(failure_events(typed, facts), "failure_events")
+    _require_contract(_contract_totals(events))
     if observed_through is None:
         end = F.lit(events.agg(F.max("last_seen").alias("end")).first()["end"])
     else:

@@ -32,7 +32,9 @@ def _range_starts(table: DataFrame, key: str, by: list[str], n_ranges: int) -> l
     if n_ranges < 2:
         return []
     shares = [i / n_ranges for i in range(1, n_ranges)]
-    found = table.groupBy(*by).agg(F.percentile_approx(key, shares, 20 * n_ranges).alias("starts")).collect()
+    # A range may come out about twice as large as the others; finer sketches would be costly to merge.
+    starts = F.percentile_approx(key, shares, max(1_000, 2 * n_ranges)).alias("starts")
+    found = table.groupBy(*by).agg(starts).collect()
     return sorted({e for row in found for e in row["starts"]})
 
 

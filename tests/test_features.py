@@ -148,6 +148,15 @@ def test_failure_day_counts_in_history(frame):
     assert made["2020-01-02"]["smart_5_max_7d"] == 100
 
 
+@pytest.mark.parametrize("limits", [Limits(), Limits(broadcast_keys=1, hot_rows=2)])
+def test_rows_without_day_or_entity_change_nothing(frame, limits):
+    rows = [_row(f"2020-01-{d:02d}", d * d) for d in range(1, 12)]
+    spoiled = [_row("someday", 777), _row(None, 888), _row("2020-01-03", 999, serial=None)]
+    plain = feat.build_features(frame(rows, RAW), horizon_days=3)
+    other = feat.build_features(frame(rows + spoiled, RAW), horizon_days=3, limits=limits)
+    assert _rounded(plain) == _rounded(other.select(*plain.columns))
+
+
 def test_copies_of_a_day(frame):
     rows = [_row("2020-01-01", 1)] * 2 + [_row("2020-03-01", 1)]
     raw = frame(rows, RAW)
