@@ -417,8 +417,8 @@ def split_summary(s: Study) -> DataFrame:
     return splits.split_summary(s.features(), SPLIT)
 
 
-@query(compose("features", f"select obs_date, serial_number, {LABELS}, case when {LABELS} = 1 then 1.0 else 3.0 end "
-               f"as sample_weight from features where {LABELS} = 1 or {bucket('serial_number', 3)} = 0",
+@query(compose("features", f"select obs_date, serial_number, {LABELS}, cast(case when {LABELS} = 1 then 1 else 3 end "
+               f"as double) as sample_weight from features where {LABELS} = 1 or {bucket('serial_number', 3)} = 0",
                doubles=["sample_weight"], dates=["obs_date"]))
 def sample_training(s: Study) -> DataFrame:
     return sampling.sample_training(s.features(), 0.3).select(*PRED_KEYS, LABELS, "sample_weight")

@@ -1,9 +1,8 @@
-"""Running one query on Spark and its SQL on DuckDB, and comparing the rows by value."""
+"""Running one query on Spark and its SQL on DuckDB, and comparing columns, types and rows by value."""
 
 from __future__ import annotations
 
 import math
-from decimal import Decimal
 from pathlib import Path
 
 import duckdb
@@ -12,6 +11,7 @@ TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
     "labels conversations"
 ).split()
+TYPES = {"string": "VARCHAR", "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN"}
 
 
 def connect(folder: str):
@@ -23,40 +23,33 @@ def connect(folder: str):
     return con
 
 
-def _plain(v):
-    if isinstance(v, Decimal):
-        v = float(v)
-    if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 6) + 0.0
-    return v
+def _text(v) -> str:
+    """One spelling per value; doubles with all their digits, NaN as missing."""
+    if v is None or (isinstance(v, float) and math.isnan(v)):
+        return "NULL"
+    return repr(v)
 
 
 def spark_rows(df):
-    names = sorted(df.columns)
-    rows = [tuple(_plain(v) for v in r) for r in df.select(*[f"`{n}`" for n in names]).collect()]
-    return names, rows
+    """(name and type of each column, rows), columns by name and rows in order of their text."""
+    columns = sorted((n, TYPES.get(t, t)) for n, t in df.dtypes)
+    rows = df.select(*[f"`{n}`" for n, _ in columns]).collect()
+    return columns, sorted(tuple(_text(v) for v in r) for r in rows)
 
 
 def sql_rows(con, sql):
-    result = con.execute(sql)
-    names = [d[0] for d in result.description]
-    order = sorted(range(len(names)), key=lambda i: names[i])
-    rows = [tuple(_plain(r[i]) for i in order) for r in result.fetchall()]
-    return [names[i] for i in order], rows
-
-
-def _key(row):
-    return tuple((v is None, type(v).__name__ if isinstance(v, (str, bool)) else "n", str(v) if v is None else v) for v in row)
+    described = con.execute(f"describe {sql}").fetchall()
+    order = sorted(range(len(described)), key=lambda i: described[i][0])
+    rows = con.execute(sql).fetchall()
+    columns = [(described[i][0], str(described[i][1])) for i in order]
+    return columns, sorted(tuple(_text(r[i]) for i in order) for r in rows)
 
 
 def difference(spark_side, sql_side) -> str | None:
     """None where both sides hold the same rows, else what differs."""
     if spark_side[0] != sql_side[0]:
-        return f"columns {spark_side[0]} / {sql_side[0]}"
-    a, b = sorted(spark_side[1], key=_key), sorted(sql_side[1], key=_key)
+        return f"columns {set(spark_side[0]) ^ set(sql_side[0])}"
+    a, b = spark_side[1], sql_side[1]
     if len(a) != len(b):
         return f"{len(a)} rows / {len(b)} rows"
-    for x, y in zip(a, b):
-        if x != y or [type(v) for v in x] != [type(v) for v in y]:
-            return f"{x} / {y}"
-    return None
+    return next((f"{x} / {y}" for x, y in zip(a, b) if x != y), None)
