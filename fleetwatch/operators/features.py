@@ -132,18 +132,29 @@ def rolling_features(
     rows: DataFrame, attrs: list[int], days: tuple[int, ...] = WINDOW_DAYS
 ) -> DataFrame:
     """Mean, max, population deviation and count over the last ``d`` calendar days, today included."""
-    statistic = {"mean": F.avg, "max": F.max, "std": F.stddev_pop, "count": F.count}
+    over_days = {"sum": F.sum, "max": F.max, "std": F.stddev_pop, "count": F.count}
     by_day = Window.partitionBy(ENTITY).orderBy(DAY_NUMBER)
-    return rows.select(
+    framed = rows.select(
         "*",
         *[
-            statistic[s](_value(n)).over(by_day.rangeBetween(1 - d, 0)).alias(_stat(n, s, d))
+            aggregate(_value(n)).over(by_day.rangeBetween(1 - d, 0)).alias(_stat(n, s, d))
             for n in attrs
             for d in days
-            for s in STATISTICS
+            for s, aggregate in over_days.items()
         ],
     )
 
+    def statistic(n: int, s: str, d: int) -> Column:
+        # Sum over count is what an average does; sharing the count saves updates per frame.
+        if s == "mean":
+            return F.col(_stat(n, "sum", d)) / F.nullif(F.col(_stat(n, "count", d)), F.lit(0))
+        return F.col(_stat(n, s, d))
+
+    return framed.select(
+        *rows.columns,
+        *[statistic(n, s, d).alias(_stat(n, s, d)) for n in attrs for d in days for s in STATISTICS],
+    )
+
 
 def hot_history_features(
     rows: DataFrame,
