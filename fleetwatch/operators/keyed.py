@@ -69,21 +69,18 @@ def join_lookup(
     rows: DataFrame,
     lookup: DataFrame,
     keys: list[str],
-    how: str = "inner",
     sizes: KeySizes | None = None,
     limits: Limits = DEFAULT_LIMITS,
     size: str = SIZE,
 ) -> DataFrame:
-    """``rows`` joined (inner or left) to a table with one row per key; the size column is dropped."""
-    if how not in ("inner", "left"):
-        raise ValueError("how must be inner or left")
+    """Inner join of ``rows`` to a table with one row per key; the size column is dropped."""
     sizes = sizes or key_sizes(lookup, size)
     values = lookup.drop(size)
     if sizes.keys <= limits.broadcast_keys:
-        return rows.join(F.broadcast(values), keys, how)
+        return rows.join(F.broadcast(values), keys)
     hot_rows, other_rows = split_hot(rows, lookup, keys, sizes, limits, size)
-    joined = other_rows.join(values, keys, how)
+    joined = other_rows.join(values, keys)
     if hot_rows is None:
         return joined
     hot_values = F.broadcast(_hot_lookup(lookup, limits, size).drop(size))
-    return joined.unionByName(hot_rows.join(hot_values, keys, "inner"))
+    return joined.unionByName(hot_rows.join(hot_values, keys))

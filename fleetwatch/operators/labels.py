@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetwatch.functions.casts import failure_flag, lenient_date, truncated_flag
 from fleetwatch.functions.days import date_diff_days
-from fleetwatch.operators.keyed import DEFAULT_LIMITS, SIZE, KeySizes, Limits, join_lookup, key_sizes
+from fleetwatch.operators.keyed import DEFAULT_LIMITS, SIZE, KeySizes, Limits, join_lookup
 from fleetwatch.session import cut
 
 ENTITY = "serial_number"
@@ -60,7 +60,7 @@ def with_failure_event(
 ) -> DataFrame:
     """Rows joined to their entity's failure day and last day; rows without an entity id drop out."""
     known = events.where(F.col(ENTITY).isNotNull()).select(ENTITY, "failure_date", "last_seen", SIZE)
-    return join_lookup(rows, known, [ENTITY], "inner", sizes or key_sizes(known), limits)
+    return join_lookup(rows, known, [ENTITY], sizes, limits)
 
 
 def drop_failure_days(rows: DataFrame) -> DataFrame:

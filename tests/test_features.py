@@ -166,6 +166,28 @@ def test_copies_of_a_day(frame):
     assert feat.build_features(raw, labeled, repeat_duplicates=True).count() == 4
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plans_move_the_rows_as_little_as_possible(frame):
+    raw = frame([_row(f"2020-01-{d:02d}", d) for d in range(1, 12)], RAW)
+    labels_plan = _plan(horizon_labels(raw, 3))
+    assert "hashpartitioning" not in labels_plan and "BroadcastHashJoin" in labels_plan
+    # Both windows share one shuffle and one sort.
+    features_plan = _plan(feat.build_features(raw, horizon_days=3))
+    assert features_plan.count("hashpartitioning(serial_number") == 1
+    assert features_plan.count("Sort [") == 1 and features_plan.count("+- Window [") == 2
+    assert "SinglePartition" not in features_plan
+
+
+def test_hot_entities_are_not_shuffled_for_labels(frame):
+    rows = [_row(f"2020-01-{d:02d}", d) for d in range(1, 12)] + [_row("2020-01-01", 1, s) for s in "XYZ"]
+    plan = _plan(horizon_labels(frame(rows, RAW), 3, Limits(broadcast_keys=1, hot_rows=5)))
+    assert "Union" in plan and "LeftAnti" in plan
+    assert "hashpartitioning" not in plan.split("LeftSemi")[1]
+
+
 def test_nothing_usable(frame):
     with pytest.raises(ValueError, match="usable"):
         feat.build_features(frame([_row("2020-01-01", None, hours="x")], RAW))
