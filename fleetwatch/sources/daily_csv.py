@@ -58,6 +58,8 @@ def read_daily_csv(spark: SparkSession, root: str, multi_line: bool = False) ->
             spark.read.schema(schema)
             .option("header", "true")
             .option("mode", "FAILFAST")
+            # A pruned reader would not see that a row has too few or too many fields.
+            .option("columnPruning", "false")
             .option("escape", '"')
             .option("multiLine", str(multi_line).lower())
             .csv(sorted(paths))

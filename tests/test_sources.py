@@ -40,6 +40,8 @@ def test_rows_that_do_not_fit_raise(spark, tmp_path, line):
     _write(tmp_path, "a.csv", f"date,serial_number,failure\n2020-01-01,A,0\n{line}\n")
     with pytest.raises(Exception, match="(?i)malformed"):
         daily_csv.read_daily_csv(spark, str(tmp_path)).collect()
+    with pytest.raises(Exception, match="(?i)malformed"):
+        daily_csv.read_daily_csv(spark, str(tmp_path)).select("date").collect()
 
 
 def test_quoted_line_breaks(spark, tmp_path):
