@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetwatch.llm import exact_dedup, html_mincut, warc
+from fleetwatch.llm import exact_dedup, html_mincut, quality, warc
+from fleetwatch.llm import toxicity as toxic
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -36,6 +37,16 @@ def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.copies(table(spark, folder, "documents"))
 
 
+@query()
+def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query()
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxic.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query(warc.SQL)
 def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.archive_pages(spark, table(spark, folder, "pages")).drop("url")
