@@ -35,9 +35,11 @@ SHORTEST, LEAST_DOCS, LEAST_SHARE = 3, 4, 0.8
 #: An entry must be so unlikely to be chance: log of the probability of its toxic documents at the overall rate.
 LEAST_SURPRISE = 16.0
 FUZZY_FROM = 5  # letters of an entry from which one edit is allowed
+SAME_SHARE = 0.9  # of the toxic documents of a beginning, for a longer one to stand for it
 CONTEXT = 6  # words on either side
 MEMORY = 200_000  # words and states that a worker keeps
 _WORD = re.compile(r"[^\W\d_]+")
+_EDGE = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "“”„«»‘’…"
 _QUOTE = re.compile(r"[\"“”„«»‘]")
 _REPORT = frozenset(
     "said says called call quote quoted quotes word words term terms slur insult insults wrote writes "
@@ -147,12 +149,18 @@ class Scanner:
         for i, piece in enumerate(pieces):
             met = known.get(piece)
             if met is None:
-                met = known[piece] = tuple(m for w in _WORD.findall(piece) for m in self.automaton.match(w))
+                met = known[piece] = tuple(m for w in self._words(piece) for m in self.automaton.match(w))
             if met:
                 quoted = self._quoted(pieces, i)
                 found.extend((n, e, quoted) for n, e in met)
         return found, len(pieces)
 
+    @staticmethod
+    def _words(piece: str) -> list[str]:
+        """Runs of letters; a piece with other characters between its letters (``id1ot``) also as it stands."""
+        runs, core = _WORD.findall(piece), piece.strip(_EDGE)
+        return [*runs, core] if len(runs) > 1 and len(core) <= 3 * LONGEST else runs
+
     @staticmethod
     def _quoted(pieces: list[str], i: int) -> bool:
         """Whether the window opens a quotation before the word and closes it after, or reports speech."""
@@ -169,9 +177,13 @@ class Lexicon:
     #: Log-odds of a toxic document, by (entry, edits).
     weights: dict[tuple[int, int], float]
 
+    def weight(self, entry: int, edits: int) -> float:
+        """A misspelling that the sample does not hold weighs half as much as the term."""
+        return self.weights.get((entry, edits), 0.5**edits * self.weights.get((entry, 0), 0.0))
+
     def features(self, hits: list[tuple[int, int, bool]], n_words: int) -> list[float]:
-        plain = [self.weights.get((n, e), 0.0) for n, e, quoted in hits if not quoted]
-        quoted = [self.weights.get((n, e), 0.0) for n, e, q in hits if q]
+        plain = [self.weight(n, e) for n, e, quoted in hits if not quoted]
+        quoted = [self.weight(n, e) for n, e, q in hits if q]
         gain, excused = sum(w for w in plain if w > 0), sum(w for w in quoted if w > 0)
         return [
             1.0,
@@ -241,14 +253,15 @@ def learn_entries(docs: DataFrame) -> list[str]:
         .limit(MOST_ENTRIES * 4)
         .collect()
     )
-    found = {r["term"]: (r["toxic"], r["n"]) for r in rows}
-    chosen: list[str] = []
+    found = {r["term"]: r["toxic"] for r in rows}
+    longest: dict[str, str] = {}
     for term in sorted(found, key=lambda t: (len(t), t)):
-        toxic, n = found[term]
-        stems = [s for k in range(SHORTEST, len(term)) if (s := term[:k]) in chosen]
-        if not stems:
-            chosen.append(term)
-    return sorted(chosen, key=lambda t: -found[t][0])[:MOST_ENTRIES]
+        stem = next((s for k in range(SHORTEST, len(term)) if (s := term[:k]) in longest), None)
+        if stem is None:
+            longest[term] = term
+        elif term.startswith(longest[stem]) and found[term] >= SAME_SHARE * found[stem]:
+            longest[stem] = term  # as good as the shorter one, and meets fewer other words
+    return sorted(longest.values(), key=lambda t: (-found[t], t))[:MOST_ENTRIES]
 
 
 def learn_weights(docs: DataFrame, entries: list[str]) -> dict[tuple[int, int], float]:
