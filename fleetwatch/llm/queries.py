@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetwatch.llm import exact_dedup, html_mincut, quality, warc
+from fleetwatch.llm import exact_dedup, html_mincut, packing, quality, warc
 from fleetwatch.llm import toxicity as toxic
 
+WORD_VOCABULARY = "word_bpe_49k.json"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -27,6 +29,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public vocabulary file, which every executor has."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 @query()
 def op1_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return html_mincut.extract(table(spark, folder, "pages"))
@@ -50,3 +59,8 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @query(warc.SQL)
 def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.archive_pages(spark, table(spark, folder, "pages")).drop("url")
+
+
+@query()
+def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), vocabulary(WORD_VOCABULARY))
