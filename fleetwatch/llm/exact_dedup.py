@@ -22,7 +22,8 @@ BITS_PER_ROW = 16
 #: The filter is broadcast; it never exceeds 2**28 bits, which is 32 MB. Beyond that more rows are looked
 #: at twice, and the result is the same.
 MAX_BITS = 2**28
-_SHA, _ROW, _MAYBE = "__sha", "__row", "__maybe"
+MAYBE = "__maybe"
+_SHA, _ROW = "__sha", "__row"
 
 
 def ascii_lower(text: Column) -> Column:
@@ -47,32 +48,39 @@ def _slots(digest: Column, bits: int) -> tuple[Column, Column]:
     return F.pmod(h, F.lit(bits)), F.pmod(F.shiftrightunsigned(h, 32), F.lit(bits))
 
 
-def repeated_filter(digests: DataFrame, digest: str, bits: int) -> DataFrame:
-    """Pass one: (bucket, bitmap) of the slots that at least two rows set.
+def _bitmaps(slots: DataFrame) -> DataFrame:
+    """(bucket, bitmap) of the slots that are set."""
+    return slots.groupBy((F.col("slot") / BITMAP_BITS).cast("int").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.col("slot") % BITMAP_BITS).alias("bitmap")
+    )
+
+
+def repeated_filter(rows: DataFrame, key: str, bits: int) -> DataFrame:
+    """Pass one: the filter's slots that at least two rows set.
 
-    Slots are counted with map-side combine, so a digest that many rows share is one row of each task.
+    Slots are counted with map-side combine, so a key that many rows share is one row of each task.
     """
-    one, two = _slots(F.col(digest), bits)
-    slots = digests.select(F.explode(F.array(one, two)).alias("slot")).groupBy("slot").count()
-    return (
-        slots.where(F.col("count") > 1)
-        .groupBy((F.col("slot") / BITMAP_BITS).cast("int").alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.col("slot") % BITMAP_BITS).alias("bitmap"))
-    )
+    slots = rows.select(F.explode(F.array(*_slots(F.col(key), bits))).alias("slot")).groupBy("slot").count()
+    return _bitmaps(slots.where(F.col("count") > 1))
+
+
+def member_filter(rows: DataFrame, key: str, bits: int) -> DataFrame:
+    """The filter's slots that any row sets."""
+    return _bitmaps(rows.select(F.explode(F.array(*_slots(F.col(key), bits))).alias("slot")))
 
 
-def with_maybe(rows: DataFrame, digest: str, repeated: DataFrame, bits: int) -> DataFrame:
-    """Pass two: ``__maybe`` is false only for rows whose digest no other row has."""
+def with_maybe(rows: DataFrame, key: str, bitmaps: DataFrame, bits: int) -> DataFrame:
+    """Pass two: ``__maybe`` is false only for rows whose key is surely not in the filter."""
     out = rows
     found = F.lit(True)
-    for i, slot in enumerate(_slots(F.col(digest), bits)):
-        side = F.broadcast(repeated.select(F.col("bucket").alias(f"__b{i}"), F.col("bitmap").alias(f"__m{i}")))
+    for i, slot in enumerate(_slots(F.col(key), bits)):
+        side = F.broadcast(bitmaps.select(F.col("bucket").alias(f"__b{i}"), F.col("bitmap").alias(f"__m{i}")))
         out = out.join(side, (slot / BITMAP_BITS).cast("int") == F.col(f"__b{i}"), "left")
         place = slot % BITMAP_BITS
         byte = F.conv(F.hex(F.substring(F.col(f"__m{i}"), (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
         bit = F.floor(byte / F.pow(F.lit(2), place % 8)).cast("int") % 2
         found = found & F.coalesce(bit == 1, F.lit(False))
-    return out.withColumn(_MAYBE, found).drop("__b0", "__m0", "__b1", "__m1")
+    return out.withColumn(MAYBE, found).drop("__b0", "__m0", "__b1", "__m1")
 
 
 def copies(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -85,7 +93,7 @@ def copies(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
     )
     bits = filter_bits(table.count())
     rows = with_maybe(table, "text_sha256", repeated_filter(table, "text_sha256", bits), bits)
-    maybe = rows.where(_MAYBE)
+    maybe = rows.where(MAYBE)
     groups = maybe.groupBy(F.col("text_sha256").alias(_SHA)).agg(
         F.max(F.struct("doc_id", _ROW)).alias("__top"), F.count(F.lit(1)).alias("group_size")
     )
@@ -96,7 +104,7 @@ def copies(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
         (F.col(_ROW) == F.col(f"__top.{_ROW}")).alias("kept"),
         "text_sha256",
     )
-    alone = rows.where(~F.col(_MAYBE)).select(
+    alone = rows.where(~F.col(MAYBE)).select(
         "doc_id",
         F.col("doc_id").alias("keep_id"),
         F.lit(1).cast("long").alias("group_size"),
@@ -117,14 +125,14 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     repeated = repeated_filter(table, _SHA, bits)
     keep = (
         with_maybe(table, _SHA, repeated, bits)
-        .where(_MAYBE)
+        .where(MAYBE)
         .groupBy(F.col(_SHA).alias("__keep_sha"))
         .agg(F.max("__id").alias("__keep_id"))
         .select("__keep_sha", F.coalesce("__keep_id", F.lit(0)).alias("__kid"), F.isnull("__keep_id").alias("__knull"))
     )
     rows = with_maybe(keyed, _SHA, repeated, bits)
     stay = (
-        rows.where(_MAYBE)
+        rows.where(MAYBE)
         .withColumn("__id", F.coalesce(F.col(key), F.lit(0)))
         .withColumn("__null", F.isnull(F.col(key)))
         .join(
@@ -135,7 +143,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
         )
         .dropDuplicates([_SHA, "__id", "__null"])
     )
-    return rows.where(~F.col(_MAYBE)).select(docs.columns).unionByName(stay.select(docs.columns))
+    return rows.where(~F.col(MAYBE)).select(docs.columns).unionByName(stay.select(docs.columns))
 
 
 SQL = """

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetwatch.llm import exact_dedup, html_mincut, packing, quality, warc
+from fleetwatch.llm import bpe, exact_dedup, html_mincut, packing, quality, substring, warc
 from fleetwatch.llm import toxicity as toxic
 
+BYTE_RANKS = "byte_bpe_50k.tiktoken"
 WORD_VOCABULARY = "word_bpe_49k.json"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,6 +57,17 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxic.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query()
+def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.encode_and_decode(table(spark, folder, "documents"), vocabulary(BYTE_RANKS))
+
+
+@query()
+def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = substring.remove_repeats(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 @query(warc.SQL)
 def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.archive_pages(spark, table(spark, folder, "pages")).drop("url")
