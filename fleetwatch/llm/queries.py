@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetwatch.llm import bpe, exact_dedup, html_mincut, packing, quality, substring, warc
+from fleetwatch.llm import ann, bpe, exact_dedup, html_mincut, packing, quality, substring, warc
 from fleetwatch.llm import toxicity as toxic
 
 BYTE_RANKS = "byte_bpe_50k.tiktoken"
@@ -47,6 +47,11 @@ def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.copies(table(spark, folder, "documents"))
 
 
+@query()
+def op3_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.nearest(table(spark, folder, "embeddings"))
+
+
 @query()
 def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
