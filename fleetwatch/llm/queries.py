@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetwatch.llm import ann, bpe, exact_dedup, html_mincut, packing, quality, substring, warc
+from fleetwatch.llm import ann, bpe, exact_dedup, html_mincut, ngram_join, packing, quality, substring, warc
 from fleetwatch.llm import toxicity as toxic
 
 BYTE_RANKS = "byte_bpe_50k.tiktoken"
@@ -57,6 +57,11 @@ def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query()
+def op5_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, folder, "documents"))
+
+
 @query()
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxic.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
