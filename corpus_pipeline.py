@@ -1,4 +1,7 @@
-"""The corpus pipeline: documents in, packed training sequences out."""
+"""The corpus pipeline: documents in, packed training sequences out.
+
+Each stage works on all that its predecessor kept. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
@@ -6,26 +9,56 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fleetwatch.llm import packing, substring, toxicity
 from fleetwatch.llm.exact_dedup import exact_dedup
+from fleetwatch.llm.ngram_join import one_of_each
+from fleetwatch.llm.queries import WORD_VOCABULARY, vocabulary
 from fleetwatch.session import new_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not predicted to be toxic; the model learns from the labels of this folder."""
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """Of equal texts the one with the largest id."""
     return exact_dedup(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("exact dedup", drop_copies)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts linked by their shingles the one with the smallest id."""
+    return one_of_each(docs)
+
+
+def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the passages that an earlier document, or an earlier place, has."""
+    return substring.without_repeats(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of at most 4096 tokens."""
+    return packing.pack(docs, vocabulary(WORD_VOCABULARY))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", reject_toxic),
+    ("exact dedup", drop_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("substring dedup", remove_repeated_passages),
+    ("packing", pack_sequences),
+]
+#: The learned and tokenized stages have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written and read again, which cuts the lineage."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        path = new_path(spark, name.replace(" ", "-"))
+    for number, (_, stage) in enumerate(STAGES):
+        path = new_path(spark, f"stage{number}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

@@ -37,12 +37,17 @@ def teaching_docs(docs: DataFrame, rows: DataFrame) -> DataFrame:
 def distinct_sample(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """The chosen rows with their texts, one of each group of copies, as a stored table.
 
-    Copies share the smallest hash of their words, near copies mostly do. Left in, one document with many
-    copies would make all of its words look like evidence.
+    Copies share the smallest hash of three words in a row, near copies mostly do. Left in, one document with
+    many copies would make all of its words look like evidence.
     """
-    words = F.split(F.lower("text"), r"[^\p{L}]+")
-    smallest = F.array_min(F.transform(words, lambda w: F.xxhash64(w)))
+    word = F.col("__words")
+    smallest = F.array_min(F.transform(word, lambda w, i: F.xxhash64(w, F.get(word, i + 1), F.get(word, i + 2))))
     return cut(
-        teaching_docs(docs, rows).withColumn("__least", smallest).dropDuplicates(["__least", "label"]).drop("__least"),
+        teaching_docs(docs, rows)
+        .withColumn("__words", F.split(F.lower("text"), r"[^\p{L}]+"))
+        .withColumn("__least", smallest)
+        .drop("__words")
+        .dropDuplicates(["__least", "label"])
+        .drop("__least"),
         "sample",
     )

@@ -22,8 +22,9 @@ from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetwatch.llm.exact_dedup import MAYBE, filter_bits, member_filter, with_maybe
@@ -38,13 +39,14 @@ _FLAGS = "id long, place long, n int"
 ANCHORS = "anchor long, stretch long, id long, place long, n int, shift int, repeats boolean"
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """id (null as the smallest), the upper bits of all places of the row, text."""
+def _numbered(docs: DataFrame, *more: Column) -> DataFrame:
+    """id (null as the smallest), the upper bits of all places of the row, text, and more columns."""
     text = F.coalesce("text", F.lit(""))
     return docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"),
         F.shiftleft(F.xxhash64(text).bitwiseAND(2**23 - 1), _PLACE_BITS).alias("row"),
         text.alias("text"),
+        *more,
     )
 
 
@@ -221,24 +223,29 @@ def maximal_repeats(covered: np.ndarray) -> list[tuple[int, int]]:
     return [(int(a), int(b - a)) for a, b in zip(edges[::2], edges[1::2])]
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_text, kept_sha256 and the maximal repeats of every document."""
-    rows = _numbered(docs)
+def _judged(rows: DataFrame, judged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows that may have repeats, with their ``flags``, and rows that have none; only the former are shuffled."""
     flags = cut(
-        repeated_windows(rows)
+        repeated_windows(judged)
         .groupBy("id")
         .agg(F.collect_list(F.struct("place", "n")).alias("flags"))
         .withColumnRenamed("id", "__id"),
         "repeats",
     )
-    table_bits = filter_bits(flags.count())
-    looked = with_maybe(rows, "id", member_filter(flags, "__id", table_bits), table_bits)
-    hit = looked.where(MAYBE).join(flags, F.col("id") == F.col("__id"), "left").select("id", "row", "text", "flags")
-    clear = looked.where(~F.col(MAYBE)).select("id", "row", "text", F.lit(None).cast(flags.schema["flags"].dataType).alias("flags"))
+    bits = filter_bits(flags.count())
+    looked = with_maybe(rows, "id", member_filter(flags, "__id", bits), bits)
+    hit = looked.where(MAYBE).join(flags, F.col("id") == F.col("__id"), "left").drop(MAYBE, "__id")
+    return hit, looked.where(~F.col(MAYBE)).drop(MAYBE)
+
+
+def remove_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_text, kept_sha256 and the maximal repeats of every document."""
+    rows = _numbered(docs)
+    hit, clear = _judged(rows, rows)
+    clear = clear.withColumn("flags", F.lit(None).cast(hit.schema["flags"].dataType))
     schema = pa.schema(
         [
             ("doc_id", pa.int64()),
-            ("row", pa.int64()),
             ("n_words", pa.int64()),
             ("n_removed", pa.int64()),
             ("kept_sha256", pa.string()),
@@ -251,17 +258,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                words = r["text"].encode().split()
-                spans, kept = [], words
-                if r["flags"]:
-                    covered = _covered(r["flags"], r["row"], len(words))
-                    spans = maximal_repeats(covered)
-                    kept = list(compress(words, (~covered).tolist()))
+                words, kept, spans = _kept(r["text"], r["flags"], r["row"])
                 whole = b" ".join(kept)
                 out.append(
                     {
                         "doc_id": None if r["id"] == _NO_ID else r["id"],
-                        "row": r["row"],
                         "n_words": len(words),
                         "n_removed": len(words) - len(kept),
                         "kept_sha256": hashlib.sha256(whole).hexdigest(),
@@ -272,7 +273,46 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     result = (
-        "doc_id long, row long, n_words long, n_removed long, kept_sha256 string, kept_text string, "
+        "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, "
         "repeats array<struct<first: long, n: long>>"
     )
-    return hit.unionByName(clear).mapInArrow(run, result)
+    both = hit.select("id", "row", "text", "flags").unionByName(clear.select("id", "row", "text", "flags"))
+    return both.mapInArrow(run, result)
+
+
+def _kept(text: str, flags, row: int) -> tuple[list[bytes], list[bytes], list[tuple[int, int]]]:
+    """All words, the words that are kept, and the repeats that are removed."""
+    words = text.encode().split()
+    if flags is None or not len(flags):
+        return words, words, []
+    covered = _covered(flags, row, len(words))
+    return words, list(compress(words, (~covered).tolist())), maximal_repeats(covered)
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """The documents with their columns; where words are removed, ``text`` and ``n_chars`` are those of what is kept.
+
+    Texts without repeats stay as they are, white space included, and are not shuffled.
+    """
+    columns = docs.columns
+    own = F.struct(*[F.col(f"`{c}`") for c in columns if c != "text"], F.isnull("text").alias("__null")).alias("own")
+    hit, clear = _judged(_numbered(docs, own), _numbered(docs))
+
+    @F.pandas_udf("string")
+    def shortened(texts: pd.Series, flags: pd.Series, rows: pd.Series) -> pd.Series:
+        out = []
+        for text, found, row in zip(texts, flags, rows):
+            words, kept, _ = _kept(text, found, row)
+            out.append(b" ".join(kept).decode() if len(kept) < len(words) else None)
+        return pd.Series(out, dtype=object)
+
+    before = F.when(~F.col("own.__null"), F.col("text"))
+    new = {"text": F.coalesce("short", before)}
+    if "n_chars" in columns:
+        kind = docs.schema["n_chars"].dataType
+        new["n_chars"] = F.when(F.col("short").isNotNull(), F.char_length("short").cast(kind)).otherwise(
+            F.col("own.n_chars")
+        )
+    both = hit.withColumn("short", shortened("text", "flags", "row")).drop("flags")
+    both = both.unionByName(clear.withColumn("short", F.lit(None).cast("string")))
+    return both.select(*[new.get(c, F.col(f"own.`{c}`")).alias(c) for c in columns])

@@ -21,19 +21,22 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetwatch.llm.labelled import distinct_sample, remainder, teaching_rows
 from fleetwatch.llm.logistic import fit, sigmoid
+from fleetwatch.session import cut
 
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.5
 #: Bounds of the fit: labelled rows, lexicon entries, letters of a word beginning.
 MOST_ROWS, MOST_ENTRIES, LONGEST = 12_000, 600, 12
 SHORTEST, LEAST_DOCS, LEAST_SHARE = 3, 4, 0.8
-#: An entry must be so unlikely to be chance: log of the probability of its toxic documents at the overall rate.
-LEAST_SURPRISE = 16.0
+#: The probability of an entry's toxic documents at the overall rate, times all terms that are tried, is e to the
+#: minus this at most.
+LEAST_SURPRISE = 1.0
 FUZZY_FROM = 5  # letters of an entry from which one edit is allowed
 SAME_SHARE = 0.9  # of the toxic documents of a beginning, for a longer one to stand for it
 CONTEXT = 6  # words on either side
@@ -246,9 +249,10 @@ def learn_entries(docs: DataFrame) -> list[str]:
     share = F.col("toxic") / F.col("n")
     clean = F.col("n") - F.col("toxic")
     surprise = F.col("toxic") * math.log(1 / rate) - clean * F.log(F.col("n") * math.e / F.greatest(clean, F.lit(1)))
+    terms = cut(word_beginnings(docs).where(F.col("n") >= LEAST_DOCS), "terms")
+    tried = math.log(max(1, terms.count()))
     rows = (
-        word_beginnings(docs)
-        .where((F.col("toxic") >= LEAST_DOCS) & (share >= LEAST_SHARE) & (surprise >= LEAST_SURPRISE))
+        terms.where((F.col("toxic") >= LEAST_DOCS) & (share >= LEAST_SHARE) & (surprise >= LEAST_SURPRISE + tried))
         .orderBy((share * F.log2(F.col("toxic") + 1)).desc(), F.length("term"), "term")
         .limit(MOST_ENTRIES * 4)
         .collect()
@@ -358,16 +362,10 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     lexicon, coefficients = model.lexicon, model.coefficients
 
     @F.pandas_udf("boolean")
-    def clean(texts: Iterator) -> Iterator:
+    def clean(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scanner = Scanner(lexicon.entries)
         for batch in texts:
             f = [lexicon.features(*scanner.hits(t or "")) for t in batch]
-            yield _series(sigmoid(np.array(f).reshape(-1, FEATURES) @ coefficients) < THRESHOLD)
+            yield pd.Series(sigmoid(np.array(f).reshape(-1, FEATURES) @ coefficients) < THRESHOLD)
 
     return docs.where(clean("text"))
-
-
-def _series(values: np.ndarray):
-    import pandas as pd
-
-    return pd.Series(values)
