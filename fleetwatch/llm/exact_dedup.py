@@ -119,31 +119,29 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
 
     The row that stays is fetched by (digest, id), so a text with many copies spreads over all tasks.
     """
-    keyed = docs.withColumn(_SHA, text_digest(F.col(text)))
-    table = cut(keyed.select(F.col(key).alias("__id"), _SHA), "digests")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    keyed = docs.select(F.col(key).alias("id"), text_digest(F.col(text)).alias("sha"), whole)
+    table = cut(keyed.select("id", "sha"), "digests")
     bits = filter_bits(table.count())
-    repeated = repeated_filter(table, _SHA, bits)
+    repeated = repeated_filter(table, "sha", bits)
     keep = (
-        with_maybe(table, _SHA, repeated, bits)
+        with_maybe(table, "sha", repeated, bits)
         .where(MAYBE)
-        .groupBy(F.col(_SHA).alias("__keep_sha"))
-        .agg(F.max("__id").alias("__keep_id"))
-        .select("__keep_sha", F.coalesce("__keep_id", F.lit(0)).alias("__kid"), F.isnull("__keep_id").alias("__knull"))
+        .groupBy(F.col("sha").alias("keep_sha"))
+        .agg(F.max("id").alias("keep_id"))
+        .select("keep_sha", F.coalesce("keep_id", F.lit(0)).alias("keep_id"), F.isnull("keep_id").alias("keep_null"))
     )
-    rows = with_maybe(keyed, _SHA, repeated, bits)
+    rows = with_maybe(keyed, "sha", repeated, bits)
     stay = (
         rows.where(MAYBE)
-        .withColumn("__id", F.coalesce(F.col(key), F.lit(0)))
-        .withColumn("__null", F.isnull(F.col(key)))
+        .select("sha", F.coalesce("id", F.lit(0)).alias("id"), F.isnull("id").alias("null"), "doc")
         .join(
             keep,
-            (F.col(_SHA) == F.col("__keep_sha"))
-            & (F.col("__id") == F.col("__kid"))
-            & (F.col("__null") == F.col("__knull")),
+            (F.col("sha") == F.col("keep_sha")) & (F.col("id") == F.col("keep_id")) & (F.col("null") == F.col("keep_null")),
         )
-        .dropDuplicates([_SHA, "__id", "__null"])
+        .dropDuplicates(["sha", "id", "null"])
     )
-    return rows.where(~F.col(MAYBE)).select(docs.columns).unionByName(stay.select(docs.columns))
+    return rows.where(~F.col(MAYBE)).select("doc").unionByName(stay.select("doc")).select("doc.*")
 
 
 SQL = """

@@ -285,13 +285,11 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def linked(classes: DataFrame) -> DataFrame:
-    """Links between documents of different sets, enough of them to connect all that are connected: (a, b)."""
-    counters = counter_table(cut(profile(classes), "profile"))
-    return _linked(classes, counters)
+def linked(classes: DataFrame, counters: np.ndarray) -> DataFrame:
+    """Links (a, b) between documents of different sets, enough of them to connect all that are connected.
 
-
-def _linked(classes: DataFrame, counters: np.ndarray) -> DataFrame:
+    ``classes`` are rows (id, text), one for each set.
+    """
     entries = cut(prefixes(classes, estimates(counters)), "prefixes")
     lists = cut(posting_lists(entries), "lists")
     to_lead = lists.select(F.col("lead").alias("a"), F.col("id").alias("b"), F.col("lead_mark").alias("mark_a"), F.col("mark").alias("mark_b"))
@@ -346,7 +344,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     looked = with_maybe(rows.where(F.col("id").isNotNull()), "id", member_filter(later, "id", bits), bits)
     checked = looked.where(MAYBE).join(later.select(F.col("id").alias("__later")), F.col("id") == F.col("__later"), "left_anti")
     classes = looked.where(~F.col(MAYBE)).unionByName(checked).select("id", "text")
-    group = components(_linked(classes, counter_table(profiles)))
+    group = components(linked(classes, counter_table(profiles)))
     placed = (
         named.join(group, F.col("head") == F.col("node"), "left")
         .select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "head").alias("component_id"))
@@ -359,9 +357,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents that stay, with their columns: of each component the one with the smallest id."""
-    found = near_duplicates(docs)
-    gone = cut(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("id")).distinct(), "gone")
+    found = near_duplicates(docs.select("doc_id", "text"))
+    gone = cut(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone")).distinct(), "gone")
     bits = filter_bits(gone.count())
-    looked = with_maybe(docs.withColumn("__id", F.col("doc_id").cast("long")), "__id", member_filter(gone, "id", bits), bits)
-    checked = looked.where(MAYBE).join(gone, F.col("__id") == F.col("id"), "left_anti")
-    return looked.where(~F.col(MAYBE)).unionByName(checked).select(docs.columns)
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    looked = with_maybe(rows, "id", member_filter(gone, "gone", bits), bits)
+    checked = looked.where(MAYBE).join(gone, F.col("id") == F.col("gone"), "left_anti")
+    return looked.where(~F.col(MAYBE)).unionByName(checked).select("doc.*")
