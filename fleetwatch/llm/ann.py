@@ -7,8 +7,8 @@
    so far; candidates that can hardly be nearer are abandoned.
 3. What is left gets the exact distance of the original vectors in double precision.
 
-Long lists are split by a hash of the id into parts of bounded size, so a vector that a third of all rows repeat
-is spread over many tasks. Vectors that are null, zero, of another length than most, or hold null or
+Short lists share a shelf, long ones are split by a hash over shelves of bounded size, so a vector that a third
+of all rows repeat is spread over many tasks. Vectors that are null, zero, of another length than most, or hold null or
 non-finite components take no part, as queries or candidates. Rows with a null id take no part. Rows that repeat
 an id are candidates of their own; a query's own id is no candidate. Ties go to the smaller id. Empty tables
 give empty tables.
@@ -32,7 +32,8 @@ NEIGHBOURS, EVERY = 10, 100
 #: Bounds of the fit: sampled vectors and centres.
 SAMPLE, MOST_LISTS, ROWS_A_LIST = 20_000, 4096, 64
 PROBE_SHARE, LEAST_PROBES = 0.5, 48
-PART_ROWS = 4096  # of a list that one task scans at a time
+SHELF_ROWS = 8192  # that one task scans at a time: many short lists, or part of a long one
+STEP_ROWS = 512  # between two looks at the limit
 BLOCK = 16  # dimensions per column block
 #: A candidate is abandoned when its partial distance exceeds the limit by this many times 1 / sqrt(dimensions).
 CONFIDENCE = 2.1
@@ -102,54 +103,103 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _listed(rows: DataFrame, index: Index, probes: int) -> DataFrame:
-    """One row per vector and list: the ``probes`` nearest lists, as (list, vec_id, v)."""
+def _listed(rows: DataFrame, index: Index) -> DataFrame:
+    """Each vector with the list of its nearest centre."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                lists = _nearest(_matrix(batch.column("v")) @ index.rotation, index.centres, 1)[:, 0]
+                columns = [pa.array(lists.astype(np.int32)), batch.column("vec_id"), batch.column("v")]
+                yield pa.RecordBatch.from_arrays(columns, names=["list", "vec_id", "v"])
+
+    return rows.mapInArrow(run, "list int, vec_id long, v array<double>")
+
+
+def _asked(queries: DataFrame, index: Index, shelves: dict[int, tuple[int, int]], probes: int) -> DataFrame:
+    """Each query once for every shelf that holds lists it probes, with those lists, the nearest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
                 continue
-            lists = _nearest(_matrix(batch.column("v")) @ index.rotation, index.centres, probes)
-            take = pa.array(np.repeat(np.arange(len(batch)), lists.shape[1]))
+            near = _nearest(_matrix(batch.column("v")) @ index.rotation, index.centres, probes)
+            out = {"shelf": [], "row": [], "lists": []}
+            for row, lists in enumerate(near.tolist()):
+                own: dict[int, list[int]] = {}
+                for number in lists:
+                    first, parts = shelves.get(number, (0, 0))
+                    for shelf in range(first, first + parts):
+                        own.setdefault(shelf, []).append(number)
+                out["shelf"] += own.keys()
+                out["lists"] += own.values()
+                out["row"] += [row] * len(own)
+            take = pa.array(out["row"], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(lists.ravel().astype(np.int32)), batch.column("vec_id").take(take), batch.column("v").take(take)],
-                names=["list", "vec_id", "v"],
+                [
+                    pa.array(out["shelf"], pa.int32()),
+                    batch.column("vec_id").take(take),
+                    batch.column("v").take(take),
+                    pa.array(out["lists"], pa.list_(pa.int32())),
+                ],
+                names=["shelf", "vec_id", "v", "lists"],
             )
 
-    return rows.mapInArrow(run, "list int, vec_id long, v array<double>")
+    return queries.mapInArrow(run, "shelf int, vec_id long, v array<double>, lists array<int>")
 
 
-def scan(
-    queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, rotation: np.ndarray, k: int = NEIGHBOURS
-) -> list[tuple[int, int, float]]:
-    """The ``k`` nearest of ``rows`` to each query, as (query id, id, distance), with early abandonment."""
-    dims = rows.shape[1]
-    order = np.argsort(ids, kind="stable")
-    rows, ids = rows[order], ids[order]
-    columns = np.ascontiguousarray((rows @ rotation).T)
-    turned = queries @ rotation
-    first = min(len(ids), 4 * k)
-    out = []
-    for q, turned_q, query_id in zip(queries, turned, query_ids.tolist()):
-        alive = np.flatnonzero(ids != query_id)
-        head = alive[:first]
-        exact = np.sqrt(((rows[head] - q) ** 2).sum(1))
-        limit = np.partition(exact, k - 1)[k - 1] if len(exact) >= k else np.inf
-        alive = alive[first:]
+class Shelf:
+    """Rows of some lists that one task scans: the originals, and the rotated ones as column blocks."""
+
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, lists: np.ndarray, rotation: np.ndarray):
+        order = np.lexsort((ids, lists))
+        self.rows, self.ids, self.lists = rows[order], ids[order], lists[order]
+        self.columns = np.ascontiguousarray((self.rows @ rotation).T)
+
+    def places(self, lists: np.ndarray, without: int) -> np.ndarray:
+        """Places of the rows of these lists in turn, but for those of one id."""
+        low, high = np.searchsorted(self.lists, lists), np.searchsorted(self.lists, lists, "right")
+        found = np.concatenate([np.arange(a, b) for a, b in zip(low, high)]) if len(lists) else np.zeros(0, int)
+        return found[self.ids[found] != without]
+
+
+def scan(query: np.ndarray, turned: np.ndarray, order: np.ndarray, shelf: Shelf, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the shelf of the ``k`` nearest rows to a query, and their distances.
+
+    ``order`` holds the places of the probed lists' rows, the nearest list first, so that the limit is tight early.
+    """
+    dims = len(query)
+    best, far = np.zeros(0, int), np.zeros(0)
+    for at in range(0, len(order), STEP_ROWS):
+        alive = order[at : at + STEP_ROWS]
+        limit = far[k - 1] if len(far) >= k else np.inf
         partial = np.zeros(len(alive))
         for lo in range(0, dims, BLOCK):
+            if not len(alive) or limit == np.inf:
+                break
             hi = min(dims, lo + BLOCK)
-            partial += ((columns[lo:hi, alive] - turned_q[lo:hi, None]) ** 2).sum(0)
+            partial += ((shelf.columns[lo:hi, alive] - turned[lo:hi, None]) ** 2).sum(0)
             # Hypothesis: the whole distance is within the limit. Beyond this bound it is rejected.
             slack = 1.0 if hi == dims else 1 + CONFIDENCE / math.sqrt(hi)
             keep = partial <= (limit * slack) ** 2 * (hi / dims) * (1 + 1e-9) + 1e-12
             alive, partial = alive[keep], partial[keep]
-            if not len(alive):
-                break
-        found = np.concatenate([exact, np.sqrt(((rows[alive] - q) ** 2).sum(1))])
-        near = np.concatenate([head, alive])
-        best = np.lexsort((ids[near], found))[:k]
-        out.extend((query_id, int(ids[near[b]]), float(found[b])) for b in best)
+        best = np.concatenate([best, alive])
+        far = np.concatenate([far, np.sqrt(((shelf.rows[alive] - query) ** 2).sum(1))])
+        first = np.lexsort((shelf.ids[best], far))[:k]
+        best, far = best[first], far[first]
+    return best, far
+
+
+def shelve(counts: dict[int, int]) -> dict[int, tuple[int, int]]:
+    """First shelf and number of shelves of each list: short lists share one, long ones are split."""
+    out, shelf, room = {}, -1, 0
+    for number in sorted(counts):
+        parts = -(-counts[number] // SHELF_ROWS)
+        if parts > 1 or counts[number] > room:
+            shelf, room = shelf + 1, SHELF_ROWS
+        out[number] = (shelf, parts)
+        room = room - counts[number] if parts == 1 else 0
+        shelf += parts - 1
     return out
 
 
@@ -163,35 +213,28 @@ def nearest(vectors: DataFrame, every: int = EVERY, k: int = NEIGHBOURS) -> Data
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     lists = len(index.centres)
     probes = min(lists, max(LEAST_PROBES, math.ceil(PROBE_SHARE * lists)))
-    listed = cut(_listed(rows, index, 1), "lists")
-    parts = listed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("parts"))
-    members = (
-        listed.join(F.broadcast(parts), "list")  # at most MOST_LISTS rows
-        .withColumn("part", F.pmod(F.xxhash64("vec_id", "v"), F.col("parts")).cast("int"))
-        .drop("parts")
-    )
-    asked = (
-        _listed(rows.where(F.col("vec_id") % every == 0), index, probes)
-        .join(F.broadcast(parts), "list")
-        .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .drop("parts")
+    listed = cut(_listed(rows, index), "lists")
+    # At most MOST_LISTS numbers, whatever the input.
+    shelves = shelve({r["list"]: r["count"] for r in listed.groupBy("list").count().collect()})
+    where = F.broadcast(
+        spark.createDataFrame([(n, s, p) for n, (s, p) in shelves.items()], "list int, first int, parts int")
     )
+    part = F.pmod(F.xxhash64("vec_id", "v"), F.col("parts")).cast("int")
+    members = listed.join(where, "list").select((F.col("first") + part).alias("shelf"), "list", "vec_id", "v")
+    asked = _asked(rows.where(F.col("vec_id") % every == 0), index, shelves, probes)
     rotation = index.rotation
 
     def compare(asking: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        if not len(asking) or not len(held):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        found = scan(
-            np.stack(asking["v"].to_numpy()),
-            asking["vec_id"].to_numpy(),
-            np.stack(held["v"].to_numpy()),
-            held["vec_id"].to_numpy(),
-            rotation,
-            k,
-        )
+        found: list[tuple[int, int, float]] = []
+        if len(asking) and len(held):
+            shelf = Shelf(np.stack(held["v"].to_numpy()), held["vec_id"].to_numpy(), held["list"].to_numpy(), rotation)
+            for q, v, lists in zip(asking["vec_id"], asking["v"], asking["lists"]):
+                query = np.asarray(v)
+                best, far = scan(query, query @ rotation, shelf.places(np.asarray(lists), q), shelf, k)
+                found.extend(zip([q] * len(best), shelf.ids[best].tolist(), far.tolist()))
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
 
-    found = asked.groupBy("list", "part").cogroup(members.groupBy("list", "part")).applyInPandas(compare, FOUND)
+    found = asked.groupBy("shelf").cogroup(members.groupBy("shelf")).applyInPandas(compare, FOUND)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return (
         found.withColumn("rank", place.cast("int"))

@@ -157,7 +157,7 @@ def test_parts_of_a_list_give_the_same_neighbours(spark, monkeypatch):
     rows = [(i, v.tolist(), 1) for i, v in enumerate(_vectors(1000))]
     frame = spark.createDataFrame(rows, VECTORS)
     before = sorted(map(tuple, ann.nearest(frame).collect()))
-    monkeypatch.setattr(ann, "PART_ROWS", 16)
+    monkeypatch.setattr(ann, "SHELF_ROWS", 16)
     assert sorted(map(tuple, ann.nearest(frame).collect())) == before
 
 
