@@ -7,9 +7,9 @@ prefix, the longer the prefix and the more shared shingles are asked for. Two do
 share as many as the smaller ``k`` of both; candidates are verified on their whole sets.
 
 Documents of equal sets are one class, and only one document of a class is joined. Classes first meet the most
-central document of each list of a shingle; what these links connect is not compared again, so a
-group of near copies costs as many comparisons as it has members. Then the classes of a list that are not
-connected with its leader meet the rest of the list.
+central document of each list of a shingle, so a group of near copies costs as many comparisons as it has members;
+what these links connect is not compared again. Then entries of a list that are not connected meet: pair by pair
+in short lists; in long ones those not connected with the leader meet all others inside tasks of bounded size.
 
 Nulls and texts without words are empty and linked with nothing, as are rows without an id. Rows that repeat an id
 are one document as to links. Rows that repeat id and text give repeated rows. Empty tables give empty tables.
@@ -33,9 +33,13 @@ from fleetwatch.session import cut
 WORDS, PERCENT = 5, 75
 MOST_MATCHES = 4  # shared prefix shingles that a document may ask for
 VERIFY_COST = 20.0  # of one candidate, in entries of a list
-#: The frequency estimate: so many counters, whatever the input. They only order the shingles.
-COUNTERS, SLICE = 2**20, 2**12
-_PROFILE = "kind int, id long, n long, key1 long, key2 long, slice int, counts binary"
+#: Frequencies are counted in this share of every set, its smallest hashes, and kept in so many slots of one byte,
+#: whatever the input. They only order the shingles.
+COUNTED_SHARE, SLOTS, SLICE = 1 / 3, 2**24, 2**16
+LEAST_COUNT = 3
+SHORT = 32  # entries of a list whose pairs are written out; longer lists are compared in squares
+SQUARE = 512
+OFTEN = 12  # log2 of the documents from which a list is summed up before it is joined
 
 
 def shingle_sets(chunk: Chunk, hasher: WordHasher, size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -69,78 +73,61 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def profile(docs: DataFrame) -> DataFrame:
-    """One pass: size and key of each document's set (kind 0), and counters of all shingles (kind 1)."""
-    schema = pa.schema(
-        [
-            ("kind", pa.int32()),
-            ("id", pa.int64()),
-            ("n", pa.int64()),
-            ("key1", pa.int64()),
-            ("key2", pa.int64()),
-            ("slice", pa.int32()),
-            ("counts", pa.binary()),
-        ]
-    )
+    """Size and key of each document's set: (id, n, key1, key2). Equal sets have equal keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, counters = WordHasher(lower=True), np.zeros(COUNTERS, np.int64)
+        hasher = WordHasher(lower=True)
         for batch in batches:
             n, key1, key2 = [], [], []
             for chunk in chunks(batch.column("text")):
                 value, bounds = shingle_sets(chunk, hasher)
-                counters += np.bincount((value % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
-                n.append(np.diff(bounds))
-                key1.append(_sums(value, bounds))
-                key2.append(_sums(mix(value + np.uint64(0x632BE59BD9B4E019)), bounds))
+                n.append(np.diff(bounds).astype(np.int64))
+                key1.append(mix(_sums(value, bounds)).view(np.int64))
+                key2.append(mix(_sums(mix(value + np.uint64(0x632BE59BD9B4E019)), bounds)).view(np.int64))
             if n:
-                rows = len(batch)
-                key = lambda k: pa.array(mix(np.concatenate(k)).view(np.int64))
-                none = lambda t: pa.nulls(rows, t)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.zeros(rows, np.int32)),
-                        batch.column("id"),
-                        pa.array(np.concatenate(n).astype(np.int64)),
-                        key(key1),
-                        key(key2),
-                        none(pa.int32()),
-                        none(pa.binary()),
-                    ],
-                    schema=schema,
-                )
-        for i in range(0, COUNTERS, SLICE):
-            part = counters[i : i + SLICE]
-            if part.any():
-                yield pa.RecordBatch.from_pylist(
-                    [{"kind": 1, "slice": i // SLICE, "counts": part.astype("<i8").tobytes()}], schema=schema
-                )
+                columns = [batch.column("id"), *(pa.array(np.concatenate(c)) for c in (n, key1, key2))]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "key1", "key2"])
 
-    return docs.select("id", "text").mapInArrow(run, _PROFILE)
+    return docs.select("id", "text").mapInArrow(run, "id long, n long, key1 long, key2 long")
 
 
-def counter_table(profiles: DataFrame) -> np.ndarray:
-    """Counters over all documents: ``COUNTERS`` numbers, at any size of input."""
+def frequency_levels(docs: DataFrame) -> np.ndarray:
+    """For each slot of shingles log2 of the documents that hold its most frequent shingle; 0 below ``LEAST_COUNT``.
 
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(c, "<i8") for c in group["counts"])
-        return pd.DataFrame({"slice": [group["slice"].iloc[0]], "counts": [total.tobytes()]})
+    Counts are exact and cover all documents; what reaches the driver is ``SLOTS`` bytes at any size of input.
+    """
 
+    def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher(lower=True)
+        for batch in batches:
+            for chunk in chunks(batch.column("text")):
+                value, bounds = shingle_sets(chunk, hasher)
+                n = np.diff(bounds)
+                place = np.arange(len(value)) - np.repeat(bounds[:-1], n)
+                counted = value[place < np.repeat(np.ceil(n * COUNTED_SHARE), n)]
+                yield pa.RecordBatch.from_arrays([pa.array(counted.view(np.int64))], names=["token"])
+
+    def fill(rows: pd.DataFrame) -> pd.DataFrame:
+        own = np.zeros(SLICE, np.uint8)
+        own[rows["at"].to_numpy()] = rows["level"].to_numpy()
+        return pd.DataFrame({"slice": [int(rows["slice"].iloc[0])], "levels": [own.tobytes()]})
+
+    slot = F.col("token").bitwiseAND(SLOTS - 1)
+    counts = docs.select("text").mapInArrow(smallest, "token long").groupBy("token").count()
     slices = (
-        profiles.where("kind = 1").select("slice", "counts").groupBy("slice").applyInPandas(add, "slice int, counts binary")
+        counts.where(F.col("count") >= LEAST_COUNT)
+        .groupBy(slot.alias("slot"))
+        .agg(F.floor(F.log2(F.max("count"))).cast("int").alias("level"))
+        .select(F.shiftright("slot", 16).alias("slice"), F.col("slot").bitwiseAND(SLICE - 1).alias("at"), "level")
+        .groupBy("slice")
+        .applyInPandas(fill, "slice int, levels binary")
     )
-    out = np.zeros(COUNTERS, np.int64)
+    out = np.zeros(SLOTS, np.uint8)
     for r in slices.collect():
-        out[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["counts"], "<i8")
+        out[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["levels"], np.uint8)
     return out
 
 
-def estimates(counters: np.ndarray) -> np.ndarray:
-    """Documents that a shingle of each counter is thought to be in: 1 unless the counter stands out."""
-    usual = float(np.median(counters))
-    extra = counters - usual
-    return np.where(extra > 8 + 6 * np.sqrt(usual + 1), np.maximum(1.0, extra), 1.0).astype(np.float32)
-
-
 def required(n: np.ndarray | Column):
     """Least number of shared shingles with any linked set, for a set of ``n``: 75 % of it, rounded up."""
     return -(-(n * PERCENT) // 100)
@@ -160,7 +147,7 @@ def chosen_matches(frequency: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return best
 
 
-def prefixes(docs: DataFrame, estimate: np.ndarray) -> DataFrame:
+def prefixes(docs: DataFrame, levels: np.ndarray) -> DataFrame:
     """(token, id, mark) of every prefix entry; ``mark`` packs set size, position, matches asked for, frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,15 +158,14 @@ def prefixes(docs: DataFrame, estimate: np.ndarray) -> DataFrame:
                 value, bounds = shingle_sets(chunk, hasher)
                 n = np.diff(bounds)
                 of = np.repeat(np.arange(len(n)), n)
-                often = estimate[(value % np.uint64(COUNTERS)).astype(np.int64)]
-                level = np.ceil(2 * np.log2(often)).astype(np.int8)
+                level = levels[(value & np.uint64(SLOTS - 1)).astype(np.int64)]
                 order = np.lexsort((value, level, of))
-                value, often = value[order], often[order]
-                k = chosen_matches(often, bounds)
+                value, level = value[order], level[order]
+                k = chosen_matches(np.exp2(level), bounds)
                 length = np.minimum(n, n - required(n) + k)
                 place = np.arange(len(value)) - np.repeat(bounds[:-1], n)
                 take = place < length[of]
-                mark = (n[of] << 32) | (place << 3) | ((k[of] - 1) << 1) | (often > 1)
+                mark = (n[of] << 32) | (place << 3) | ((k[of] - 1) << 1) | (level >= OFTEN)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(value[take].view(np.int64)),
@@ -239,16 +225,17 @@ def posting_lists(entries: DataFrame) -> DataFrame:
     )
 
 
-def _candidates(met: DataFrame) -> DataFrame:
-    """Pairs (a, b) that share enough prefix shingles, from rows (a, b, mark_a, mark_b) per shared shingle."""
-    asked = F.least(_matches(F.col("mark_a")), _matches(F.col("mark_b")))
+def _shared(met: DataFrame) -> DataFrame:
+    """(a, b, shared, asked) of pairs a < b, from rows (a, b, mark_a, mark_b) per shared shingle."""
     return (
         met.where((F.col("a") != F.col("b")) & _may_link(F.col("mark_a"), F.col("mark_b")))
-        .withColumn("asked", asked)
+        .select(
+            F.least("a", "b").alias("a"),
+            F.greatest("a", "b").alias("b"),
+            F.least(_matches(F.col("mark_a")), _matches(F.col("mark_b"))).alias("asked"),
+        )
         .groupBy("a", "b")
         .agg(F.count(F.lit(1)).alias("shared"), F.max("asked").alias("asked"))
-        .where(F.col("shared") >= F.col("asked"))
-        .select("a", "b")
     )
 
 
@@ -285,50 +272,167 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def linked(classes: DataFrame, counters: np.ndarray) -> DataFrame:
+def linked(classes: DataFrame) -> DataFrame:
     """Links (a, b) between documents of different sets, enough of them to connect all that are connected.
 
     ``classes`` are rows (id, text), one for each set.
     """
-    entries = cut(prefixes(classes, estimates(counters)), "prefixes")
+    entries = cut(prefixes(classes, frequency_levels(classes)), "prefixes")
     lists = cut(posting_lists(entries), "lists")
     to_lead = lists.select(F.col("lead").alias("a"), F.col("id").alias("b"), F.col("lead_mark").alias("mark_a"), F.col("mark").alias("mark_b"))
-    first = cut(verified(cut(_candidates(to_lead), "candidates"), classes), "links")
+    with_lead = cut(_shared(to_lead), "with_lead")
+    enough = F.col("shared") >= F.col("asked")
+    first = cut(verified(with_lead.where(enough).select("a", "b"), classes), "links")
     group = components(first)
-    named = (
-        lists.join(group.toDF("__n", "__g"), F.col("id") == F.col("__n"), "left")
-        .withColumn("group", F.coalesce("__g", "id"))
-        .drop("__n", "__g")
-        .join(group.toDF("__n", "__g"), F.col("lead") == F.col("__n"), "left")
-        .withColumn("lead_group", F.coalesce("__g", "lead"))
-        .drop("__n", "__g")
+    named = cut(_with_groups(lists, group), "groups")
+    # What the leader links is known. Left are lists whose other entries are not all connected.
+    own = Window.partitionBy("token")
+    rest = named.where(F.col("id") != F.col("lead"))
+    often = F.col("mark").bitwiseAND(1) == 1
+    rare = (
+        rest.where(~often)
+        .withColumn("n", F.count(F.lit(1)).over(own))
+        .withColumn("open", F.min("group").over(own) != F.max("group").over(own))
+        .where("open")
+    )
+    heads = (
+        rest.where(often)
+        .groupBy(F.col("token").alias("__t"))
+        .agg(F.count(F.lit(1)).alias("n"), (F.min("group") != F.max("group")).alias("open"))
+        .where("open")
     )
-    named = cut(named.select("token", "id", "mark", "group", "lead_group"), "groups")
-    apart = named.where(F.col("group") != F.col("lead_group"))
-    others = named.select(
-        F.col("token").alias("__t"), F.col("id").alias("b"), F.col("mark").alias("mark_b"), F.col("group").alias("__g")
+    frequent = rest.where(often).join(heads, F.col("token") == F.col("__t"))
+    columns = ["token", "id", "mark", "lead", "group", "lead_group", "n"]
+    opened = cut(rare.select(columns).unionByName(frequent.select(columns)), "open")
+    # A pair may share some shingles where one of both leads, and others where neither does.
+    together = (
+        _shared(_pairs_of_short_lists(opened))
+        .unionByName(with_lead.where(~enough))
+        .groupBy("a", "b")
+        .agg(F.sum("shared").alias("shared"), F.max("asked").alias("asked"))
     )
-    met = (
-        apart.withColumnRenamed("id", "a")
-        .withColumnRenamed("mark", "mark_a")
-        .join(
-            others,
-            (F.col("token") == F.col("__t"))
-            & (F.col("group") != F.col("__g"))
-            & ((F.col("__g") == F.col("lead_group")) | (F.col("a") < F.col("b")))
-            & _may_link(F.col("mark_a"), F.col("mark_b")),
+    second = verified(cut(together.where(enough).select("a", "b"), "candidates"), classes)
+    third = _links_of_long_lists(opened, classes)
+    return first.unionByName(second).unionByName(third)
+
+
+def _with_groups(lists: DataFrame, group: DataFrame) -> DataFrame:
+    """Entries with the component of their document and of the leader of their list."""
+    own, lead = group.toDF("__i", "__g"), group.toDF("__l", "__h")
+    return (
+        lists.join(own, F.col("id") == F.col("__i"), "left")
+        .join(lead, F.col("lead") == F.col("__l"), "left")
+        .select(
+            "token",
+            "id",
+            "mark",
+            "lead",
+            F.coalesce("__g", "id").alias("group"),
+            F.coalesce("__h", "lead").alias("lead_group"),
         )
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "mark_a", "mark_b")
     )
-    second = verified(cut(_candidates(met), "candidates"), classes)
-    return first.unionByName(second)
+
+
+def _pairs_of_short_lists(opened: DataFrame) -> DataFrame:
+    """Pairs (a, b) of one list that are not connected, from lists of at most ``SHORT`` entries."""
+    short = opened.where(F.col("n") <= SHORT)
+    one = short.select("token", F.col("id").alias("a"), F.col("mark").alias("mark_a"), F.col("group").alias("__g"))
+    two = short.select(F.col("token").alias("__t"), F.col("id").alias("b"), F.col("mark").alias("mark_b"), "group")
+    return one.join(
+        two,
+        (F.col("token") == F.col("__t"))
+        & (F.col("a") < F.col("b"))
+        & (F.col("group") != F.col("__g"))
+        & _may_link(F.col("mark_a"), F.col("mark_b")),
+    ).select("a", "b", "mark_a", "mark_b")
+
+
+def _links_of_long_lists(opened: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links between the documents of longer lists: those not connected with the leader against all others.
+
+    Lists of one leader have much the same entries and are compared as one, in squares of ``SQUARE`` documents by
+    ``SQUARE``; a square emits only links that connect what was not connected, so no more than it has documents.
+    """
+    members = cut(
+        opened.where(F.col("n") > SHORT)
+        .select("lead", "id", "group", (F.col("group") != F.col("lead_group")).alias("stray"))
+        .distinct(),
+        "members",
+    )
+    sizes = (
+        members.groupBy(F.col("lead").alias("__lead"))
+        .agg(
+            F.ceil(F.count(F.lit(1)) / SQUARE).alias("columns"),
+            F.ceil(F.count(F.when(F.col("stray"), 1)) / SQUARE).alias("rows"),
+        )
+        .where("rows > 0")
+    )
+    placed = members.join(sizes, F.col("lead") == F.col("__lead"))
+    at = F.xxhash64("id")
+    squares = [
+        placed.where(side)
+        .withColumn("own", F.pmod(at, F.col(own)))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
+        .select("lead", "id", "group", F.lit(left).alias("left"), *[F.col(c).alias(n) for c, n in names])
+        for left, side, own, other, names in (
+            (True, F.col("stray"), "rows", "columns", (("own", "row"), ("other", "col"))),
+            (False, F.lit(True), "columns", "rows", (("other", "row"), ("own", "col"))),
+        )
+    ]
+    ends = cut(members.select("id").distinct(), "ends")
+    texts = cut(
+        _only(classes, ends).join(ends.withColumnRenamed("id", "__e"), F.col("id") == F.col("__e"), "left_semi"), "texts"
+    )
+    held = squares[0].unionByName(squares[1]).join(texts.withColumnRenamed("id", "__id"), F.col("id") == F.col("__id"))
+
+    def compare(square: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(_square_links(square), columns=["a", "b"], dtype="int64")
+
+    columns = ["lead", "row", "col", "id", "group", "left", "text"]
+    return held.select(columns).groupBy("lead", "row", "col").applyInPandas(compare, "a long, b long")
+
+
+def _square_links(square: pd.DataFrame) -> list[tuple[int, int]]:
+    """Links of the left documents with the right ones, as many as connect groups that are not connected yet."""
+    hasher, sets = WordHasher(lower=True), []
+    for chunk in chunks(pa.array(square["text"], pa.large_string())):
+        value, bounds = shingle_sets(chunk, hasher)
+        sets.extend(np.split(value, bounds[1:-1]))
+    ids, groups = square["id"].to_numpy(), square["group"].to_numpy()
+    left = np.flatnonzero(square["left"].to_numpy())
+    right = np.flatnonzero(~square["left"].to_numpy())
+    if not len(left) or not len(right):
+        return []
+    root: dict[int, int] = {}
+
+    def find(g: int) -> int:
+        while root.get(g, g) != g:
+            g = root[g]
+        return g
+
+    tokens = np.concatenate([sets[j] for j in right])
+    owner = np.repeat(np.arange(len(right)), [len(sets[j]) for j in right])
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    size = np.array([len(sets[j]) for j in right])
+    out = []
+    for i in left.tolist():
+        low, high = np.searchsorted(tokens, sets[i]), np.searchsorted(tokens, sets[i], "right")
+        length = high - low
+        at = np.repeat(low - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
+        common = np.bincount(owner[at], minlength=len(right))
+        for j in np.flatnonzero((100 * common >= PERCENT * (size + len(sets[i]) - common)) & (common > 0)).tolist():
+            one, two = find(int(groups[i])), find(int(groups[right[j]]))
+            if one != two:
+                root[max(one, two)] = min(one, two)
+                out.append((int(ids[i]), int(ids[right[j]])))
+    return out
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    profiles = cut(profile(rows), "profile")
-    sets = profiles.where("kind = 0").select("id", "n", "key1", "key2")
+    sets = cut(profile(rows), "sets")
     known = sets.where(F.col("id").isNotNull() & (F.col("n") > 0))
     heads = cut(known.groupBy("key1", "key2").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("copies")), "classes")
     named = cut(
@@ -344,7 +448,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     looked = with_maybe(rows.where(F.col("id").isNotNull()), "id", member_filter(later, "id", bits), bits)
     checked = looked.where(MAYBE).join(later.select(F.col("id").alias("__later")), F.col("id") == F.col("__later"), "left_anti")
     classes = looked.where(~F.col(MAYBE)).unionByName(checked).select("id", "text")
-    group = components(linked(classes, counter_table(profiles)))
+    group = components(linked(classes))
     placed = (
         named.join(group, F.col("head") == F.col("node"), "left")
         .select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "head").alias("component_id"))

@@ -143,13 +143,25 @@ def test_components_match_brute_force(spark, seed):
     assert {tuple(r) for r in ngram_join.near_duplicates(_docs(spark, rows)).collect()} == _expected_components(rows)
 
 
-def test_links_do_not_depend_on_the_frequency_estimate(spark, monkeypatch):
-    """Every shingle taken for frequent: all lists are joined, and longer prefixes are chosen."""
-    monkeypatch.setattr(ngram_join, "estimates", lambda counters: (1.0 + counters * 50).astype("float32"))
+@pytest.mark.parametrize("level", [0, 20])
+def test_links_do_not_depend_on_the_frequency_estimate(spark, monkeypatch, level):
+    """Every shingle taken for rare, or for frequent: all lists are then joined, and prefixes are longer."""
+    import numpy as np
+
+    levels = lambda docs: np.full(ngram_join.SLOTS, level, np.uint8)
+    monkeypatch.setattr(ngram_join, "frequency_levels", levels)
     rows = _corpus(5)
     assert {tuple(r) for r in ngram_join.near_duplicates(_docs(spark, rows)).collect()} == _expected_components(rows)
 
 
+@pytest.mark.parametrize("short, square", [(2, 4), (0, 512)])
+def test_long_lists_give_the_same_components(spark, monkeypatch, short, square):
+    monkeypatch.setattr(ngram_join, "SHORT", short)
+    monkeypatch.setattr(ngram_join, "SQUARE", square)
+    rows = _corpus(5, 240)
+    assert {tuple(r) for r in ngram_join.near_duplicates(_docs(spark, rows)).collect()} == _expected_components(rows)
+
+
 def test_chosen_matches_grow_with_the_cost_of_the_prefix():
     import numpy as np
 
