@@ -73,7 +73,7 @@ def tree_paths(model: GBTClassificationModel, spark) -> list[dict]:
         "treeID",
         "nodeData.id",
         "nodeData.prediction",
-        "nodeData.rawCount",
+        F.get("nodeData.impurityStats", F.lit(0)).alias("weight"),
         "nodeData.leftChild",
         "nodeData.rightChild",
         F.col("nodeData.split.featureIndex").alias("feature"),
@@ -91,7 +91,8 @@ def tree_paths(model: GBTClassificationModel, spark) -> list[dict]:
             for child, is_left in ((node["leftChild"], True), (node["rightChild"], False)):
                 below = nodes[tree, child]
                 low, high, share = limits.get(node["feature"], (-np.inf, np.inf, 1.0))
-                share *= below["rawCount"] / node["rawCount"]
+                # The first statistic of a node is the weight of its rows.
+                share *= below["weight"] / node["weight"]
                 if is_left:
                     high = min(high, node["threshold"])
                 else:

@@ -54,14 +54,19 @@ def _share(*parts) -> Column:
 def tree_samples(prepared: DataFrame, trees: int, rows_per_tree: int, seed: int) -> DataFrame:
     """(tree, draw, x): about ``OVERDRAW`` times the rows each tree needs.
 
-    First a pool of at most a few rows per tree place is drawn from all rows and written once, which
-    also freezes the row ids; then every pool row picks its trees.
+    First a pool of at most a few rows per tree place is drawn from all rows; then every pool row picks its trees.
+    A row is known by its values and, among equal rows, by a number, so the draw is the same for any
+    partitions, files and cores. Equal rows are counted with map-side combine and drawn by their number, not one by one.
     """
     n = prepared.count()
     wanted = OVERDRAW * trees * rows_per_tree
-    rows = prepared.select(
-        vector_to_array(FEATURES).alias("x"), F.monotonically_increasing_id().alias("row_id")
+    kinds = (
+        prepared.select(vector_to_array(FEATURES).alias("x"))
+        .groupBy("x")
+        .agg(F.count(F.lit(1)).alias("copies"))
     )
+    rows = kinds.select("x", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    rows = rows.select("x", F.xxhash64("x", "copy").alias("row_id"))
     if n > wanted:
         rows = rows.where(_share(F.lit(seed), "row_id") < wanted / n)
     pool = cut(rows, "forest_pool")
@@ -112,7 +117,9 @@ def fit_isolation_forest(
 
     def grow(group: pd.DataFrame) -> pd.DataFrame:
         tree = int(group["tree"].iloc[0])
-        sample = group.nsmallest(size, "draw")
+        # Equal draws are told apart by the values, whatever order the rows came in.
+        by_value = group.assign(values=group["x"].map(tuple)).sort_values(["draw", "values"])
+        sample = by_value.head(size)
         x = np.stack(sample["x"].to_numpy())
         nodes = _grow(x, np.random.default_rng([seed, tree]), limit)
         out = pd.DataFrame(nodes, columns=["node", "feature", "threshold", "left", "right", "path"])
@@ -141,7 +148,9 @@ def _tables(forest: Forest) -> dict[str, np.ndarray]:
     }
 
 
-def score_isolation(prepared: DataFrame, forest: Forest, name: str = "anomaly_score") -> DataFrame:
+def score_isolation(
+    prepared: DataFrame, forest: Forest, name: str = "anomaly_score", batch_rows: int = BATCH_ROWS
+) -> DataFrame:
     """Adds ``2^(-E[path] / c) - 0.5``; higher is stranger, 0 is the usual border."""
     spark = prepared.sparkSession
     tables = spark.sparkContext.broadcast(_tables(forest))
@@ -149,34 +158,29 @@ def score_isolation(prepared: DataFrame, forest: Forest, name: str = "anomaly_sc
     # A forest of one-row trees cannot tell anything apart; its scores are all equal.
     scale = average_path(forest.rows_per_tree) or 1.0
 
+    def paths(x: np.ndarray, t: dict[str, np.ndarray]) -> np.ndarray:
+        rows = np.arange(len(x))
+        path = np.zeros(len(x))
+        for start in t["starts"]:
+            at = np.full(len(x), start)
+            for _ in range(depth):
+                left = x[rows, t["feature"][at]] <= t["threshold"][at]
+                at = np.where(left, t["left"][at], t["right"][at])
+            path += t["path"][at]
+        return np.power(2.0, -path / len(t["starts"]) / scale) - 0.5
+
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         t = tables.value
         for batch in batches:
-            if not len(batch):
-                yield pd.Series([], dtype=float)
-                continue
-            x = np.stack(batch.to_numpy())
-            rows = np.arange(len(x))
-            path = np.zeros(len(x))
-            for start in t["starts"]:
-                at = np.full(len(x), start)
-                for _ in range(depth):
-                    left = x[rows, t["feature"][at]] <= t["threshold"][at]
-                    at = np.where(left, t["left"][at], t["right"][at])
-                path += t["path"][at]
-            mean = path / len(t["starts"])
-            yield pd.Series(np.power(2.0, -mean / scale) - 0.5)
+            parts = [batch.iloc[i : i + batch_rows] for i in range(0, len(batch), batch_rows)]
+            found = [paths(np.stack(p.to_numpy()), t) for p in parts]
+            yield pd.Series(np.concatenate(found) if found else [], dtype=float)
 
     return prepared.withColumn(name, score(vector_to_array(FEATURES)))
 
 
-def score_batches(prepared: DataFrame, forest: Forest) -> DataFrame:
-    """Anomaly predictions; rows pass through Arrow batches of bounded size, see ``arrow_batches``."""
-    scored = score_isolation(prepared, forest)
+def score_batches(prepared: DataFrame, forest: Forest, batch_rows: int = BATCH_ROWS) -> DataFrame:
+    """Anomaly predictions; a task holds at most ``batch_rows`` rows at once, whatever the session's batches."""
+    scored = score_isolation(prepared, forest, batch_rows=batch_rows)
     return scored.select("obs_date", "serial_number", "failure_date", "will_fail_30d", "anomaly_score")
-
-
-def arrow_batches(spark, rows: int = BATCH_ROWS) -> None:
-    """Bound the rows a Python task holds at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -14,8 +14,7 @@ from fleetwatch.operators.labels import ENTITY, LABEL
 from fleetwatch.session import cut
 
 COUNTS = ("tp", "fp", "fn", "tn", "events", "detected_events")
-MAX_HASH_DRAWS = 100_000_000
-MAX_HASH_ENTITIES = 1_000_000
+BROADCAST_ENTITIES = 250_000  # of seven numbers each: some 14 MB
 ENTITIES_PER_RANGE = 500_000
 # Rates of one resample; an empty denominator counts as 1.
 RATES = (
@@ -82,17 +81,25 @@ def number_entities(counts: DataFrame, n_ranges: int) -> DataFrame:
     return numbered.select(*counts.columns, position)
 
 
-def _hash_draw_totals(counts: DataFrame, n: int, replicates: int, seed: int) -> DataFrame:
-    """Totals per replicate from n draws each; draw j of replicate r is a hash of (seed, r, j)."""
+def _hash_draw_totals(counts: DataFrame, n: int, replicates: int, seed: int, most_broadcast: int) -> DataFrame:
+    """Totals per replicate from n draws each; draw j of replicate r is a hash of (seed, r, j).
+
+    Up to ``most_broadcast`` entities are broadcast; beyond that the draws of a replicate are counted per position,
+    with map-side combine, and the counts meet the entities by a shuffle.
+    """
     numbered = number_entities(counts, -(-n // ENTITIES_PER_RANGE))
     replicate, draw = F.expr(f"id div {n}"), F.col("id") % n
     text = F.concat_ws(":", F.lit(str(seed)), replicate.cast("string"), draw.cast("string"))
     draws = counts.sparkSession.range(replicates * n).select(
         replicate.alias("replicate"), bucket(text, n).alias("position")
     )
-    # n is at most MAX_HASH_ENTITIES here, which bounds the broadcast.
-    drawn = draws.join(F.broadcast(numbered.select("position", *COUNTS)), "position")
-    return drawn.groupBy("replicate").agg(*[F.sum(c).alias(c) for c in COUNTS])
+    entities = numbered.select("position", *COUNTS)
+    if n <= most_broadcast:
+        drawn = draws.join(F.broadcast(entities), "position")
+        return drawn.groupBy("replicate").agg(*[F.sum(c).alias(c) for c in COUNTS])
+    times = draws.groupBy("replicate", "position").agg(F.count(F.lit(1)).alias("times"))
+    drawn = times.join(entities.hint("merge"), "position")
+    return drawn.groupBy("replicate").agg(*[F.sum(F.col(c) * F.col("times")).alias(c) for c in COUNTS])
 
 
 def _poisson_totals(counts: DataFrame, replicates: int, seed: int) -> DataFrame:
@@ -121,19 +128,25 @@ def _poisson_totals(counts: DataFrame, replicates: int, seed: int) -> DataFrame:
 
 
 def cluster_bootstrap(
-    counts: DataFrame, replicates: int = 300, seed: int = 42, max_hash_draws: int = MAX_HASH_DRAWS
+    counts: DataFrame,
+    replicates: int = 300,
+    seed: int = 42,
+    method: str = "draws",
+    most_broadcast: int = BROADCAST_ENTITIES,
 ) -> DataFrame:
     """95% percentile intervals of five rates, one row each, from resampled entities.
 
-    Up to ``max_hash_draws`` draws every replicate draws n entities with replacement by hash; beyond
-    that entities get Poisson weights, whose work does not grow with the number of draws.
+    The caller chooses the method, at any size: ``draws`` draws n entities with replacement by hash in every
+    replicate; ``poisson`` gives entities Poisson weights, whose work does not grow with the number of draws.
     """
+    if method not in ("draws", "poisson"):
+        raise ValueError(f"no such method: {method}")
     counts = cut(counts, "entity_counts")
     n = counts.count()
     if n < 2:
         raise ValueError("need at least two entities to resample")
-    if n <= MAX_HASH_ENTITIES and replicates * n <= max_hash_draws:
-        totals = _hash_draw_totals(counts, n, replicates, seed)
+    if method == "draws":
+        totals = _hash_draw_totals(counts, n, replicates, seed, most_broadcast)
     else:
         totals = _poisson_totals(counts, replicates, seed)
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))

@@ -42,6 +42,7 @@ STATISTICS = ("mean", "max", "std", "count")
 MAX_GAP_DAYS = 7
 
 DAY_NUMBER = "day_number"
+_NO_DAY = -(2**31)
 
 
 def _raw(n: int) -> str:
@@ -220,7 +221,8 @@ def hot_history_features(
         mean = F.col(_stat(n, "mean", d))
 
         def add(total: Column, e: Column) -> Column:
-            inside = (e[DAY_NUMBER] > F.col(DAY_NUMBER) - d) & (e[f"n_{n}"] > 0)
+            # The frame of a row without a day holds the rows without a day.
+            inside = F.coalesce(e[DAY_NUMBER] > F.col(DAY_NUMBER) - d, F.lit(True)) & (e[f"n_{n}"] > 0)
             off = e[f"mean_{n}"] - mean
             return total + F.when(inside, e[f"spread_{n}"] + e[f"n_{n}"] * off * off).otherwise(0.0)
 
@@ -241,7 +243,10 @@ def hot_history_features(
         ],
     )
     per_day = cut(per_day, "hot_days")
-    joined = join_lookup(rows, per_day, [ENTITY, DAY_NUMBER], limits=limits)
+    # Rows without a day meet the summary of the entity's rows without a day; a plain join would lose them.
+    day = F.coalesce(DAY_NUMBER, F.lit(_NO_DAY)).alias("day_key")
+    per_day = per_day.select("*", day).drop(DAY_NUMBER)
+    joined = join_lookup(rows.select("*", day), per_day, [ENTITY, "day_key"], limits=limits).drop("day_key")
     is_first = F.col("row_id") == F.col("first_row")
     changes = [
         F.when(is_first, F.col(_value(n)) - F.col("previous")[_value(n)]).alias(_change(n))
@@ -289,13 +294,13 @@ def window_features(
 def join_labels(
     features: DataFrame,
     labeled: DataFrame,
-    repeat_duplicates: bool = False,
+    repeat_duplicates: bool = True,
     limits: Limits = DEFAULT_LIMITS,
 ) -> DataFrame:
     """Feature rows with the label of the same (date text, entity); rows without a label drop out.
 
-    The label of a key is the same in all its copies, so one copy is joined and each feature row stays
-    one row. ``repeat_duplicates`` repeats it once per label copy, as a plain inner join would.
+    A feature row is repeated once per label copy, as by a plain inner join. The label of a key is the same in all
+    its copies; without ``repeat_duplicates`` one copy is joined and each feature row stays one row.
     """
     keys, tail = ["date", ENTITY], ["failure_date", LABEL, STATUS]
     copies = F.count(F.lit(1))
@@ -315,7 +320,7 @@ def build_features(
     horizon_days: int = DEFAULT_HORIZON,
     attrs: Iterable[int] = ATTRIBUTES,
     limits: Limits = DEFAULT_LIMITS,
-    repeat_duplicates: bool = False,
+    repeat_duplicates: bool = True,
 ) -> DataFrame:
     """The feature table: one row per source row with a known outcome.
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fleetwatch.operators.labels import ENTITY
 
 KEYS = ("obs_date", ENTITY)
-MAX_CASES = 10_000
+BROADCAST_CASES = 10_000
 
 
 def duplicate_keys(df: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -31,17 +31,17 @@ def join_one_to_one(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = KEYS) ->
     return joined.drop("__found")
 
 
-def restore_cases(df: DataFrame, cases: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Rows of a large table for a few named cases; every case must be found exactly once.
+def restore_cases(
+    df: DataFrame, cases: DataFrame, keys: tuple[str, ...] = KEYS, most_broadcast: int = BROADCAST_CASES
+) -> DataFrame:
+    """Rows of a large table for named cases; every case must be found exactly once.
 
-    The number of cases is checked before they are broadcast.
+    Up to ``most_broadcast`` cases are broadcast; more meet the table by a shuffle.
     """
     wanted = cases.select(*keys, *[c for c in cases.columns if c not in df.columns])
-    n = wanted.limit(MAX_CASES + 1).count()
-    if n > MAX_CASES:
-        raise ValueError(f"more than {MAX_CASES} cases")
-    restored = df.join(F.broadcast(wanted), list(keys))
-    if restored.limit(n + 1).count() != n:
+    n = wanted.count()
+    restored = df.join(F.broadcast(wanted) if n <= most_broadcast else wanted.hint("merge"), list(keys))
+    if restored.count() != n:
         raise ValueError("some cases have no row, or more than one")
     return restored
 

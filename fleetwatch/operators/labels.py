@@ -19,7 +19,7 @@ LABEL_TAIL = ("failure_date", "last_seen", LABEL, STATUS)
 
 def _check_horizon(horizon_days: int) -> None:
     if horizon_days < 1:
-        raise ValueError("horizon_days must be positive")
+        raise ValueError(f"a horizon of {horizon_days} days is less than one day")
 
 
 def failure_events(raw: DataFrame, extra: list[Column] = ()) -> DataFrame:
@@ -127,18 +127,18 @@ def contract_counts(raw: DataFrame) -> DataFrame:
 def _require_columns(raw: DataFrame, horizon_days: int) -> None:
     missing = {"date", ENTITY, "failure"} - set(raw.columns)
     if missing:
-        raise ValueError(f"missing required columns: {sorted(missing)}")
+        raise ValueError(f"the telemetry lacks {', '.join(sorted(missing))}")
     _check_horizon(horizon_days)
 
 
 def _require_contract(totals: DataFrame) -> None:
     found = totals.first()
     if found["bad_days"] or found["no_entity"]:
-        raise ValueError("date and serial_number must be present and parseable")
+        raise ValueError("a row has no device or no readable day")
     if found["bad_flags"]:
-        raise ValueError("failure must contain only 0 and 1")
+        raise ValueError("a failure flag is neither 0 nor 1")
     if found["most_failures"] > 1:
-        raise ValueError("an entity has more than one failure row")
+        raise ValueError("a device fails more than once")
 
 
 def check_contract(raw: DataFrame, horizon_days: int = DEFAULT_HORIZON) -> None:

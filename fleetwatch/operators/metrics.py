@@ -48,7 +48,7 @@ def thresholds_at_fpr(
     Ties count together. If even the highest score breaks the budget, the next float above it.
     """
     if not 0 <= max_fpr <= 1:
-        raise ValueError("max_fpr must be between 0 and 1")
+        raise ValueError(f"a false-alarm budget of {max_fpr} is no share of the negatives")
     groups = score_groups(df.where(F.col(LABEL) == 0), scores)
     ranked = prefix_sum(
         groups, "score", ["neg"], descending=True, by=["model"], rows_per_range=rows_per_range

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
@@ -12,7 +13,6 @@ from fleetwatch.operators.labels import LABEL
 from fleetwatch.session import cut
 
 ROWS_PER_RANGE = 500_000
-MAX_RANGES = 10_000
 RANGE = "key_range"
 
 
@@ -35,14 +35,17 @@ def _range_starts(table: DataFrame, key: str, by: list[str], n_ranges: int) -> l
     # A range may come out about twice as large as the others; finer sketches would be costly to merge.
     starts = F.percentile_approx(key, shares, max(1_000, 2 * n_ranges)).alias("starts")
     found = table.groupBy(*by).agg(starts).collect()
-    return sorted({e for row in found for e in row["starts"]})
+    # NaN and the infinities lie in the outer ranges anyway.
+    return sorted({e for row in found for e in row["starts"] if math.isfinite(e)})
 
 
 def _with_range(table: DataFrame, key: str, starts: list[float]) -> DataFrame:
     if not starts:
         return table.withColumn(RANGE, F.lit(0))
     splits = [float("-inf"), *starts, float("inf")]
-    placed = Bucketizer(splits=splits, inputCol=key, outputCol=RANGE).transform(table)
+    # NaN is kept in a range after all others: it is the largest key.
+    ranges = Bucketizer(splits=splits, inputCol=key, outputCol=RANGE, handleInvalid="keep")
+    placed = ranges.transform(table)
     return placed.withColumn(RANGE, F.col(RANGE).cast("int"))
 
 
@@ -61,12 +64,12 @@ def prefix_sum(
     """Inclusive running totals ``cum_<value>`` in key order, for each group of ``by``.
 
     ``table`` has one row per distinct key (group first: ties, however many, are then one row). Keys
-    are cut into ranges of bounded size; each range is summed in its own task, and the totals of the
+    are cut into ranges of bounded size, NaN being the largest key and infinities ordinary ones; each range is summed in its own task, and the totals of the
     ranges before it, a few rows per range, are added from a broadcast.
     """
     by = list(by)
     table = cut(table.withColumn(key, F.col(key).cast("double")).where(F.col(key).isNotNull()), "ranked")
-    n_ranges = min(MAX_RANGES, max(1, -(-table.count() // rows_per_range)))
+    n_ranges = max(1, -(-table.count() // rows_per_range))
     placed = _with_range(table, key, _range_starts(table, key, by, n_ranges))
     totals = placed.groupBy(*by, RANGE).agg(*[F.sum(v).alias(f"range_{v}") for v in values])
     before = (

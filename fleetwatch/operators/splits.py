@@ -69,7 +69,7 @@ class SplitSpec:
             <= self.test_start
             < self.test_cut
         ):
-            raise ValueError("the periods are empty or out of order")
+            raise ValueError("a period is empty once the gaps are cut, or comes too early")
 
     def conditions(self, day: Column) -> dict[str, Column]:
         """Range condition of each split; bounds are literals, so they reach the scan."""

@@ -10,6 +10,7 @@ from fleetwatch.functions.hashing import bucket as spark_bucket
 from fleetwatch.functions.hashing import row_key
 from fleetwatch.models import attribution, bundle, forest, prep, scorers
 from fleetwatch.operators import audit, joins, labels, profile, review, sampling
+from fleetwatch.operators.metrics import thresholds_of
 from fleetwatch.operators.splits import TEST, TRAIN
 from fleetwatch.plans.queries_evaluation import CUT, RULE_SCORE, SMOOTH_SCORE, TIED_SCORE, _PER_DAY
 from fleetwatch.plans.queries_tables import _SNAPSHOT, _SNAP_DOUBLES
@@ -453,7 +454,6 @@ def fit_isolation_forest(s: Study) -> DataFrame:
 @query()
 def score_batches(s: Study) -> DataFrame:
     """Anomaly predictions of the whole test period."""
-    forest.arrow_batches(s.spark)
     return forest.score_batches(s.prepared(TEST), s.forest())
 
 
@@ -499,7 +499,7 @@ def attribute_boosted(s: Study) -> DataFrame:
 def case_explanations(s: Study) -> DataFrame:
     """The picked cases with the five features that moved their boosted score most."""
     scored = s.predictions()
-    limit = scored.agg(F.percentile("risk_boosted_trees", 0.95)).first()[0]
+    limit = thresholds_of(s.learned_metrics())["boosted_trees"]
     cases = attribution.pick_cases(scored, "risk_boosted_trees", limit)
     rows = joins.restore_cases(s.features(), cases.select("case_type", *KEYS, "risk_boosted_trees"))
     explained = attribution.attribute(prep.prepare(rows, s.prep()), s.scorers()["boosted_trees"])
@@ -556,7 +556,6 @@ def explanation_sample(s: Study) -> DataFrame:
 
 @query()
 def boosted_importance(s: Study) -> DataFrame:
-    """Mean absolute contribution per feature of the boosted trees over a hash sample of the test rows."""
-    sample = sampling.sample_rows(s.splits()[TEST], 2)
-    explained = attribution.attribute(prep.prepare(sample, s.prep()), s.scorers()["boosted_trees"])
+    """Mean absolute contribution per feature of the boosted trees over the test rows."""
+    explained = attribution.attribute(s.prepared(TEST), s.scorers()["boosted_trees"])
     return attribution.global_importance(explained, _vector_names(s))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from fleetwatch.functions.scores import rule_score
 from fleetwatch.models.forest import Forest, fit_isolation_forest, score_isolation
 from fleetwatch.models.prep import fit_prep, prepare
-from fleetwatch.models.scorers import RULE, check_classes, fit_boosted, fit_logistic, score_holdout
+from fleetwatch.models.scorers import BOOSTED, RULE, check_classes, fit_boosted, fit_logistic, score_holdout
 from fleetwatch.operators.features import build_features
 from fleetwatch.operators.labels import LABEL, horizon_labels
 from fleetwatch.operators.metrics import evaluate_scores, thresholds_at_fpr
@@ -42,15 +42,42 @@ PLAIN_SCORERS = (RULE, "load_index", "wear_index")
 LOAD_HALF, WEAR_HALF = 5000.0, 3.0
 ANOMALY, FOREST = "anomaly_isolation_forest", "isolation_forest"
 
+ROUNDS = BOOSTED["maxIter"]
+HEALTHY_FRACTION = 0.1
+
 _written: dict[tuple, str] = {}
 _fitted: dict[tuple, object] = {}
 
 
+@dataclass(frozen=True)
+class _DailyCsv:
+    """A source that is equal for equal folders."""
+
+    root: str
+
+    def __call__(self, spark: SparkSession) -> DataFrame:
+        return read_daily_csv(spark, self.root)
+
+
+def _stamp(spark: SparkSession, folder: str) -> tuple:
+    """Names, sizes and times of what lies in the folder; empty where there is no such folder."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(at):
+        return ()
+    listed = files.listStatus(at)
+    return tuple(sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in listed))
+
+
 @dataclass
 class Study:
     """All stages of one data folder.
 
     By default the telemetry comes from the folder's event log; ``source`` gives any other raw table.
+
+    ``rounds`` is the number of boosting rounds, at most: it ends when the validation loss stops falling.
+    ``healthy_fraction`` and ``forest_fraction`` are the shares of entities whose healthy rows train the scorers
+    and the forest.
     """
 
     spark: SparkSession
@@ -58,14 +85,45 @@ class Study:
     horizon_days: int = HORIZON
     split: SplitSpec = field(default_factory=lambda: SPLIT)
     source: Callable[[], DataFrame] | None = None
+    rounds: int = ROUNDS
+    healthy_fraction: float = 1.0
+    forest_fraction: float = 1.0
 
     @classmethod
-    def from_daily_csv(cls, spark: SparkSession, root: str, split: SplitSpec, horizon_days: int = 30) -> Study:
+    def from_daily_csv(
+        cls,
+        spark: SparkSession,
+        root: str,
+        split: SplitSpec,
+        horizon_days: int = 30,
+        rounds: int = ROUNDS,
+        healthy_fraction: float = HEALTHY_FRACTION,
+        forest_fraction: float = HEALTHY_FRACTION,
+    ) -> Study:
         """A study of the daily CSV files below a folder."""
-        return cls(spark, root, horizon_days, split, lambda: read_daily_csv(spark, root))
+        read = _DailyCsv(root)
+        return cls(
+            spark, root, horizon_days, split, lambda: read(spark), rounds, healthy_fraction, forest_fraction
+        )._named(read)
+
+    def _named(self, source: object) -> Study:
+        self._source_key = source
+        return self
 
     def _key(self, name: str) -> tuple:
-        return shared_folder(self.spark), self.folder, self.horizon_days, self.split, name
+        """Everything a stage depends on: the application, all parameters, and the input files as they are now."""
+        return (
+            shared_folder(self.spark),
+            self.folder,
+            _stamp(self.spark, self.folder),
+            getattr(self, "_source_key", self.source),
+            self.horizon_days,
+            self.split,
+            self.rounds,
+            self.healthy_fraction,
+            self.forest_fraction,
+            name,
+        )
 
     def _stage(self, name: str, build: Callable[[], DataFrame], day: str | None = None) -> DataFrame:
         key = self._key(name)
@@ -148,18 +206,21 @@ class Study:
         return self._stage("metrics", build)
 
     def prep(self) -> PipelineModel:
-        return self._once("prep", lambda: fit_prep(sample_training(self.splits()[TRAIN], 0.5)))
+        return self._once("prep", lambda: fit_prep(self._training_rows()))
+
+    def _training_rows(self) -> DataFrame:
+        return sample_training(self.splits()[TRAIN], self.healthy_fraction)
 
     def prepared(self, split: str) -> DataFrame:
         return prepare(self.splits()[split], self.prep())
 
     def training(self) -> DataFrame:
-        """Prepared training rows with weights: all positives, healthy rows of half the entities."""
-        rows = sample_training(self.splits()[TRAIN], 0.5)
+        """Prepared training rows with weights: all positives, healthy rows of a share of the entities."""
+        rows = self._training_rows()
         check_classes(rows, "training")
         return self._stage("training", lambda: prepare(rows, self.prep()))
 
-    def scorers(self, rounds: int = 20) -> dict:
+    def scorers(self) -> dict:
         """Logistic regression and boosted trees."""
 
         def build() -> dict:
@@ -167,13 +228,13 @@ class Study:
             check_classes(held_out, "validation")
             return {
                 "logistic_regression": fit_logistic(self.training()),
-                "boosted_trees": fit_boosted(self.training(), held_out, maxIter=rounds),
+                "boosted_trees": fit_boosted(self.training(), held_out, maxIter=self.rounds),
             }
 
         return self._once("scorers", build)
 
     def forest(self) -> Forest:
-        healthy = prepare(sample_healthy(self.splits()[TRAIN], 0.5), self.prep())
+        healthy = prepare(sample_healthy(self.splits()[TRAIN], self.forest_fraction), self.prep())
         return self._once("forest", lambda: fit_isolation_forest(healthy))
 
     def scored(self, split: str) -> DataFrame:

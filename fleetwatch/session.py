@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT = "spark.checkpoint.dir"
+_local_folders: dict[str, str] = {}
+_made: dict[str, list[str]] = {}
 
 
 def build_session(cores: str = "*", app: str = "fleetwatch", **extra: str) -> SparkSession:
@@ -35,20 +38,42 @@ def build_session(cores: str = "*", app: str = "fleetwatch", **extra: str) -> Sp
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor sees, as the session names it.
 
-    Only a local session may fall back to a temporary folder of this machine.
+    A session whose driver is its only executor, and which names none, gets a temporary folder of its own.
     """
-    folder = spark.conf.get(_CHECKPOINT, None)
+    context = spark.sparkContext
+    folder = spark.conf.get(_CHECKPOINT, None) or _local_folders.get(context.applicationId)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", context.master):
             raise RuntimeError(f"set {_CHECKPOINT} to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="fleetwatch-")
-        spark.conf.set(_CHECKPOINT, folder)
-    return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}"
+        folder = _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="fleetwatch-")
+    return f"{folder.rstrip('/')}/{context.applicationId}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nobody has used yet."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def mark(spark: SparkSession) -> int:
+    """How many paths this application has made; ``release`` takes it."""
+    return len(_made.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Delete what ``new_path`` and ``cut`` have made since ``mark``, but for the paths to keep.
+
+    Frames that still read these tables cannot be read afterwards.
+    """
+    made = _made.get(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    left = [p for p in made[since:] if p in keep]
+    for path in made[since:]:
+        if path not in keep:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+    made[since:] = left
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:

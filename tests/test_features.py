@@ -40,9 +40,9 @@ def _rounded(df):
 
 
 def test_trailing_values(frame):
-    rows = [_row(f"2020-01-0{d}", 10 * d) for d in (1, 2, 3, 4)]
+    rows = [_row(f"2020-01-0{d}", v) for d, v in enumerate((3, 3, 12, 6), 1)]
     got = {r["date"]: r for r in _made(frame, rows).collect()}
-    expected = [(10, 10, 1, 0.0, None), (15, 20, 2, 5.0, 10), (20, 30, 3, 8.16496580927726, 10), (25, 40, 4, 11.180339887498949, 10)]
+    expected = [(3, 3, 1, 0.0, None), (3, 3, 2, 0.0, 0), (6, 12, 3, math.sqrt(18), 9), (6, 12, 4, math.sqrt(13.5), -6)]
     for d, (mean, top, n, std, change) in enumerate(expected, 1):
         r = got[f"2020-01-0{d}"]
         assert (r["smart_5_mean_7d"], r["smart_5_max_7d"], r["smart_5_count_7d"]) == (mean, top, n)
@@ -51,9 +51,9 @@ def test_trailing_values(frame):
 
 
 def test_the_future_does_not_change_the_past(frame):
-    rows = [_row(f"2020-01-0{d}", 10 * d) for d in (1, 2, 3, 4)]
+    rows = [_row(f"2020-01-0{d}", v) for d, v in enumerate((5, 8, 2, 9), 1)]
     before = {r["date"]: r for r in _made(frame, rows).collect()}
-    after = {r["date"]: r for r in _made(frame, [*rows[:3], _row("2020-01-04", 999_999)]).collect()}
+    after = {r["date"]: r for r in _made(frame, [*rows[:3], _row("2020-01-04", 31_000)]).collect()}
     for d in ("2020-01-01", "2020-01-02", "2020-01-03"):
         assert before[d] == after[d]
     assert before["2020-01-04"] != after["2020-01-04"]
@@ -162,8 +162,17 @@ def test_copies_of_a_day(frame):
     raw = frame(rows, RAW)
     labeled = horizon_labels(raw, 30)
     assert feat.build_features(raw).count() == 2
-    assert feat.build_features(raw, labeled).count() == 2
-    assert feat.build_features(raw, labeled, repeat_duplicates=True).count() == 4
+    assert feat.build_features(raw, labeled).count() == 4
+    assert feat.build_features(raw, labeled, repeat_duplicates=False).count() == 2
+
+
+def test_hot_entities_keep_rows_without_a_day(frame):
+    rows = [_row("2020-01-01", 1), _row("2020-01-02", 4), _row("someday", 7), _row(None, 9), _row("2020-01-03", None)]
+    typed = _typed(frame, rows)
+    entities = typed.groupBy("serial_number").count().withColumnRenamed("count", "n_rows")
+    plain = feat.window_features(typed, [5], entities)
+    hot = feat.window_features(typed, [5], entities, TINY)
+    assert hot.count() == len(rows) and _rounded(plain) == _rounded(hot.select(*plain.columns))
 
 
 def _plan(df):

@@ -69,6 +69,13 @@ def test_comparing_predictions(frame):
     assert twice["matched_rows"] == 20
 
 
+def test_many_cases_meet_the_table_by_a_shuffle(frame):
+    df = frame(ROWS, SCHEMA)
+    cases = df.select("obs_date", "serial_number").withColumn("case_type", F.lit("x"))
+    made = joins.restore_cases(df, cases, most_broadcast=1)
+    assert made.count() == len(ROWS) and "SortMergeJoin" in made._jdf.queryExecution().toString()
+
+
 def _checks(a, b):
     return [audit.audit_counts(a, b, "t"), audit.audit_schema(a, b), audit.audit_values(a, b, 1)]
 

@@ -16,21 +16,26 @@ def _by_key(df, *columns):
     return {(r["serial_number"], str(r["date"])): tuple(r[c] for c in columns) for r in df.collect()}
 
 
+# P fails 24 and 5 days later; Q is seen for 65 and 31 days more, then no more; R fails 65 and 16 days later.
 BASE = [
-    ("2020-01-01", "A", "0"),
-    ("2020-01-05", "A", "0"),
-    ("2020-01-10", "A", "1"),
-    ("2020-01-01", "B", "0"),
-    ("2020-02-15", "B", "0"),
-    ("2020-01-01", "C", "0"),
-    ("2020-02-15", "C", "1"),
+    ("2021-03-01", "P", "0"),
+    ("2021-03-20", "P", "0"),
+    ("2021-03-25", "P", "1"),
+    ("2021-03-01", "Q", "0"),
+    ("2021-04-04", "Q", "0"),
+    ("2021-05-05", "Q", "0"),
+    ("2021-03-02", "R", "0"),
+    ("2021-04-20", "R", "0"),
+    ("2021-05-06", "R", "1"),
 ]
 EXPECTED = {
-    ("A", "2020-01-01"): (1, "positive"),
-    ("A", "2020-01-05"): (1, "positive"),
-    ("B", "2020-01-01"): (0, "negative"),
-    ("B", "2020-02-15"): (None, "insufficient_followup"),
-    ("C", "2020-01-01"): (0, "negative_before_later_failure"),
+    ("P", "2021-03-01"): (1, "positive"),
+    ("P", "2021-03-20"): (1, "positive"),
+    ("Q", "2021-03-01"): (0, "negative"),
+    ("Q", "2021-04-04"): (0, "negative"),
+    ("Q", "2021-05-05"): (None, "insufficient_followup"),
+    ("R", "2021-03-02"): (0, "negative_before_later_failure"),
+    ("R", "2021-04-20"): (1, "positive"),
 }
 
 
@@ -90,24 +95,24 @@ def test_counts_are_ordered(frame):
     counts = labels.label_counts(labels.horizon_labels(frame(BASE, SCHEMA))).collect()
     assert [tuple(r) for r in counts] == [
         ("insufficient_followup", 1),
-        ("negative", 1),
+        ("negative", 2),
         ("negative_before_later_failure", 1),
-        ("positive", 2),
+        ("positive", 3),
     ]
 
 
 def test_strict_labels(frame):
-    rows = [*BASE, ("2020-01-20", "A", "0")]
+    rows = [*BASE, ("2021-04-20", "P", "0")]
     got = _by_key(
         labels.strict_labels(frame(rows, SCHEMA)), "label_eligible", "will_fail_30d", "censor_reason"
     )
-    assert got["A", "2020-01-05"] == (1, 1, "eligible")
-    assert got["A", "2020-01-10"] == (0, None, "failure_day")
+    assert got["P", "2021-03-20"] == (1, 1, "eligible")
+    assert got["P", "2021-03-25"] == (0, None, "failure_day")
     # A day after the failure, in the last horizon.
-    assert got["A", "2020-01-20"] == (0, None, "insufficient_followup")
-    assert got["B", "2020-01-01"] == (1, 0, "eligible")
-    assert got["B", "2020-02-15"] == (0, None, "insufficient_followup")
-    assert got["C", "2020-02-15"] == (0, None, "failure_day")
+    assert got["P", "2021-04-20"] == (0, None, "insufficient_followup")
+    assert got["Q", "2021-03-01"] == (1, 0, "eligible")
+    assert got["Q", "2021-05-05"] == (0, None, "insufficient_followup")
+    assert got["R", "2021-05-06"] == (0, None, "failure_day")
 
 
 def test_strict_row_after_failure_long_before_the_end_keeps_its_reason(frame):
@@ -129,10 +134,10 @@ def test_strict_uses_one_end_of_observation(frame):
 @pytest.mark.parametrize(
     "rows, message",
     [
-        ([("someday", "A", "0")], "parseable"),
-        ([("2020-01-01", None, "0")], "parseable"),
-        ([("2020-01-01", "A", "2")], "only 0 and 1"),
-        ([("2020-01-01", "A", "1"), ("2020-01-02", "A", "1")], "more than one failure"),
+        ([("someday", "A", "0")], "readable day"),
+        ([("2020-01-01", None, "0")], "readable day"),
+        ([("2020-01-01", "A", "2")], "neither 0 nor 1"),
+        ([("2020-01-01", "A", "1"), ("2020-01-02", "A", "1")], "fails more than once"),
     ],
 )
 def test_contract(frame, rows, message):
@@ -141,7 +146,7 @@ def test_contract(frame, rows, message):
 
 
 def test_contract_on_arguments(frame):
-    with pytest.raises(ValueError, match="missing"):
+    with pytest.raises(ValueError, match="lacks"):
         labels.check_contract(frame([("2020-01-01", "A")], "date string, serial_number string"))
-    with pytest.raises(ValueError, match="positive"):
+    with pytest.raises(ValueError, match="less than one day"):
         labels.horizon_labels(frame(BASE, SCHEMA), 0)

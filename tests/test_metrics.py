@@ -28,10 +28,10 @@ def _random_pairs(seed, n=300, distinct=40):
 @pytest.mark.parametrize(
     "negatives, budget, expected",
     [
-        ([0.1, 0.2, 0.2, 0.4], 0.25, 0.4),
-        ([0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.9, 0.9], 0.1, math.nextafter(0.9, math.inf)),
-        ([0.2, 0.4, 0.8], 0.01, math.nextafter(0.8, math.inf)),
-        ([0.1] * 95 + [0.5] * 4 + [0.9], 0.01, 0.9),
+        ([0.3, 0.35, 0.6, 0.6, 0.8], 0.2, 0.8),
+        ([0.0, 0.15, 0.25, 0.45, 0.55, 0.65, 0.7, 0.7], 0.125, math.nextafter(0.7, math.inf)),
+        ([0.05, 0.5], 0.2, math.nextafter(0.5, math.inf)),
+        ([0.25] * 40 + [0.75] * 8 + [0.85] * 2, 0.04, 0.85),
     ],
 )
 @pytest.mark.parametrize("rows_per_range", [500_000, 2])
@@ -56,7 +56,7 @@ def test_threshold_keeps_its_budget(frame, seed):
 def test_threshold_errors(frame):
     with pytest.raises(ValueError, match="no negative"):
         metrics.threshold_at_fpr(_scored(frame, [(1, 0.5)]), "risk_x")
-    with pytest.raises(ValueError, match="between"):
+    with pytest.raises(ValueError, match="no share"):
         metrics.threshold_at_fpr(_scored(frame, [(0, 0.5)]), "risk_x", 1.5)
 
 
@@ -191,3 +191,18 @@ def test_tidy_and_wide(frame):
 def test_cutoff_on_an_empty_range(frame):
     r = metrics.cutoff_metrics(_scored(frame, [(1, 0.9)]), "risk_x", 0.5, "2021-01-01", "2021-01-02").first()
     assert (r["tp"], r["precision"], r["recall"], r["false_positive_rate"]) == (0, 0.0, 0.0, 0.0)
+
+
+@pytest.mark.parametrize("rows_per_range", [500_000, 1, 2])
+@pytest.mark.parametrize("descending", [False, True])
+def test_running_totals_with_nan_and_infinities(frame, rows_per_range, descending):
+    keys = [-math.inf, -1.5, 1.0, 2.0, math.inf, math.nan]
+    df = frame([(k, i + 1) for i, k in enumerate(keys)], "k double, n long")
+    made = ranking.prefix_sum(df, "k", ["n"], descending=descending, rows_per_range=rows_per_range).rows
+    got = {repr(r["k"]): r["cum_n"] for r in made.collect()}
+    order = list(reversed(list(enumerate(keys, 1)))) if descending else list(enumerate(keys, 1))
+    expected, total = {}, 0
+    for n, k in order:
+        total += n
+        expected[repr(k)] = total
+    assert got == expected

@@ -9,7 +9,7 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from fleetwatch.models import attribution, bundle, forest, prep, scorers
@@ -237,3 +237,21 @@ def test_picked_cases(frame):
     got = {r["case_type"]: r["serial_number"] for r in attribution.pick_cases(df, "risk", 0.5).collect()}
     assert got == {"detected_failure": "D0", "missed_failure": "D3", "false_alarm": "D5"}
     assert {r["case_type"] for r in attribution.pick_cases(df, "risk", 2.0).collect()} == {"missed_failure"}
+
+
+def test_medians_are_exact_at_every_range_size(frame):
+    rows = [(float(v), None if v % 3 else float(v * v), None) for v in (9, 1, 4, 6, 6, 12, 30)]
+    df = frame(rows, "a double, b double, c double")
+    for size in (500_000, 1, 2):
+        assert prep.exact_medians(df, ["a", "b", "c"], size) == {"a": 6.0, "b": 81.0, "c": 0.0}
+    assert prep.exact_medians(df.where("a > 6"), ["a"]) == {"a": 12.0}
+
+
+def test_forest_does_not_depend_on_partitions(frame):
+    rows = [([float(i % 17), float(i * i % 29)],) for i in range(300)]
+    df = frame(rows, "x array<double>").select(array_to_vector("x").alias("features"))
+    nodes = [
+        sorted(map(tuple, forest.fit_isolation_forest(df.repartition(n), trees=4, rows_per_tree=16).nodes.collect()))
+        for n in (2, 8)
+    ]
+    assert nodes[0] == nodes[1]
