@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
+from fleetwatch.models.forest import Forest, score_isolation
 from fleetwatch.models.prep import prepare
 from fleetwatch.models.scorers import score_holdout
 from fleetwatch.sources.tables import feature_columns
@@ -47,3 +48,38 @@ def load_bundle(path: str) -> Bundle:
     listed = spark.read.schema("position int, name string").json(f"{path}/numeric_features")
     numeric = [r["name"] for r in listed.orderBy("position").collect()]
     return Bundle(PipelineModel.load(f"{path}/prep"), PipelineModel.load(f"{path}/scorer"), numeric)
+
+
+@dataclass(frozen=True)
+class ForestBundle:
+    """Preprocessing, a forest and the numeric inputs, in order."""
+
+    prep: PipelineModel
+    forest: Forest
+    numeric: list[str]
+
+    def score(self, df: DataFrame, name: str = "anomaly_score") -> DataFrame:
+        """Prepared rows with the anomaly score; a table with other numeric columns is refused."""
+        require_features(df, self.numeric)
+        return score_isolation(prepare(df, self.prep), self.forest, name)
+
+
+def save_forest(path: str, prep: PipelineModel, forest: Forest, numeric: list[str]) -> None:
+    """Write preprocessing, node table and feature list below a path, which outlives the session."""
+    spark = SparkSession.active()
+    prep.save(f"{path}/prep")
+    forest.nodes.write.option("compression", "zstd").parquet(f"{path}/nodes")
+    sizes = spark.createDataFrame([(forest.trees, forest.rows_per_tree)], "trees int, rows_per_tree int")
+    sizes.coalesce(1).write.json(f"{path}/sizes")
+    listed = spark.createDataFrame(list(enumerate(numeric)), "position int, name string")
+    listed.coalesce(1).write.json(f"{path}/numeric_features")
+
+
+def load_forest(path: str) -> ForestBundle:
+    """Read back what ``save_forest`` wrote."""
+    spark = SparkSession.active()
+    listed = spark.read.schema("position int, name string").json(f"{path}/numeric_features")
+    numeric = [r["name"] for r in listed.orderBy("position").collect()]
+    sizes = spark.read.schema("trees int, rows_per_tree int").json(f"{path}/sizes").first()
+    forest = Forest(spark.read.parquet(f"{path}/nodes"), sizes["trees"], sizes["rows_per_tree"])
+    return ForestBundle(PipelineModel.load(f"{path}/prep"), forest, numeric)

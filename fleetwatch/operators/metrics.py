@@ -40,36 +40,50 @@ METRICS = (
 )
 
 
-def thresholds_at_fpr(
-    df: DataFrame, scores: dict[str, str], max_fpr: float = 0.01, rows_per_range: int = ROWS_PER_RANGE
-) -> dict[str, float]:
-    """Per scorer the smallest score of a negative at which the false alarms stay within the budget.
+def thresholds_at_budgets(
+    df: DataFrame, scores: dict[str, str], budgets: list[float], rows_per_range: int = ROWS_PER_RANGE
+) -> dict[tuple[str, float], float]:
+    """Per (scorer, budget) the smallest score of a negative at which the false alarms stay within the budget.
 
-    Ties count together. If even the highest score breaks the budget, the next float above it.
+    Ties count together. If even the highest score breaks the budget, the next float above it. The negatives are
+    ranked once, whatever the number of scorers and budgets.
     """
-    if not 0 <= max_fpr <= 1:
-        raise ValueError(f"a false-alarm budget of {max_fpr} is no share of the negatives")
+    for share in budgets:
+        if not 0 <= share <= 1:
+            raise ValueError(f"a false-alarm budget of {share} is no share of the negatives")
     groups = score_groups(df.where(F.col(LABEL) == 0), scores)
     ranked = prefix_sum(
         groups, "score", ["neg"], descending=True, by=["model"], rows_per_range=rows_per_range
     ).rows
-    sizes = ranked.groupBy("model").agg(
-        F.sum("neg").alias("total"), F.max("score").alias("top")
-    )
-    budget = F.floor(F.lit(float(max_fpr)) * F.col("total") + F.lit(1e-12))
+    sizes = ranked.groupBy("model").agg(F.sum("neg").alias("total"), F.max("score").alias("top"))
+
+    def lowest(share: float) -> Column:
+        allowed = F.floor(F.lit(float(share)) * F.col("total") + F.lit(1e-12))
+        return F.min(F.when(F.col("cum_neg") <= allowed, F.col("score")))
+
     # One row per scorer.
     found = (
-        ranked.join(F.broadcast(sizes.withColumn("budget", budget)), "model")
+        ranked.join(F.broadcast(sizes), "model")
         .groupBy("model", "top")
-        .agg(F.min(F.when(F.col("cum_neg") <= F.col("budget"), F.col("score"))).alias("lowest"))
+        .agg(*[lowest(share).alias(f"at_{i}") for i, share in enumerate(budgets)])
         .collect()
     )
-    chosen = {
-        r["model"]: math.nextafter(r["top"], math.inf) if r["lowest"] is None else r["lowest"] for r in found
-    }
-    if set(chosen) != set(scores):
+    if {r["model"] for r in found} != set(scores):
         raise ValueError("no negative rows to set a threshold on")
-    return {m: chosen[m] for m in scores}
+    above = {r["model"]: math.nextafter(r["top"], math.inf) for r in found}
+    return {
+        (r["model"], share): above[r["model"]] if r[f"at_{i}"] is None else r[f"at_{i}"]
+        for r in found
+        for i, share in enumerate(budgets)
+    }
+
+
+def thresholds_at_fpr(
+    df: DataFrame, scores: dict[str, str], max_fpr: float = 0.01, rows_per_range: int = ROWS_PER_RANGE
+) -> dict[str, float]:
+    """The thresholds of all scorers at one budget, see ``thresholds_at_budgets``."""
+    chosen = thresholds_at_budgets(df, scores, [max_fpr], rows_per_range)
+    return {m: chosen[m, max_fpr] for m in scores}
 
 
 def threshold_at_fpr(

@@ -42,11 +42,8 @@ def _loose_thresholds(s: Study) -> dict[str, float]:
     for i, b in enumerate(BUDGETS)), *[thresholds(b, f"thr{i}") for i, b in enumerate(BUDGETS)],
     doubles=["threshold", "max_fpr"]))
 def threshold_at_fpr(s: Study) -> DataFrame:
-    rows = [
-        (m, b, t)
-        for b in BUDGETS
-        for m, t in metrics.thresholds_at_fpr(s.validation(), COLUMNS, b, rows_per_range=50).items()
-    ]
+    found = metrics.thresholds_at_budgets(s.validation(), COLUMNS, list(BUDGETS), rows_per_range=50)
+    rows = [(m, b, t) for (m, b), t in found.items()]
     return s.spark.createDataFrame(rows, "model string, max_fpr double, threshold double")
 
 

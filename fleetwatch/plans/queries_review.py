@@ -24,7 +24,7 @@ from fleetwatch.plans.sql import (
     compose,
     hash32,
 )
-from fleetwatch.plans.stages import PLAIN_SCORERS, SPLIT, Study
+from fleetwatch.plans.stages import ANOMALY, PLAIN_SCORERS, SPLIT, Study
 from fleetwatch.session import new_path
 from fleetwatch.sources import snapshot
 from fleetwatch.sources.tables import feature_columns
@@ -469,6 +469,16 @@ def load_bundle(s: Study) -> DataFrame:
     return both.select(*KEYS, same.alias("same"))
 
 
+@query(compose("preds", "select obs_date, serial_number, true as same from test", dates=["obs_date"]))
+def load_forest_bundle(s: Study) -> DataFrame:
+    """A saved and reloaded forest gives the same anomaly scores again."""
+    path, test = new_path(s.spark, "forest_bundle"), s.splits()[TEST]
+    bundle.save_forest(path, s.prep(), s.forest(), feature_columns(test.columns)[0])
+    again = bundle.load_forest(path).score(test, "again").select(*KEYS, "again")
+    both = s.predictions().select(*KEYS, ANOMALY).join(again, KEYS)
+    return both.select(*KEYS, (F.abs(F.col("again") - F.col(ANOMALY)) < 1e-12).alias("same"))
+
+
 def _vector_names(s: Study) -> list[str]:
     return prep.vector_names(s.prep(), feature_columns(s.features().columns)[0])
 

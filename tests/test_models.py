@@ -255,3 +255,16 @@ def test_forest_does_not_depend_on_partitions(frame):
         for n in (2, 8)
     ]
     assert nodes[0] == nodes[1]
+
+
+def test_a_saved_forest_outlives_its_tables(spark, frame, tmp_path):
+    df = frame(_rows(), SCHEMA)
+    fitted = prep.fit_prep(df)
+    grown = forest.fit_isolation_forest(prep.prepare(df, fitted), trees=5, rows_per_tree=32)
+    bundle.save_forest(str(tmp_path / "f"), fitted, grown, NUMERIC)
+    loaded = bundle.load_forest(str(tmp_path / "f"))
+    before = forest.score_isolation(prep.prepare(df, fitted), grown).select("anomaly_score").collect()
+    assert sorted(before) == sorted(loaded.score(df).select("anomaly_score").collect())
+    assert loaded.forest.nodes.inputFiles()[0].find("/f/nodes") > 0
+    with pytest.raises(ValueError, match="differ"):
+        loaded.score(df.drop("smart_5_raw_num"))
