@@ -64,6 +64,7 @@ _OTHER_NAMES = frozenset(
     "alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended "
     "recommend more pager pagination toolbar tools copyright legal disclaimer form search tags skip".split()
 )
+_BESIDE = frozenset("has with without no".split())  # names that say what is beside an element, as in has-sidebar
 _OTHER_ROLES = frozenset(
     "navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split()
 )
@@ -102,7 +103,11 @@ def _is_other(tag: str, raw: str, inside: bool) -> bool | None:
         return True
     if held.get("role", "").lower() in _OTHER_ROLES:
         return True
-    words = {w.lower() for w in _WORD.findall(f"{held.get('class', '')} {held.get('id', '')}")}
+    words: set[str] = set()
+    for name in f"{held.get('class', '')} {held.get('id', '')}".split():
+        parts = [w.lower() for w in _WORD.findall(name)]
+        if parts and parts[0] not in _BESIDE:
+            words.update(parts)
     if words & _OTHER_NAMES and tag not in ("body", "html", "article", "main", "h1"):
         return True
     return False if words & _MAIN_NAMES else None

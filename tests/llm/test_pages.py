@@ -36,6 +36,7 @@ PARAGRAPH = "The long valley lies between two rivers, and few travellers ever cr
         (f"<article><header><h1>Title</h1></header><p>{PARAGRAPH}</p></article><header>Site name</header>", f"Title\n{PARAGRAPH}"),
         (f"<article><ul><li>First {PARAGRAPH}<li>Second {PARAGRAPH}</ul></article>", f"First {PARAGRAPH}\nSecond {PARAGRAPH}"),
         (f"<article hidden><p>{PARAGRAPH}</p></article><p style='display: none'>{PARAGRAPH}</p>", ""),
+        (f"<div class='content has-sidebar'><p>{PARAGRAPH}</p></div><div class='comment-body'>{PARAGRAPH}</div>", PARAGRAPH),
         (f"<article><p>a &lt;b&gt; &#233;&#x1F600; {PARAGRAPH}</p></article>", f"a <b> é😀 {PARAGRAPH}"),
     ],
 )
