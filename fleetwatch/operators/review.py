@@ -14,7 +14,6 @@ from fleetwatch.operators.sampling import sample_n
 REVIEW_NEGATIVES = 3_200
 REVIEW_ALERTS = 1_800
 SCREEN_ROWS = 500
-DOWNLOAD_ROWS = 10_000
 BYTES_PER_TB = 1_000_000_000_000
 # Texts and column titles shown to reviewers.
 OUTCOME_POSITIVE = "Failure recorded in next 30 days"

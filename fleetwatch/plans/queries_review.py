@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from fleetwatch.functions.hashing import bucket as spark_bucket
 from fleetwatch.functions.hashing import row_key
 from fleetwatch.models import attribution, bundle, forest, prep, scorers
-from fleetwatch.operators import audit, joins, labels, profile, review, sampling
+from fleetwatch.operators import audit, joins, labels, profile, review
 from fleetwatch.operators.metrics import thresholds_of
 from fleetwatch.operators.splits import TEST, TRAIN
 from fleetwatch.plans.queries_evaluation import CUT, RULE_SCORE, SMOOTH_SCORE, TIED_SCORE, _PER_DAY
