@@ -13,7 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+SLICE_ROWS = 1024  # of a batch that are copied at a time
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -47,16 +48,16 @@ class Chunk:
 
 def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
     """Consecutive texts of at most ``limit`` bytes together, or one longer text; null counts as empty."""
-    whole = pc.fill_null(texts, "").cast(pa.large_string())
-    if len(whole) == 0:
-        return
-    offsets = np.frombuffer(whole.buffers()[1], np.int64)[whole.offset : whole.offset + len(whole) + 1]
-    data = np.frombuffer(whole.buffers()[2] or b"", np.uint8)
-    at = 0
-    while at < len(whole):
-        last = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
-        yield Chunk(at, last, data[offsets[at] : offsets[last]], offsets[at : last + 1] - offsets[at])
-        at = last
+    for first in range(0, len(texts), SLICE_ROWS):
+        whole = pc.fill_null(texts.slice(first, SLICE_ROWS), "").cast(pa.large_string())
+        offsets = np.frombuffer(whole.buffers()[1], np.int64)[whole.offset : whole.offset + len(whole) + 1]
+        data = np.frombuffer(whole.buffers()[2] or b"", np.uint8)
+        at = 0
+        while at < len(whole):
+            last = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
+            own = data[offsets[at] : offsets[last]]
+            yield Chunk(first + at, first + last, own, offsets[at : last + 1] - offsets[at])
+            at = last
 
 
 @dataclass
