@@ -34,8 +34,10 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][\w:.-]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*|[0-9]+")
 _SPACE = re.compile(r"\s+")
+_SCRIPT_PART = re.compile(r"<!--|-->|<(/?)script(?=[\s/>])", re.I)
 _RAW = frozenset("script style noscript template textarea iframe object svg math canvas audio video select".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in _RAW}
 _INLINE = frozenset(
     "a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub "
     "sup time tt u var wbr label acronym ruby rb rp rt nobr".split()
@@ -113,6 +115,31 @@ def _is_other(tag: str, raw: str, inside: bool) -> bool | None:
     return False if words & _MAIN_NAMES else None
 
 
+def _script_end(page: str, at: int) -> int:
+    """Where the end tag of a script begins. A script tag written inside ``<!--`` has an end tag of its own."""
+    commented = nested = False
+    for m in _SCRIPT_PART.finditer(page, at):
+        if m[1] is None:
+            commented = m[0] == "<!--"
+            nested = nested and commented
+        elif not m[1]:
+            nested = nested or commented
+        elif nested:
+            nested = False
+        else:
+            return m.start()
+    return -1
+
+
+def _behind_raw(page: str, tag: str, at: int) -> int:
+    """The place behind the end tag of a raw element whose content begins at ``at``; without one the end of the page."""
+    start = _script_end(page, at) if tag == "script" else -1
+    if start < 0:
+        m = _RAW_END[tag].search(page, at)
+        start = m.start() if m else len(page)
+    return page.find(">", start) + 1 or len(page)
+
+
 def blocks_of(page: str) -> list[Block]:
     """Text blocks in page order: runs of text between block-level tags."""
     stack: list[Element] = [Element("", 0, 0, False, False)]
@@ -141,13 +168,7 @@ def blocks_of(page: str) -> list[Block]:
         if linked_depth:
             current.linked += len(text.strip())
 
-    raw_until = None
-    for m in _TOKEN.finditer(page):
-        if raw_until is not None:
-            if m[2] is None or not m[1] or m[2].lower() != raw_until:
-                continue
-            raw_until, at = None, m.end()
-            continue
+    while (m := _TOKEN.search(page, at)) is not None:
         if m.start() > at:
             add(page[at : m.start()])
         at = m.end()
@@ -166,7 +187,7 @@ def blocks_of(page: str) -> list[Block]:
                     break
             continue
         if tag in _RAW and not raw.rstrip().endswith("/"):
-            raw_until = tag
+            at = _behind_raw(page, tag, at)
             if tag not in _INLINE:
                 end()
             continue
@@ -192,7 +213,7 @@ def blocks_of(page: str) -> list[Block]:
         inside = top.inside or tag in _MAIN or (other is False and tag not in _INLINE)
         stack.append(Element(tag, count, top.depth + 1, top.never or other is True, inside))
         linked_depth += tag == "a"
-    if raw_until is None and at < len(page):
+    if at < len(page):
         add(page[at:])
     end()
     return blocks

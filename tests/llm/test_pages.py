@@ -44,6 +44,26 @@ def test_main_text(page, expected):
     assert main_text(page)[0] == expected
 
 
+@pytest.mark.parametrize(
+    "raw",
+    [
+        "<script>for(i=0;i<n;i++){f(i)}</script>",
+        "<SCRIPT>if(a<b&&c<d){f()}</Script >",
+        "<script>var open='<!--';</script>",
+        "<script><!--\ndocument.write(\"<script src='x'></script>\");\n//--></script>",
+        "<script>var s='<!-- <script>';</script>",
+        "<style>a::before{content:'<b'}</style\n>",
+        "<style>/* <!-- */</style>",
+        "<textarea>i<n <!-- </textarea>",
+        "<script>var t='</scripts>i<n';</script/>",
+    ],
+)
+def test_raw_elements_end_at_their_own_end_tag(raw):
+    assert main_text(f"<body>{raw}<article><p>{PARAGRAPH}</p></article></body>")[0] == PARAGRAPH
+    assert main_text(f"<article><p>{PARAGRAPH}</p>{raw}<p>{PARAGRAPH}</p></article>")[0] == f"{PARAGRAPH}\n{PARAGRAPH}"
+    assert main_text(f"<article><p>{PARAGRAPH}</p>{raw}{raw}</article><p>x</p><script>i<n")[0] == PARAGRAPH
+
+
 def test_long_pages_and_broken_markup():
     many = "".join(f"<p>{PARAGRAPH} {i}" for i in range(5000))
     assert main_text(f"<article>{many}")[0].count("\n") == 4999
