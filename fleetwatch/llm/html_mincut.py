@@ -2,7 +2,8 @@
 
 A page is split into text blocks. What a classifier says for and against each block becomes its two terminal
 capacities; blocks that follow each other, and blocks near each other in the element tree, get smoothness
-edges. The minimum cut separates content from boilerplate.
+edges. The minimum cut separates content from boilerplate. Only tags that never hold content and hidden elements settle
+a label; names of block-level elements are a cost, and say nothing where they stand around the page's main text.
 
 Nulls and empty pages give an empty text. Pages without any content block give an empty text. Rows are
 independent of each other; repeated pages give repeated rows.
@@ -13,7 +14,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SURE = 1000.0  # capacity of a block whose place settles its label
+NAMED = 8.0  # capacity against a block inside an element with the name of boilerplate
 NEXT_TO = 0.6  # smoothness of blocks that follow each other
 SAME_PARENT = 0.8  # smoothness of blocks of one parent, falling with the distance in the tree
 SCHEMA = "page_id long, url string, text string, n_chars long, n_blocks int, n_content int"
@@ -58,6 +60,7 @@ _CLOSED_BY = {  # an open element on the left ends where an element on the right
 _SCOPE = frozenset("ul ol dl table section article div body aside nav header footer main form".split())
 _NEVER = frozenset("head title nav footer aside form button menu dialog".split())
 _MAIN = frozenset("article main".split())
+_MARKS = frozenset("article main h1".split())
 _MAIN_NAMES = frozenset("article content post entry story main body text".split())
 _OTHER_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertisements sponsor sponsored promo promotion banner nav navbar "
@@ -89,30 +92,34 @@ class Block:
     path: tuple[int, ...] = ()
     never: bool = False
     inside: bool = False
+    named: bool = False  # a name around it is that of boilerplate
     text: str = ""
 
 
-def _is_other(tag: str, raw: str, inside: bool) -> bool | None:
-    """True: what the element holds is no main text. None: its names say nothing."""
+def _evidence_of(tag: str, raw: str, inside: bool) -> tuple[bool, bool | None]:
+    """Whether what the element holds is never main text, and whether its names are those of boilerplate.
+
+    None: the names say nothing.
+    """
     if tag in _NEVER or (tag == "header" and not inside):
-        return True
+        return True, None
     if not raw:
-        return None
+        return False, None
     held = {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTRIBUTE.finditer(raw)}
     if "hidden" in held or held.get("aria-hidden", "").lower() == "true":
-        return True
+        return True, None
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", held.get("style", ""), re.I):
-        return True
+        return True, None
     if held.get("role", "").lower() in _OTHER_ROLES:
-        return True
+        return True, None
     words: set[str] = set()
     for name in f"{held.get('class', '')} {held.get('id', '')}".split():
         parts = [w.lower() for w in _WORD.findall(name)]
         if parts and parts[0] not in _BESIDE:
             words.update(parts)
     if words & _OTHER_NAMES and tag not in ("body", "html", "article", "main", "h1"):
-        return True
-    return False if words & _MAIN_NAMES else None
+        return False, True
+    return False, False if words & _MAIN_NAMES else None
 
 
 def _script_end(page: str, at: int) -> int:
@@ -140,10 +147,59 @@ def _behind_raw(page: str, tag: str, at: int) -> int:
     return page.find(">", start) + 1 or len(page)
 
 
+def _judge_names(blocks: list[Block], named: dict[int, bool], marks: list[tuple[str, tuple[int, ...]]]) -> None:
+    """Sets ``named`` of the blocks inside an element of ``named`` that does not stand around the main text.
+
+    ``named`` tells of each element (by number) whether it lies in an article or main element; ``marks`` are the article,
+    main and h1 elements with their paths. An element stands around the main text if it holds a main element, or, with
+    a part of the page's prose, an h1 or the largest article, or most of the prose. Elements without such marks are set
+    apart: their prose does not count against others, and they need most of it with no main text elsewhere.
+    """
+    landmarks = {n for _, path in marks for n in path}
+    bare = named.keys() - landmarks
+    articles = {path[-1] for tag, path in marks if tag == "article"}
+    titled = {n for tag, path in marks if tag == "h1" for n in path}
+    around_main = {n for tag, path in marks if tag == "main" for n in path}
+    prose = [0 if b.never else max(0, len(b.text) - b.linked) for b in blocks]
+    apart = [bare.intersection(b.path) for b in blocks]
+    own, total, everything = Counter(), 0, sum(prose)
+    extent: dict[int, tuple[int, int]] = {}  # first and last block of each bare element; those between lie in it as well
+    for i, (b, p, a) in enumerate(zip(blocks, prose, apart)):
+        if not a:
+            total += p
+        for n in a:
+            extent[n] = (extent.get(n, (i, i))[0], i)
+        for n in b.path:
+            if n in bare or not a:
+                own[n] += p
+    largest = max(articles, key=lambda n: (n in titled, own[n]), default=0)
+    around_largest = {n for tag, path in marks if path[-1] == largest for n in path}
+
+    def stands_around(e: int) -> bool:
+        if e in bare:
+            if 2 * own[e] <= everything:
+                return False
+            first, last = extent[e]
+            path = blocks[first].path
+            outer = set(path[: path.index(e)])
+            beside = (*range(first), *range(last + 1, len(blocks)))
+            return not any(blocks[i].inside and prose[i] and apart[i] <= outer for i in beside)
+        if e in around_main:
+            return True
+        marked = own[largest] if e in around_largest else own[e] if e in titled else 0
+        return (2 if named[e] else 4) * marked >= total or (not named[e] and 2 * own[e] > total)
+
+    against = {e for e in named if not stands_around(e)}
+    for b in blocks:
+        b.named = not against.isdisjoint(b.path)
+
+
 def blocks_of(page: str) -> list[Block]:
     """Text blocks in page order: runs of text between block-level tags."""
     stack: list[Element] = [Element("", 0, 0, False, False)]
     blocks: list[Block] = []
+    named: dict[int, bool] = {}
+    marks: list[tuple[str, tuple[int, ...]]] = []
     current: Block | None = None
     count, at, linked_depth = 0, 0, 0
 
@@ -155,15 +211,18 @@ def blocks_of(page: str) -> list[Block]:
                 blocks.append(current)
         current = None
 
+    def path_of() -> tuple[int, ...]:
+        return tuple(e.number for e in stack if e.tag not in _INLINE)
+
     def add(text: str) -> None:
         nonlocal current
+        holder = next(e for e in reversed(stack) if e.tag not in _INLINE)
+        if stack[-1].never and not holder.never:  # a hidden part of a line
+            return
         if current is None:
             if not text.strip():
                 return
-            top = stack[-1]
-            holder = next((e for e in reversed(stack) if e.tag not in _INLINE), top)
-            path = tuple(e.number for e in stack if e.tag not in _INLINE)
-            current = Block(tag=holder.tag, path=path, never=top.never, inside=top.inside)
+            current = Block(tag=holder.tag, path=path_of(), never=holder.never, inside=holder.inside)
         current.pieces.append(text)
         if linked_depth:
             current.linked += len(text.strip())
@@ -207,15 +266,21 @@ def blocks_of(page: str) -> list[Block]:
         if tag in _VOID:
             continue
         top = stack[-1]
-        other = _is_other(tag, raw, top.inside)
+        never, other = _evidence_of(tag, raw, top.inside)
         count += 1
         # The names of an element inside a rejected one do not bring it back.
         inside = top.inside or tag in _MAIN or (other is False and tag not in _INLINE)
-        stack.append(Element(tag, count, top.depth + 1, top.never or other is True, inside))
+        stack.append(Element(tag, count, top.depth + 1, top.never or never, inside))
+        if other and tag not in _INLINE:
+            named[count] = top.inside
+        if tag in _MARKS and not stack[-1].never:
+            marks.append((tag, path_of()))
         linked_depth += tag == "a"
     if at < len(page):
         add(page[at:])
     end()
+    if named:
+        _judge_names(blocks, named, marks)
     return blocks
 
 
@@ -229,6 +294,8 @@ def evidence(block: Block) -> float:
     score += 1.0 if re.search(r"[.!?…:;]", block.text) else 0.0
     score += 1.2 if block.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "td") else 0.0
     score -= 5.0 * links * links
+    if block.named:
+        return score - NAMED
     return score + (6.0 * (1 - links * links) if block.inside else 0.0)
 
 

@@ -64,6 +64,39 @@ def test_raw_elements_end_at_their_own_end_tag(raw):
     assert main_text(f"<article><p>{PARAGRAPH}</p>{raw}{raw}</article><p>x</p><script>i<n")[0] == PARAGRAPH
 
 
+CARD = "<article><h2>Other</h2><p>A short teaser of another page.</p></article>"
+
+
+@pytest.mark.parametrize(
+    "page, expected",
+    [
+        (f"<div class='container sidebar-right'><article><p>{PARAGRAPH}</p></article></div>", PARAGRAPH),
+        (f"<div id='page' class='site footer-dark'><div class='content'><p>{PARAGRAPH}</p></div></div>", PARAGRAPH),
+        (f"<div class='page sidebar-left'><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p></div>", f"{PARAGRAPH}\n{PARAGRAPH}"),
+        (f"<div class='nav-fixed'><div class='tools'><h1>A title</h1><p>{PARAGRAPH}</p></div></div>", f"A title\n{PARAGRAPH}"),
+        (f"<main><div class='ad-free'><article><p>{PARAGRAPH}</p></article></div></main>", PARAGRAPH),
+        (f"<article><p><strong class='alert'>Note:</strong> {PARAGRAPH}</p></article>", f"Note: {PARAGRAPH}"),
+        (f"<article><p><a class='tag' href='x'>Rivers</a> {PARAGRAPH}</p></article>", f"Rivers {PARAGRAPH}"),
+        (f"<article><p><span aria-hidden='true'>*</span>{PARAGRAPH}<i hidden>x</i></p></article>", PARAGRAPH),
+        (f"<article><p>{PARAGRAPH}</p></article><p><span style='display:none'>{PARAGRAPH}</span></p>", PARAGRAPH),
+        (f"<div class='site footer-dark'><article><p>{PARAGRAPH}</p></article><div class='sidebar'>{PARAGRAPH}</div></div>", PARAGRAPH),
+        (f"<main><p>{PARAGRAPH}</p><div id='comments'>{f'<p>{PARAGRAPH}</p>' * 9}</div></main>", PARAGRAPH),
+        (f"<div class='site footer-dark'><div class='content'><p>{PARAGRAPH}</p></div><div class='comments'>{f'<p>{PARAGRAPH}</p>' * 9}</div></div>", PARAGRAPH),
+        (f"<main><article><h1>A title</h1><p>{PARAGRAPH}</p></article><div id='comments'>{f'<article><p>{PARAGRAPH}</p></article>' * 9}</div></main>", f"A title\n{PARAGRAPH}"),
+        (f"<div class='content'><p>{PARAGRAPH * 4}</p></div><div class='related'>{CARD * 3}</div>", PARAGRAPH * 4),
+        (f"<div class='banner'><h1>Site</h1></div><main><p>{PARAGRAPH}</p></main>", PARAGRAPH),
+    ],
+)
+def test_names_are_weighed(page, expected):
+    assert main_text(page)[0] == expected
+
+
+def test_a_name_is_a_finite_cost():
+    blocks = html_mincut.blocks_of(f"<main><p>{PARAGRAPH}</p></main><div class='notice'><p>{PARAGRAPH * 400}</p></div>")
+    assert html_mincut.evidence(blocks[1]) > -html_mincut.SURE / 10
+    assert [b.named for b in blocks] == [False, True]
+
+
 def test_long_pages_and_broken_markup():
     many = "".join(f"<p>{PARAGRAPH} {i}" for i in range(5000))
     assert main_text(f"<article>{many}")[0].count("\n") == 4999
