@@ -33,10 +33,10 @@ from fleetwatch.session import cut
 WORDS, PERCENT = 5, 75
 MOST_MATCHES = 4  # shared prefix shingles that a document may ask for
 VERIFY_COST = 20.0  # of one candidate, in entries of a list
-#: Frequencies are counted in this share of every set, its smallest hashes, and kept in so many slots of one byte,
-#: whatever the input. They only order the shingles.
-COUNTED_SHARE, SLOTS, SLICE = 1 / 3, 2**24, 2**16
+#: Frequencies are kept in so many slots of one byte, whatever the input. They only order the shingles.
+SLOTS, SLICE = 2**24, 2**12
 LEAST_COUNT = 3
+TOGETHER = 2**20  # shingles that a worker sums up before they are shuffled
 SHORT = 32  # entries of a list whose pairs are written out; longer lists are compared in squares
 SQUARE = 512
 OFTEN = 12  # log2 of the documents from which a list is summed up before it is joined
@@ -91,39 +91,78 @@ def profile(docs: DataFrame) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, "id long, n long, key1 long, key2 long")
 
 
+def packed_counts(value: np.ndarray) -> pa.RecordBatch:
+    """(slice, gaps, counts): how often each shingle occurs in ``value``, a row for each slice of the slots.
+
+    A shingle is known by 48 bits of its hash, its slot and the 24 highest; in order, 32 bits hold the gap to the one
+    before unless there are few.
+    """
+    key = np.sort(((value & np.uint64(SLOTS - 1)) << np.uint64(24)) | (value >> np.uint64(40)))
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
+    count = np.diff(np.append(first, len(key))).astype(np.uint32)
+    key = key[first]
+    part = (key >> np.uint64(36)).astype(np.int32)
+    begin = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])[: len(part)])
+    gap = np.diff(key, prepend=np.uint64(0))
+    gap[begin] = key[begin] & np.uint64(2**36 - 1)
+    if len(gap) and int(gap.max()) < 2**32:
+        gap = gap.astype(np.uint32)
+
+    def binary(x: np.ndarray) -> pa.Array:
+        offsets = (np.append(begin, len(x)) * x.itemsize).astype(np.int32)
+        return pa.BinaryArray.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(x)])
+
+    return pa.RecordBatch.from_arrays(
+        [pa.array(part[begin], pa.int32()), binary(gap), binary(count)], names=["slice", "gaps", "counts"]
+    )
+
+
+def slice_levels(rows: pa.Table) -> np.ndarray:
+    """Levels of the slots of one slice, from its rows of ``packed_counts``."""
+    keys, counts = [], []
+    for gaps, count in zip(rows.column("gaps").to_pylist(), rows.column("counts").to_pylist()):
+        counts.append(np.frombuffer(count, np.uint32))
+        kind = np.uint32 if len(gaps) == len(count) else np.uint64
+        keys.append(np.cumsum(np.frombuffer(gaps, kind), dtype=np.uint64))
+    key, count = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(key)
+    key, count = key[order], count[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    total = np.add.reduceat(count, first, dtype=np.int64)
+    often = total >= LEAST_COUNT
+    own = np.zeros(SLICE, np.uint8)
+    np.maximum.at(own, (key[first[often]] >> np.uint64(24)).astype(np.int64), np.log2(total[often]).astype(np.uint8))
+    return own
+
+
 def frequency_levels(docs: DataFrame) -> np.ndarray:
     """For each slot of shingles log2 of the documents that hold its most frequent shingle; 0 below ``LEAST_COUNT``.
 
-    Counts are exact and cover all documents; what reaches the driver is ``SLOTS`` bytes at any size of input.
+    Counts cover every shingle of every set. Workers sum up their shingles before the shuffle; what reaches the driver is
+    ``SLOTS`` bytes at any size of input.
     """
 
-    def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher(lower=True)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, held, size = WordHasher(lower=True), [], 0
         for batch in batches:
             for chunk in chunks(batch.column("text")):
-                value, bounds = shingle_sets(chunk, hasher)
-                n = np.diff(bounds)
-                place = np.arange(len(value)) - np.repeat(bounds[:-1], n)
-                counted = value[place < np.repeat(np.ceil(n * COUNTED_SHARE), n)]
-                yield pa.RecordBatch.from_arrays([pa.array(counted.view(np.int64))], names=["token"])
-
-    def fill(rows: pd.DataFrame) -> pd.DataFrame:
-        own = np.zeros(SLICE, np.uint8)
-        own[rows["at"].to_numpy()] = rows["level"].to_numpy()
-        return pd.DataFrame({"slice": [int(rows["slice"].iloc[0])], "levels": [own.tobytes()]})
-
-    slot = F.col("token").bitwiseAND(SLOTS - 1)
-    counts = docs.select("text").mapInArrow(smallest, "token long").groupBy("token").count()
-    slices = (
-        counts.where(F.col("count") >= LEAST_COUNT)
-        .groupBy(slot.alias("slot"))
-        .agg(F.floor(F.log2(F.max("count"))).cast("int").alias("level"))
-        .select(F.shiftright("slot", 16).alias("slice"), F.col("slot").bitwiseAND(SLICE - 1).alias("at"), "level")
-        .groupBy("slice")
-        .applyInPandas(fill, "slice int, levels binary")
-    )
+                held.append(shingle_sets(chunk, hasher)[0])
+                size += len(held[-1])
+                if size >= TOGETHER:
+                    yield packed_counts(np.concatenate(held))
+                    held, size = [], 0
+        if size:
+            yield packed_counts(np.concatenate(held))
+
+    def fill(rows: pa.Table) -> pa.Table:
+        own = slice_levels(rows)
+        found = [own.tobytes()] if own.any() else []
+        part = rows.column("slice").slice(0, len(found)).combine_chunks()
+        return pa.table({"slice": part, "levels": pa.array(found, pa.binary())})
+
+    packed = docs.select("text").mapInArrow(count, "slice int, gaps binary, counts binary")
     out = np.zeros(SLOTS, np.uint8)
-    for r in slices.collect():
+    for r in packed.groupBy("slice").applyInArrow(fill, "slice int, levels binary").collect():
         out[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["levels"], np.uint8)
     return out
 
@@ -201,7 +240,8 @@ def posting_lists(entries: DataFrame) -> DataFrame:
     """Entries whose shingle is in two prefixes at least, with the leader of the list: (.., lead, lead_mark).
 
     The leader has the shingle earliest in its order, so few shingles of its own come before. Entries of rare
-    shingles shuffle once. Lists of frequent ones are summed up on the map side and joined, which Spark splits.
+    shingles shuffle once; as every shingle is counted, such a list has less than 2 ** ``OFTEN`` documents. Lists of
+    frequent ones are summed up on the map side and joined, which Spark splits.
     """
     lead = F.struct(_place(F.col("mark")).alias("place"), F.col("id").alias("id"), F.col("mark").alias("mark"))
     often = F.col("mark").bitwiseAND(1) == 1

@@ -171,6 +171,26 @@ def test_chosen_matches_grow_with_the_cost_of_the_prefix():
     assert ngram_join.chosen_matches(often, bounds).tolist()[1] > 1
 
 
+@pytest.mark.parametrize("together", [2**20, 50])
+def test_levels_count_every_shingle_of_every_set(spark, monkeypatch, together):
+    import numpy as np
+    import pyarrow as pa
+
+    from fleetwatch.llm.words import WordHasher, chunks
+
+    monkeypatch.setattr(ngram_join, "TOGETHER", together)
+    rows, counts = _corpus(), defaultdict(int)
+    for chunk in chunks(pa.array([r[1] for r in rows])):
+        for token in ngram_join.shingle_sets(chunk, WordHasher(lower=True))[0].tolist():
+            counts[token] += 1
+    expected = np.zeros(ngram_join.SLOTS, np.uint8)
+    for token, n in counts.items():
+        if n >= ngram_join.LEAST_COUNT:
+            slot = token % ngram_join.SLOTS
+            expected[slot] = max(expected[slot], n.bit_length() - 1)
+    assert expected.any() and (ngram_join.frequency_levels(_docs(spark, rows)) == expected).all()
+
+
 def test_one_of_each_component_stays_with_its_columns(spark):
     rows = _corpus()
     docs = _clashing(_docs(spark, rows))
