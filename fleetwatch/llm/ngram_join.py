@@ -12,7 +12,7 @@ what these links connect is not compared again. Then entries of a list that are
 in short lists; in long ones those not connected with the leader meet all others inside tasks of bounded size.
 
 Nulls and texts without words are empty and linked with nothing, as are rows without an id. Rows that repeat an id
-are one document as to links. Rows that repeat id and text give repeated rows. Empty tables give empty tables.
+are one document as to links, also with different texts. Rows that repeat id and text give repeated rows. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -72,20 +72,23 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
+def _keys(chunk: Chunk, hasher: WordHasher) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Size and both keys of the set of each text."""
+    value, bounds = shingle_sets(chunk, hasher)
+    key1 = mix(_sums(value, bounds)).view(np.int64)
+    key2 = mix(_sums(mix(value + np.uint64(0x632BE59BD9B4E019)), bounds)).view(np.int64)
+    return np.diff(bounds).astype(np.int64), key1, key2
+
+
 def profile(docs: DataFrame) -> DataFrame:
     """Size and key of each document's set: (id, n, key1, key2). Equal sets have equal keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher(lower=True)
         for batch in batches:
-            n, key1, key2 = [], [], []
-            for chunk in chunks(batch.column("text")):
-                value, bounds = shingle_sets(chunk, hasher)
-                n.append(np.diff(bounds).astype(np.int64))
-                key1.append(mix(_sums(value, bounds)).view(np.int64))
-                key2.append(mix(_sums(mix(value + np.uint64(0x632BE59BD9B4E019)), bounds)).view(np.int64))
-            if n:
-                columns = [batch.column("id"), *(pa.array(np.concatenate(c)) for c in (n, key1, key2))]
+            found = [_keys(chunk, hasher) for chunk in chunks(batch.column("text"))]
+            if found:
+                columns = [batch.column("id"), *(pa.array(np.concatenate(c)) for c in zip(*found))]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "key1", "key2"])
 
     return docs.select("id", "text").mapInArrow(run, "id long, n long, key1 long, key2 long")
@@ -469,17 +472,67 @@ def _square_links(square: pd.DataFrame) -> list[tuple[int, int]]:
     return out
 
 
+def _by_set(rows: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """Both tables with ``doc``, their id, and an ``id`` that stands for one set; and whether ids were replaced.
+
+    Where an id has rows of different sets, a hash of id and set takes its place. Only such rows are read again.
+    """
+    rows, sets = rows.withColumn("doc", F.col("id")), sets.withColumn("doc", F.col("id"))
+    several = cut(
+        sets.where(F.col("id").isNotNull() & (F.col("n") > 0))
+        .groupBy(F.col("id").alias("__id"))
+        .agg(((F.min("key1") != F.max("key1")) | (F.min("key2") != F.max("key2"))).alias("several"))
+        .where("several")
+        .select("__id"),
+        "several",
+    )
+    n = several.count()
+    if not n:
+        return rows, sets, False
+    bits = filter_bits(n)
+    member = member_filter(several, "__id", bits)
+
+    def renamed(looked: DataFrame, keyed: DataFrame) -> DataFrame:
+        own = F.when(F.col("__id").isNotNull(), F.xxhash64("doc", "key1", "key2")).otherwise(F.col("doc"))
+        found = keyed.join(several, F.col("doc") == F.col("__id"), "left").withColumn("id", own)
+        rest = looked.where(F.coalesce(~F.col(MAYBE), F.lit(True)))
+        return rest.select(columns).unionByName(found.select(columns))
+
+    columns = ["id", "n", "key1", "key2", "doc"]
+    looked = with_maybe(sets, "id", member, bits)
+    new_sets = renamed(looked, looked.where(MAYBE))
+    columns = ["id", "text", "doc"]
+    looked = with_maybe(rows, "id", member, bits)
+    keyed = _with_keys(looked.where(MAYBE))
+    return renamed(looked, keyed), cut(new_sets, "sets"), True
+
+
+def _with_keys(rows: DataFrame) -> DataFrame:
+    """Rows (doc, text) with the keys of their sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher(lower=True)
+        for batch in batches:
+            for chunk in chunks(batch.column("text")):
+                _, key1, key2 = _keys(chunk, hasher)
+                own = batch.slice(chunk.first, chunk.last - chunk.first)
+                columns = [own.column("doc"), own.column("text"), pa.array(key1), pa.array(key2)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc", "text", "key1", "key2"])
+
+    return rows.select("doc", "text").mapInArrow(run, "doc long, text string, key1 long, key2 long")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    sets = cut(profile(rows), "sets")
+    rows, sets, replaced = _by_set(rows, cut(profile(rows), "sets"))
     known = sets.where(F.col("id").isNotNull() & (F.col("n") > 0))
     heads = cut(known.groupBy("key1", "key2").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("copies")), "classes")
     named = cut(
         known.join(
             heads.select(F.col("key1").alias("__1"), F.col("key2").alias("__2"), "head"),
             (F.col("key1") == F.col("__1")) & (F.col("key2") == F.col("__2")),
-        ).select("id", "n", "head"),
+        ).select("id", "n", "head", "doc"),
         "named",
     )
     # Only the head of each class is joined; the others are looked up by a filter, not by a shuffle of all texts.
@@ -488,15 +541,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     looked = with_maybe(rows.where(F.col("id").isNotNull()), "id", member_filter(later, "id", bits), bits)
     checked = looked.where(MAYBE).join(later.select(F.col("id").alias("__later")), F.col("id") == F.col("__later"), "left_anti")
     classes = looked.where(~F.col(MAYBE)).unionByName(checked).select("id", "text")
-    group = components(linked(classes))
-    placed = (
-        named.join(group, F.col("head") == F.col("node"), "left")
-        .select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "head").alias("component_id"))
-    )
-    alone = sets.where(F.col("id").isNull() | (F.col("n") == 0)).select(
-        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("id").alias("component_id")
+    links = linked(classes)
+    if replaced:
+        same = named.groupBy("doc").agg(F.min("head").alias("__least"))
+        one = named.select(F.col("doc").alias("__doc"), "head").join(same, F.col("__doc") == F.col("doc"))
+        links = links.unionByName(one.select(F.col("head").alias("a"), F.col("__least").alias("b")))
+    group = components(links)
+    placed = named.join(group, F.col("head") == F.col("node"), "left").select(
+        "doc", "n", F.coalesce("component", "head").alias("component")
     )
-    return placed.unionByName(alone)
+    if replaced:  # the smallest id in place of the smallest one that stands for a set
+        placed = cut(placed, "placed")
+        least = placed.groupBy(F.col("component").alias("__c")).agg(F.min("doc").alias("__least"))
+        placed = placed.join(least, F.col("component") == F.col("__c")).select("doc", "n", F.col("__least").alias("component"))
+    alone = sets.where(F.col("id").isNull() | (F.col("n") == 0)).select("doc", "n", F.col("doc").alias("component"))
+    return placed.unionByName(alone).toDF("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

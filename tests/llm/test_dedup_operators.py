@@ -206,6 +206,17 @@ def test_rows_without_id_are_linked_with_nothing(spark):
     assert ngram_join.one_of_each(_docs(spark, rows)).count() == 3
 
 
+def test_rows_of_one_id_with_different_texts_are_one_document(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(3, b), (5, b), (5, a), (9, f"{a} z"), (11, c), (12, f"{c} z"), (12, c), (12, c), (13, "q r"), (5, ""), (14, "q s")]
+    docs = _docs(spark, [(i, t, "", "", 0) for i, t in rows])
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(docs).collect())
+    assert got == sorted(
+        [(3, 56, 3), (5, 56, 3), (5, 56, 3), (9, 57, 3), (11, 56, 11), (12, 57, 11), (12, 56, 11), (12, 56, 11)]
+        + [(13, 1, 13), (14, 1, 14), (5, 0, 5)]
+    )
+
+
 def test_components_of_long_chains_stars_and_cycles(spark):
     chain = [(i, i + 1) for i in range(40)]
     star = [(100, i) for i in range(101, 160)]
