@@ -4,8 +4,8 @@ A window is ``SPAN`` consecutive words. Seeds are winnowed anchors: of the runs
 one with the smallest hash, the last of equals. Equal windows have equal anchors at equal places, so every
 repeat is seeded.
 
-1. Each anchor carries the stretch of all windows that it stands for, extended to both sides as far as they
-   reach. Anchors join on their hash. Where whole stretches agree, all windows of the later ones repeat.
+1. Each anchor carries the stretch of all windows that it stands for, which is the run of windows that chose it.
+   Matches are not extended beyond it: the windows there have anchors of their own. Anchors join on their hash. Where whole stretches agree, all windows of the later ones repeat.
 2. Of stretches that differ around one anchor, the first of each kind is compared window by window.
 3. Windows that repeat an earlier one are merged into maximal repeats, and their words are removed.
 
