@@ -31,13 +31,13 @@ from fleetwatch.llm.logistic import fit, sigmoid
 from fleetwatch.session import cut
 
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.5
-#: Bounds of the fit: labelled rows, lexicon entries, letters of a word beginning.
-MOST_ROWS, MOST_ENTRIES, LONGEST = 12_000, 600, 12
+#: Bounds of the fit: labelled rows, letters of a word beginning.
+MOST_ROWS, LONGEST = 12_000, 12
 SHORTEST, LEAST_DOCS, LEAST_SHARE = 3, 4, 0.8
 #: The probability of an entry's toxic documents at the overall rate, times all terms that are tried, is e to the
 #: minus this at most.
 LEAST_SURPRISE = 1.0
-FUZZY_FROM = 5  # letters of an entry from which one edit is allowed
+FUZZY_FROM = 5  # letters of an entry from which one edit is allowed; the end of a whole word counts as one
 SAME_SHARE = 0.9  # of the toxic documents of a beginning, for a longer one to stand for it
 CONTEXT = 6  # words on either side
 MEMORY = 200_000  # words and states that a worker keeps
@@ -66,7 +66,7 @@ class Trie:
         trie = cls()
         for number, entry in enumerate(entries):
             letters = entry.removesuffix(_END)
-            trie.lengths.append(len(letters))
+            trie.lengths.append(len(entry))
             node = 0
             for c in letters:
                 if c not in trie.next[node]:
@@ -242,7 +242,10 @@ def _counts(n: Counter, toxic: Counter) -> pa.RecordBatch:
 
 
 def learn_entries(docs: DataFrame) -> list[str]:
-    """At most ``MOST_ENTRIES`` terms that mark toxic documents, the shortest of those that say the same."""
+    """All terms that mark toxic documents beyond chance, the shortest of those that say the same.
+
+    The sample has a bounded number of rows, so their number needs no other bound.
+    """
     rate = docs.agg(F.avg("label")).first()[0] or 0.0
     if not 0 < rate < 1:
         return []
@@ -253,8 +256,7 @@ def learn_entries(docs: DataFrame) -> list[str]:
     tried = math.log(max(1, terms.count()))
     rows = (
         terms.where((F.col("toxic") >= LEAST_DOCS) & (share >= LEAST_SHARE) & (surprise >= LEAST_SURPRISE + tried))
-        .orderBy((share * F.log2(F.col("toxic") + 1)).desc(), F.length("term"), "term")
-        .limit(MOST_ENTRIES * 4)
+        .select("term", "toxic")
         .collect()
     )
     found = {r["term"]: r["toxic"] for r in rows}
@@ -265,7 +267,7 @@ def learn_entries(docs: DataFrame) -> list[str]:
             longest[term] = term
         elif term.startswith(longest[stem]) and found[term] >= SAME_SHARE * found[stem]:
             longest[stem] = term  # as good as the shorter one, and meets fewer other words
-    return sorted(longest.values(), key=lambda t: (-found[t], t))[:MOST_ENTRIES]
+    return sorted(longest.values(), key=lambda t: (-found[t], t))
 
 
 def learn_weights(docs: DataFrame, entries: list[str]) -> dict[tuple[int, int], float]:

@@ -163,3 +163,14 @@ def test_ranking_orders_pairs_and_cuts_at_the_quantile():
     assert abs((scores >= quality.THRESHOLD).mean() - y.mean()) < 0.01
     better, worse = quality.preference_pairs(y, 1000)
     assert len(better) == 1000 and y[better].all() and not y[worse].any()
+
+
+def test_no_significant_term_is_cut_from_the_lexicon(spark):
+    words = ["".join(chr(97 + i // 26**k % 26) for k in range(3)) + "zz" for i in range(900)]
+    rows = [(" ".join(words), 1)] * 40 + [("0 1 2", 0)] * 400
+    entries = toxicity.learn_entries(spark.createDataFrame(rows, "text string, label int"))
+    assert {e[:3] for e in entries} == {w[:3] for w in words}
+
+
+def test_whole_words_of_four_letters_allow_one_edit():
+    assert dict(LexiconAutomaton(["scum$"]).match("skum")) == {0: 1} and LexiconAutomaton(["scum"]).match("skum") == ()
