@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetwatch.llm import ann, bpe, divergence, exact_dedup, html_mincut, line_dedup, ngram_join, packing, quality, substring, warc
+from fleetwatch.llm import ann, bpe, divergence, exact_dedup, html_mincut, line_dedup, ngram_join, packing, quality, spelling
+from fleetwatch.llm import substring, warc
 from fleetwatch.llm import toxicity as toxic
 
 BYTE_RANKS = "byte_bpe_50k.tiktoken"
@@ -93,6 +94,11 @@ def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return divergence.audit(table(spark, folder, "documents"))
 
 
+@query()
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.group_variants(table(spark, folder, "documents"))
+
+
 @query(line_dedup.SQL)
 def op13_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.line_counts(table(spark, folder, "documents"))
