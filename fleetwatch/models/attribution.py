@@ -6,15 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassificationModel, LogisticRegressionModel
+from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetwatch.models.boosting import LEAF, BoostedTrees
 from fleetwatch.models.prep import FEATURES
 from fleetwatch.operators.labels import ENTITY, LABEL
 from fleetwatch.operators.sampling import sample_rows
-from fleetwatch.session import new_path
 
 CONTRIBUTIONS = "contributions"
 BASE = "base_value"
@@ -61,43 +61,30 @@ def attribute_logistic(prepared: DataFrame, model: LogisticRegressionModel, back
     )
 
 
-def tree_paths(model: GBTClassificationModel, spark) -> list[dict]:
-    """Per leaf: its value times the tree weight, and per feature on its path the interval of values
-    that stay on the path and the share of training rows that do.
+def tree_paths(model: BoostedTrees) -> list[dict]:
+    """Per leaf: its value, and per feature on its path the interval of values that stay on the path and the share of
+    the training rows, by hessian, that do.
 
-    The nodes are read from Spark's own model files; trees of depth 5 have at most 32 leaves each.
+    Trees of depth 5 have at most 32 leaves each.
     """
-    path = new_path(spark, "boosted_model")
-    model.save(path)
-    table = spark.read.parquet(f"{path}/data").select(
-        "treeID",
-        "nodeData.id",
-        "nodeData.prediction",
-        F.get("nodeData.impurityStats", F.lit(0)).alias("weight"),
-        "nodeData.leftChild",
-        "nodeData.rightChild",
-        F.col("nodeData.split.featureIndex").alias("feature"),
-        F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"),
-    )
-    nodes = {(r["treeID"], r["id"]): r for r in table.collect()}
     leaves = []
-    for tree, weight in enumerate(model.treeWeights):
-        stack = [(nodes[tree, 0], {})]
+    for number, tree in enumerate(model.kept()):
+        stack = [(1, {})]
         while stack:
             node, limits = stack.pop()
-            if node["leftChild"] < 0:
-                leaves.append({"tree": tree, "value": weight * node["prediction"], "limits": limits})
+            feature = int(tree.feature[node])
+            if feature == LEAF:
+                leaves.append({"tree": number, "value": float(tree.value[node]), "limits": limits})
                 continue
-            for child, is_left in ((node["leftChild"], True), (node["rightChild"], False)):
-                below = nodes[tree, child]
-                low, high, share = limits.get(node["feature"], (-np.inf, np.inf, 1.0))
-                # The first statistic of a node is the weight of its rows.
-                share *= below["weight"] / node["weight"]
+            threshold = model.threshold(tree, node)
+            for child, is_left in ((2 * node, True), (2 * node + 1, False)):
+                low, high, share = limits.get(feature, (-np.inf, np.inf, 1.0))
+                share *= tree.cover[child] / tree.cover[node]
                 if is_left:
-                    high = min(high, node["threshold"])
+                    high = min(high, threshold)
                 else:
-                    low = max(low, node["threshold"])
-                stack.append((below, {**limits, node["feature"]: (low, high, share)}))
+                    low = max(low, threshold)
+                stack.append((child, {**limits, feature: (low, high, share)}))
     return leaves
 
 
@@ -128,21 +115,22 @@ def _choose(n: int, k: int) -> int:
     return out
 
 
-def attribute_boosted(prepared: DataFrame, model: GBTClassificationModel) -> DataFrame:
+def attribute_boosted(prepared: DataFrame, model: BoostedTrees) -> DataFrame:
     """Path-dependent Shapley values (Lundberg et al., 2018) of the boosted margin.
 
     The base value is the average prediction over the training rows of the trees.
     """
     spark = prepared.sparkSession
-    leaves = tree_paths(model, spark)
-    base = sum(leaf["value"] * np.prod([s for _, _, s in leaf["limits"].values()]) for leaf in leaves)
+    leaves = tree_paths(model)
+    start = model.base
+    base = start + sum(leaf["value"] * np.prod([s for _, _, s in leaf["limits"].values()]) for leaf in leaves)
     shared = spark.sparkContext.broadcast(leaves)
 
     @F.pandas_udf("struct<contributions: array<double>, margin: double>")
     def explain(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x = np.stack(batch.to_numpy()) if len(batch) else np.zeros((0, 1))
-            values, margin = np.zeros(x.shape), np.zeros(len(x))
+            values, margin = np.zeros(x.shape), np.full(len(x), start)
             for leaf in shared.value:
                 features = list(leaf["limits"])
                 if not features:

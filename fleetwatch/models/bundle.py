@@ -7,9 +7,11 @@ from dataclasses import dataclass
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
+from fleetwatch.models.boosting import BoostedTrees, load_trees, save_trees
 from fleetwatch.models.forest import Forest, score_isolation
 from fleetwatch.models.prep import prepare
 from fleetwatch.models.scorers import score_holdout
+from fleetwatch.session import path_exists
 from fleetwatch.sources.tables import feature_columns
 
 
@@ -18,13 +20,13 @@ class Bundle:
     """Preprocessing, one scorer and the numeric inputs, in order."""
 
     prep: PipelineModel
-    scorer: PipelineModel
+    scorer: object
     numeric: list[str]
 
     def score(self, df: DataFrame, name: str) -> DataFrame:
         """Prediction rows; a table with other numeric columns is refused."""
         require_features(df, self.numeric)
-        return score_holdout(prepare(df, self.prep), {name: self.scorer.stages[0]})
+        return score_holdout(prepare(df, self.prep), {name: self.scorer})
 
 
 def require_features(df: DataFrame, numeric: list[str]) -> None:
@@ -37,7 +39,10 @@ def save_bundle(path: str, prep: PipelineModel, model, numeric: list[str]) -> No
     """Write preprocessing, scorer and feature list below a path."""
     spark = SparkSession.active()
     prep.save(f"{path}/prep")
-    PipelineModel(stages=[model]).save(f"{path}/scorer")
+    if isinstance(model, BoostedTrees):
+        save_trees(f"{path}/trees", model)
+    else:
+        PipelineModel(stages=[model]).save(f"{path}/scorer")
     listed = spark.createDataFrame(list(enumerate(numeric)), "position int, name string")
     listed.coalesce(1).write.json(f"{path}/numeric_features")
 
@@ -47,7 +52,11 @@ def load_bundle(path: str) -> Bundle:
     spark = SparkSession.active()
     listed = spark.read.schema("position int, name string").json(f"{path}/numeric_features")
     numeric = [r["name"] for r in listed.orderBy("position").collect()]
-    return Bundle(PipelineModel.load(f"{path}/prep"), PipelineModel.load(f"{path}/scorer"), numeric)
+    if path_exists(spark, f"{path}/trees"):
+        scorer: object = load_trees(f"{path}/trees")
+    else:
+        scorer = PipelineModel.load(f"{path}/scorer").stages[0]
+    return Bundle(PipelineModel.load(f"{path}/prep"), scorer, numeric)
 
 
 @dataclass(frozen=True)

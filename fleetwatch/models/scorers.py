@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import (
-    GBTClassificationModel,
-    GBTClassifier,
-    LogisticRegression,
-    LogisticRegressionModel,
-)
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetwatch.functions.scores import rule_score
+from fleetwatch.models.boosting import BoostedTrees, Boosting, fit_boosted_trees
 from fleetwatch.models.prep import FEATURES
 from fleetwatch.operators.labels import LABEL
 from fleetwatch.operators.sampling import WEIGHT
@@ -20,9 +16,6 @@ from fleetwatch.operators.sampling import WEIGHT
 # Settings of the learners.
 LOGISTIC_ITERATIONS = 80
 LOGISTIC_C = 1.0
-BOOSTED = {"maxIter": 180, "maxDepth": 5, "stepSize": 0.05, "subsamplingRate": 0.85}
-BOOSTED_COLUMNS = "0.85"
-BOOSTED_MIN_ROWS = 10
 
 RULE = "sector_count_rule"
 
@@ -61,32 +54,17 @@ def fit_logistic(prepared: DataFrame, weight: str = WEIGHT) -> LogisticRegressio
 
 def fit_boosted(
     prepared: DataFrame, validation: DataFrame | None = None, weight: str = WEIGHT, seed: int = 42, **settings
-) -> GBTClassificationModel:
-    """Weighted boosted trees; with validation rows, boosting stops when their loss stops falling."""
-    chosen = {**BOOSTED, **settings}
-    learner = GBTClassifier(
-        featuresCol=FEATURES,
-        labelCol=LABEL,
-        weightCol=weight,
-        featureSubsetStrategy=BOOSTED_COLUMNS,
-        minInstancesPerNode=BOOSTED_MIN_ROWS,
-        seed=seed,
-        **chosen,
-    )
-    # Without column metadata every place of the vector is split as a number, one-hot places too.
-    prepared = prepared.withMetadata(FEATURES, {})
-    if validation is None:
-        return learner.fit(prepared)
-    columns = [FEATURES, LABEL, weight]
-    held_out = validation.withColumn(weight, F.lit(1.0)).select(*columns, F.lit(True).alias("held_out"))
-    rows = prepared.select(*columns, F.lit(False).alias("held_out")).unionByName(held_out)
-    rows = rows.withMetadata(FEATURES, {})
-    learner.setValidationIndicatorCol("held_out")
-    learner.set(learner.validationTol, 0.0)
-    return learner.fit(rows)
+) -> BoostedTrees:
+    """Weighted boosted trees; with validation rows, as many as give their best average precision.
+
+    ``settings`` are fields of ``Boosting``.
+    """
+    return fit_boosted_trees(prepared, validation, weight, seed, Boosting(**settings))
 
 
 def _probability(df: DataFrame, model, name: str) -> DataFrame:
+    if isinstance(model, BoostedTrees):
+        return df.withColumn(f"risk_{name}", model.probability(F.col(FEATURES)))
     out = {"p": f"{name}__p", "raw": f"{name}__raw", "label": f"{name}__label"}
     scored = (
         model.setProbabilityCol(out["p"]).setRawPredictionCol(out["raw"]).setPredictionCol(out["label"]).transform(df)

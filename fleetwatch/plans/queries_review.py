@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from fleetwatch.functions.hashing import bucket as spark_bucket
 from fleetwatch.functions.hashing import row_key
 from fleetwatch.models import attribution, bundle, forest, prep, scorers
+from fleetwatch.models.boosting import node_rows
 from fleetwatch.operators import audit, joins, labels, profile, review
 from fleetwatch.operators.metrics import thresholds_of
 from fleetwatch.operators.splits import TEST, TRAIN
@@ -24,6 +25,7 @@ from fleetwatch.plans.sql import (
     compose,
     hash32,
 )
+from fleetwatch.plans.sql_boosting import boosted
 from fleetwatch.plans.stages import ANOMALY, PLAIN_SCORERS, SPLIT, Study
 from fleetwatch.session import new_path
 from fleetwatch.sources import snapshot
@@ -434,12 +436,19 @@ def fit_logistic(s: Study) -> DataFrame:
     return s.spark.createDataFrame([*rows, ("intercept", float(model.intercept))], "feature string, value double")
 
 
-@query()
+_BOOSTED_ROUNDS = 3
+
+
+@query(boosted(_BOOSTED_ROUNDS))
 def fit_boosted(s: Study) -> DataFrame:
-    """Size and weight of each tree that early stopping kept."""
-    model = s.scorers()["boosted_trees"]
-    rows = [(i, t.numNodes, t.depth, float(w)) for i, (t, w) in enumerate(zip(model.trees, model.treeWeights))]
-    return s.spark.createDataFrame(rows, "tree int, nodes int, depth int, weight double")
+    """Nodes of the first boosted trees: the feature of each split with its gain, the value of each leaf."""
+    names = dict(enumerate(_vector_names(s)))
+    rows = [
+        (tree, node, names.get(feature), gain, value, cover)
+        for tree, node, feature, _, _, gain, value, cover in node_rows(s.scorers()["boosted_trees"], _BOOSTED_ROUNDS)
+    ]
+    schema = "tree int, node int, feature string, gain double, value double, cover double"
+    return s.spark.createDataFrame(rows, schema)
 
 
 @query()

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from fleetwatch.functions.scores import rule_score
 from fleetwatch.models.forest import Forest, fit_isolation_forest, score_isolation
 from fleetwatch.models.prep import fit_prep, prepare
-from fleetwatch.models.scorers import BOOSTED, RULE, check_classes, fit_boosted, fit_logistic, score_holdout
+from fleetwatch.models.boosting import Boosting
+from fleetwatch.models.scorers import RULE, check_classes, fit_boosted, fit_logistic, score_holdout
 from fleetwatch.operators.features import build_features
 from fleetwatch.operators.labels import LABEL, horizon_labels
 from fleetwatch.operators.metrics import evaluate_scores, thresholds_at_fpr
@@ -42,7 +43,7 @@ PLAIN_SCORERS = (RULE, "load_index", "wear_index")
 LOAD_HALF, WEAR_HALF = 5000.0, 3.0
 ANOMALY, FOREST = "anomaly_isolation_forest", "isolation_forest"
 
-ROUNDS = BOOSTED["maxIter"]
+ROUNDS = Boosting.rounds
 HEALTHY_FRACTION = 0.1
 
 _written: dict[tuple, str] = {}
@@ -75,7 +76,7 @@ class Study:
 
     By default the telemetry comes from the folder's event log; ``source`` gives any other raw table.
 
-    ``rounds`` is the number of boosting rounds, at most: it ends when the validation loss stops falling.
+    ``rounds`` is the number of boosting rounds, at most: it ends when average precision on validation stops rising.
     ``healthy_fraction`` and ``forest_fraction`` are the shares of entities whose healthy rows train the scorers
     and the forest.
     """
@@ -228,7 +229,7 @@ class Study:
             check_classes(held_out, "validation")
             return {
                 "logistic_regression": fit_logistic(self.training()),
-                "boosted_trees": fit_boosted(self.training(), held_out, maxIter=self.rounds),
+                "boosted_trees": fit_boosted(self.training(), held_out, rounds=self.rounds),
             }
 
         return self._once("scorers", build)

@@ -56,6 +56,12 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, in whatever store the path names."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def mark(spark: SparkSession) -> int:
     """How many paths this application has made; ``release`` takes it."""
     return len(_made.get(spark.sparkContext.applicationId, []))

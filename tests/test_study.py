@@ -53,7 +53,7 @@ def test_the_learner_gets_the_rounds_of_the_study(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(Study, "_stage", lambda s, name, build, day=None: None)
     monkeypatch.setattr(stages, "check_classes", lambda *a: None)
     monkeypatch.setattr(stages, "fit_logistic", lambda rows: None)
-    monkeypatch.setattr(stages, "fit_boosted", lambda rows, held_out, maxIter: asked.append(maxIter))
+    monkeypatch.setattr(stages, "fit_boosted", lambda rows, held_out, rounds: asked.append(rounds))
     Study(spark, str(tmp_path)).scorers()
     Study(spark, str(tmp_path), rounds=3).scorers()
     assert asked == [BOOSTED["maxIter"], 3] and BOOSTED["maxIter"] == 180
