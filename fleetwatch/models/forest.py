@@ -1,11 +1,14 @@
 """Isolation forest (Liu, Ting and Zhou, 2008) grown and applied by Spark tasks.
 
 Each tree only sees a bounded sample. Rows are drawn by hash in two steps, so that no task and no
-driver ever holds more than one tree's sample, whatever the size of the fleet.
+driver ever holds more than one tree's sample, whatever the size of the fleet. All draws are portable hashes: of the row's
+key and the tree for samples, of the tree and the node for split features and thresholds. So any engine can grow the same
+forest from the same rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -16,15 +19,21 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetwatch.functions.hashing import HASH_SPACE, hash32, row_key
 from fleetwatch.models.prep import FEATURES
+from fleetwatch.operators.labels import ENTITY
 from fleetwatch.session import cut
 
 TREES = 200
 ROWS_PER_TREE = 512
 # Extra rows drawn per tree, so that a tree practically never gets too few.
 OVERDRAW = 2.0
-HASH_STEPS = 1 << 40
-NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, path double"
+#: Copies of a row without a key are numbered in blocks of so many.
+COPIES = 10_000
+#: A feature with a smaller range, in standard deviations, does not vary: such differences are rounding.
+LEAST_RANGE = 1e-9
+#: Nodes by place in the heap: the children of ``k`` are ``2k`` and ``2k + 1``, the root is 1; leaves have feature -1.
+NODE_SCHEMA = "tree int, node int, feature int, threshold double, path double"
 BATCH_ROWS = 10_000
 
 
@@ -46,60 +55,81 @@ class Forest:
     rows_per_tree: int
 
 
-def _share(*parts) -> Column:
-    """Hash of a row as a number in [0, 1)."""
-    return F.pmod(F.xxhash64(*parts), F.lit(HASH_STEPS)) / F.lit(float(HASH_STEPS))
+def _share(*parts: str | Column) -> Column:
+    """Portable hash of texts as a number in [0, 1)."""
+    return hash32(F.concat_ws(":", *parts)) / F.lit(float(HASH_SPACE))
+
+
+def _numbered_copies(values: DataFrame, block: int = COPIES) -> DataFrame:
+    """(x, copy) of every row, equal rows numbered from 1.
+
+    Equal rows are counted with map-side combine. The numbers of a row that very many share are made block by block, and the
+    blocks spread over all tasks.
+    """
+    counts = values.groupBy("x").agg(F.count(F.lit(1)).alias("copies"))
+    size = F.greatest(F.lit(block), F.ceil(F.sqrt("copies"))).cast("long")
+    sized = counts.withColumn("size", size)
+    few = sized.where(F.col("copies") <= F.col("size")).withColumn("part", F.lit(0).cast("long"))
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.call_function("div", F.col("copies") - 1, F.col("size"))))
+    many = sized.where(F.col("copies") > F.col("size")).select("*", parts.alias("part")).repartition("x", "part")
+    first = F.col("part") * F.col("size") + 1
+    last = F.least(F.col("copies"), first + F.col("size") - 1)
+    return few.unionByName(many).select("x", F.explode(F.sequence(first, last)).alias("copy"))
+
+
+def _known_rows(prepared: DataFrame) -> DataFrame:
+    """(key, x): a row is known by its entity and day, or else by its values and a copy number."""
+    x = vector_to_array(FEATURES).alias("x")
+    if {ENTITY, "obs_date"} <= set(prepared.columns):
+        return prepared.select(row_key().alias("key"), x)
+    rows = _numbered_copies(prepared.select(x))
+    values = F.concat_ws(",", F.transform("x", lambda v: v.cast("string")))
+    return rows.select(F.concat_ws(":", values, F.col("copy").cast("string")).alias("key"), "x")
 
 
 def tree_samples(prepared: DataFrame, trees: int, rows_per_tree: int, seed: int) -> DataFrame:
-    """(tree, draw, x): about ``OVERDRAW`` times the rows each tree needs.
+    """(tree, draw, key, x): about ``OVERDRAW`` times the rows each tree needs.
 
     First a pool of at most a few rows per tree place is drawn from all rows; then every pool row picks its trees.
-    A row is known by its values and, among equal rows, by a number, so the draw is the same for any
-    partitions, files and cores. Equal rows are counted with map-side combine and drawn by their number, not one by one.
+    Draws depend on the key of a row alone, so they are the same for any partitions, files and cores.
     """
     n = prepared.count()
     wanted = OVERDRAW * trees * rows_per_tree
-    kinds = (
-        prepared.select(vector_to_array(FEATURES).alias("x"))
-        .groupBy("x")
-        .agg(F.count(F.lit(1)).alias("copies"))
-    )
-    rows = kinds.select("x", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
-    rows = rows.select("x", F.xxhash64("x", "copy").alias("row_id"))
+    rows = _known_rows(prepared)
     if n > wanted:
-        rows = rows.where(_share(F.lit(seed), "row_id") < wanted / n)
+        rows = rows.where(_share("key", F.lit(f"{seed}:pool")) < wanted / n)
     pool = cut(rows, "forest_pool")
-    pool_rows = max(1, pool.count())
-    chance = OVERDRAW * rows_per_tree / pool_rows
+    chance = OVERDRAW * rows_per_tree / max(1, pool.count())
     numbers = F.sequence(F.lit(0), F.lit(trees - 1))
-    picked = F.filter(numbers, lambda t: _share(F.lit(seed + 1), "row_id", t) < F.lit(chance))
-    drawn = pool.select("row_id", "x", F.explode(picked).alias("tree"))
-    return drawn.select("tree", _share(F.lit(seed + 2), "row_id", "tree").alias("draw"), "x")
+    drawn = pool.select("key", "x", F.explode(numbers).alias("tree"))
+    draw = _share("key", F.lit(str(seed)), F.col("tree").cast("string"))
+    return drawn.select("tree", draw.alias("draw"), "key", "x").where(F.col("draw") < chance)
+
+
+def _hashed(text: str) -> int:
+    return int(hashlib.md5(text.encode()).hexdigest()[:8], 16)
 
 
-def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
-    """Nodes ``(node, feature, threshold, left, right, path)`` of one tree; leaves have feature -1."""
+def _grow(x: np.ndarray, tree: int, seed: int, limit: int) -> list[tuple]:
+    """Nodes ``(tree, node, feature, threshold, path)`` of one tree."""
     nodes: list[tuple] = []
-    open_nodes = [(np.arange(len(x)), 0, None, None)]
+    open_nodes = [(1, np.arange(len(x)))]
     while open_nodes:
-        rows, depth, parent, side = open_nodes.pop()
-        node = len(nodes)
-        if parent is not None:
-            nodes[parent][side] = node
+        node, rows = open_nodes.pop()
+        depth = node.bit_length() - 1
         low, high = x[rows].min(axis=0), x[rows].max(axis=0)
-        varying = np.flatnonzero(high > low)
+        varying = np.flatnonzero(high - low > LEAST_RANGE)
         if depth >= limit or len(rows) <= 1 or not len(varying):
-            nodes.append([node, -1, 0.0, -1, -1, depth + average_path(len(rows))])
+            nodes.append((tree, node, -1, 0.0, depth + average_path(len(rows))))
             continue
-        feature = int(rng.choice(varying))
-        threshold = float(rng.uniform(low[feature], high[feature]))
+        feature = int(varying[_hashed(f"{seed}:{tree}:{node}:feature") % len(varying)])
+        part = _hashed(f"{seed}:{tree}:{node}:threshold") / HASH_SPACE
+        threshold = float(low[feature] + part * (high[feature] - low[feature]))
         # Rounding may give the upper end itself, which would leave the right side empty.
         threshold = min(threshold, float(np.nextafter(high[feature], -np.inf)))
-        nodes.append([node, feature, threshold, -1, -1, 0.0])
+        nodes.append((tree, node, feature, threshold, 0.0))
         goes_left = x[rows, feature] <= threshold
-        open_nodes.append((rows[~goes_left], depth + 1, node, 4))
-        open_nodes.append((rows[goes_left], depth + 1, node, 3))
+        open_nodes += [(2 * node, rows[goes_left]), (2 * node + 1, rows[~goes_left])]
     return nodes
 
 
@@ -113,18 +143,14 @@ def fit_isolation_forest(
     if not n:
         raise ValueError("no rows to grow a forest on")
     size = min(rows_per_tree, n)
-    limit = math.ceil(math.log2(max(size, 2)))
+    limit = forest_depth(size)
 
     def grow(group: pd.DataFrame) -> pd.DataFrame:
-        tree = int(group["tree"].iloc[0])
-        # Equal draws are told apart by the values, whatever order the rows came in.
-        by_value = group.assign(values=group["x"].map(tuple)).sort_values(["draw", "values"])
-        sample = by_value.head(size)
-        x = np.stack(sample["x"].to_numpy())
-        nodes = _grow(x, np.random.default_rng([seed, tree]), limit)
-        out = pd.DataFrame(nodes, columns=["node", "feature", "threshold", "left", "right", "path"])
-        out.insert(0, "tree", tree)
-        return out
+        # Equal draws are told apart by the key and the values, whatever order the rows came in.
+        by_value = group.assign(values=group["x"].map(tuple)).sort_values(["draw", "key", "values"])
+        x = np.stack(by_value.head(size)["x"].to_numpy())
+        nodes = _grow(x, int(group["tree"].iloc[0]), seed, limit)
+        return pd.DataFrame(nodes, columns=["tree", "node", "feature", "threshold", "path"])
 
     samples = tree_samples(prepared, trees, rows_per_tree, seed)
     nodes = cut(samples.groupBy("tree").applyInPandas(grow, NODE_SCHEMA), "forest_nodes")
@@ -132,20 +158,21 @@ def fit_isolation_forest(
 
 
 def _tables(forest: Forest) -> dict[str, np.ndarray]:
-    """Node table as arrays; at most ``2 * rows_per_tree`` nodes per tree, so its size is known."""
-    nodes = forest.nodes.orderBy("tree", "node").toPandas()
-    starts = nodes.groupby("tree")["node"].size().cumsum().shift(fill_value=0).to_numpy()
-    offset = starts[nodes["tree"].rank(method="dense").astype(int).to_numpy() - 1]
-    leaf = nodes["feature"].to_numpy() < 0
-    own = np.arange(len(nodes))
-    return {
-        "starts": starts,
-        "feature": np.where(leaf, 0, nodes["feature"].to_numpy()),
-        "threshold": np.where(leaf, np.inf, nodes["threshold"].to_numpy()),
-        "left": np.where(leaf, own, nodes["left"].to_numpy() + offset),
-        "right": np.where(leaf, own, nodes["right"].to_numpy() + offset),
-        "path": nodes["path"].to_numpy(),
-    }
+    """Node table as arrays, one heap per tree; at most ``4 * rows_per_tree`` places per tree, so its size is known."""
+    nodes = forest.nodes.toPandas()
+    size = 2 << forest_depth(forest.rows_per_tree)
+    place = nodes["tree"].rank(method="dense").astype(int).to_numpy() - 1
+    place = place * size + nodes["node"].to_numpy()
+    out = {"starts": np.arange(nodes["tree"].nunique()) * size}
+    for name, kind in (("feature", np.int64), ("threshold", float), ("path", float)):
+        out[name] = np.zeros(len(out["starts"]) * size, kind)
+        out[name][place] = nodes[name].to_numpy()
+    return out
+
+
+def forest_depth(rows_per_tree: int) -> int:
+    """Levels below the root."""
+    return math.ceil(math.log2(max(rows_per_tree, 2)))
 
 
 def score_isolation(
@@ -154,7 +181,7 @@ def score_isolation(
     """Adds ``2^(-E[path] / c) - 0.5``; higher is stranger, 0 is the usual border."""
     spark = prepared.sparkSession
     tables = spark.sparkContext.broadcast(_tables(forest))
-    depth = math.ceil(math.log2(max(forest.rows_per_tree, 2)))
+    depth = forest_depth(forest.rows_per_tree)
     # A forest of one-row trees cannot tell anything apart; its scores are all equal.
     scale = average_path(forest.rows_per_tree) or 1.0
 
@@ -162,11 +189,12 @@ def score_isolation(
         rows = np.arange(len(x))
         path = np.zeros(len(x))
         for start in t["starts"]:
-            at = np.full(len(x), start)
+            at = np.ones(len(x), np.int64)
             for _ in range(depth):
-                left = x[rows, t["feature"][at]] <= t["threshold"][at]
-                at = np.where(left, t["left"][at], t["right"][at])
-            path += t["path"][at]
+                feature = t["feature"][start + at]
+                left = x[rows, np.maximum(feature, 0)] <= t["threshold"][start + at]
+                at = np.where(feature < 0, at, 2 * at + ~left)
+            path += t["path"][start + at]
         return np.power(2.0, -path / len(t["starts"]) / scale) - 0.5
 
     @F.pandas_udf("double")
@@ -184,3 +212,20 @@ def score_batches(prepared: DataFrame, forest: Forest, batch_rows: int = BATCH_R
     """Anomaly predictions; a task holds at most ``batch_rows`` rows at once, whatever the session's batches."""
     scored = score_isolation(prepared, forest, batch_rows=batch_rows)
     return scored.select("obs_date", "serial_number", "failure_date", "will_fail_30d", "anomaly_score")
+
+
+def walk(prepared: DataFrame, forest: Forest, keys: list[str]) -> DataFrame:
+    """(keys, tree, node, path): the leaf of every row in every tree, all rows one level a round.
+
+    Rows meet the node table by joins on (tree, node), so no task needs the whole forest. It is the way for forests that
+    are too large to be sent to every task.
+    """
+    nodes = forest.nodes
+    numbers = F.explode(F.sequence(F.lit(0), F.lit(forest.trees - 1))).alias("tree")
+    state = prepared.select(*keys, vector_to_array(FEATURES).alias("x"), numbers).withColumn("node", F.lit(1))
+    for _ in range(forest_depth(forest.rows_per_tree)):
+        here = nodes.select("tree", "node", "feature", "threshold")
+        right = (F.get("x", F.col("feature")) > F.col("threshold")).cast("int")
+        node = F.when(F.col("feature") < 0, F.col("node")).otherwise(2 * F.col("node") + right)
+        state = state.join(here, ["tree", "node"]).select(*keys, "x", "tree", node.alias("node"))
+    return state.join(nodes.select("tree", "node", "path"), ["tree", "node"]).select(*keys, "tree", "node", "path")

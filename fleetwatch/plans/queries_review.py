@@ -13,6 +13,7 @@ from fleetwatch.models.boosting import node_rows
 from fleetwatch.operators import audit, joins, labels, profile, review
 from fleetwatch.operators.metrics import thresholds_of
 from fleetwatch.operators.splits import TEST, TRAIN
+from fleetwatch.plans import sql_forest
 from fleetwatch.plans.queries_evaluation import CUT, RULE_SCORE, SMOOTH_SCORE, TIED_SCORE, _PER_DAY
 from fleetwatch.plans.queries_tables import _SNAPSHOT, _SNAP_DOUBLES
 from fleetwatch.plans.registry import query
@@ -451,7 +452,7 @@ def fit_boosted(s: Study) -> DataFrame:
     return s.spark.createDataFrame(rows, schema)
 
 
-@query()
+@query(sql_forest.forest(sql_forest.NODES, doubles=["longest"]))
 def fit_isolation_forest(s: Study) -> DataFrame:
     """Nodes and leaves per tree."""
     leaf = F.col("feature") < 0
@@ -460,12 +461,21 @@ def fit_isolation_forest(s: Study) -> DataFrame:
     )
 
 
-@query()
+@query(sql_forest.forest(sql_forest.SCORES, walk=True, doubles=["anomaly_score"], dates=["obs_date", "failure_date"]))
 def score_batches(s: Study) -> DataFrame:
     """Anomaly predictions of the whole test period."""
     return forest.score_batches(s.prepared(TEST), s.forest())
 
 
+@query(sql_forest.forest(sql_forest.PATHS, walk=True, doubles=["mean_path", "shortest", "longest"]))
+def isolation_paths(s: Study) -> DataFrame:
+    """How long the paths of the test rows are in each tree, by joins with the node table."""
+    paths = forest.walk(s.prepared(TEST), s.forest(), KEYS)
+    return paths.groupBy("tree").agg(
+        F.avg("path").alias("mean_path"), F.min("path").alias("shortest"), F.max("path").alias("longest")
+    )
+
+
 @query(compose("preds", "select obs_date, serial_number, true as same from test", dates=["obs_date"]))
 def load_bundle(s: Study) -> DataFrame:
     """A saved and reloaded scorer gives the stored scores again."""
