@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetwatch.functions.scores import is_close, off_by_more
+from fleetwatch.operators.checksums import compare_trees, suspect_rows
 from fleetwatch.operators.joins import match_predictions
 from fleetwatch.operators.labels import ENTITY, LABEL, STATUS, label_counts
 from fleetwatch.operators.sampling import sample_rows
+from fleetwatch.sources import runs
 from fleetwatch.sources.tables import schema_rows
 
 CHECK_SCHEMA = "check string, item string, left_value string, right_value string, match boolean"
@@ -59,35 +61,67 @@ def audit_schema(a: DataFrame, b: DataFrame) -> DataFrame:
     return _check(both, "feature_schema", F.col("position").cast("string"), l, r, l == r)
 
 
-def audit_values(a: DataFrame, b: DataFrame, modulus: int = 100) -> DataFrame:
-    """Differences per column on a hash sample of entity-days, provenance excluded.
+def _compared(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c not in ("obs_date", ENTITY, PROVENANCE)]
 
-    Also the sizes of both samples and of their overlap, which must be equal and not 0. Equal copies
-    are one row in the join and weigh as many pairs as they stand for.
-    """
-    compared = [c for c in a.columns if c not in ("obs_date", ENTITY, PROVENANCE)]
-    pairs = match_predictions(sample_rows(a, modulus), sample_rows(b, modulus), compared)
+
+def _value_checks(a: DataFrame, b: DataFrame, compared: list[str], name: str, what: str, least: int) -> DataFrame:
+    """Check rows of two matched tables: sizes and overlap, keys whose copies differ, differences per column."""
+    pairs = match_predictions(a, b, compared)
     weight = "if(a_copies is null or b_copies is null, 0, a_copies * b_copies)"
     # Spelled as SQL: a wide table has many of these, and text is cheaper to build than columns.
     one = pairs.selectExpr(
         "coalesce(sum(a_copies), 0) as l",
         "coalesce(sum(b_copies), 0) as r",
         f"coalesce(sum({weight}), 0) as m",
+        "count_if(a_conflict) as lc",
+        "count_if(b_conflict) as rc",
         *[
             f"coalesce(sum(if(`a_{c}` is distinct from `b_{c}`, {weight}, 0)), 0) as d_{i}"
             for i, c in enumerate(compared)
         ],
     )
-    items = ["'sample rows', l, r, l > 0 and l = r and l = m"]
+    items = [f"'{what}', l, r, l >= {least} and l = r and l = m", "'conflicting keys', lc, rc, lc = 0 and rc = 0"]
     items += [f"'{c}', 0L, d_{i}, d_{i} = 0" for i, c in enumerate(compared)]
     rows = one.selectExpr(f"stack({len(items)}, {', '.join(items)}) as (item, left, right, ok)")
-    return _check(rows, "feature_values_sample", *[F.col(c) for c in ("item", "left", "right", "ok")])
+    return _check(rows, name, *[F.col(c) for c in ("item", "left", "right", "ok")])
+
+
+def audit_values(a: DataFrame, b: DataFrame, modulus: int = 100) -> DataFrame:
+    """Differences per column on a hash sample of entity-days, provenance excluded.
+
+    Also the sizes of both samples and of their overlap, which must be equal and not 0. Equal copies
+    are one row in the join and weigh as many pairs as they stand for; keys whose copies differ are counted, and fail.
+    """
+    samples = sample_rows(a, modulus), sample_rows(b, modulus)
+    return _value_checks(*samples, _compared(a), "feature_values_sample", "sample rows", 1)
+
+
+def audit_all_values(a: DataFrame, b: DataFrame, buckets: int | None = None) -> DataFrame:
+    """Differences per column over all rows, provenance excluded, by checksums.
+
+    Tables that agree are read once. Else only the rows of the buckets that differ are read again and matched: rows
+    of those buckets, keys whose copies differ, and differences per column.
+    """
+    name, compared = "feature_values", _compared(a)
+    if _compared(b) != compared:
+        return _check(a.sparkSession.range(1), name, F.lit("columns"), F.lit(len(compared)), F.lit(len(_compared(b))), F.lit(False))
+    found = compare_trees(a, b, [ENTITY, *compared], buckets)
+    left, right = found.rows
+    whole = a.sparkSession.range(1)
+    rows = _check(whole, name, F.lit("rows"), F.lit(left), F.lit(right), F.lit(left == right and left > 0))
+    if found.equal:
+        items = ", ".join(f"'{c}'" for c in ("rows of differing buckets", "conflicting keys", *compared))
+        same = whole.selectExpr(f"explode(array({items})) as item")
+        return rows.unionByName(_check(same, name, F.col("item"), F.lit(0), F.lit(0), F.lit(True)))
+    suspects = suspect_rows(a, found), suspect_rows(b, found)
+    return rows.unionByName(_value_checks(*suspects, compared, name, "rows of differing buckets", 0))
 
 
 def compare_predictions(
     a: DataFrame, b: DataFrame, scores: list[str], tolerance: float = 1e-8
 ) -> DataFrame:
-    """One row: rows of both runs, keys missing and extra, label and score mismatches, largest gaps."""
+    """One row: rows of both runs, keys missing and extra, keys whose copies differ, label and score mismatches, largest gaps."""
     pairs = match_predictions(a, b, [LABEL, *scores])
     both = F.col("a_copies").isNotNull() & F.col("b_copies").isNotNull()
     weight = F.col("a_copies") * F.col("b_copies")
@@ -101,6 +135,7 @@ def compare_predictions(
     return pairs.agg(
         total(F.col("b_copies").isNull(), F.col("a_copies")).alias("missing_keys"),
         total(F.col("a_copies").isNull(), F.col("b_copies")).alias("extra_keys"),
+        F.count_if(F.coalesce("a_conflict", F.lit(False)) | F.coalesce("b_conflict", F.lit(False))).alias("conflicting_keys"),
         total(both, weight).alias("matched_rows"),
         total(both & (F.col(f"a_{LABEL}") != F.col(f"b_{LABEL}")), weight).alias("label_mismatches"),
         total(both & off, weight).alias("score_mismatch_rows"),
@@ -116,7 +151,7 @@ def audit_predictions(
 ) -> DataFrame:
     """Parity of two prediction tables as check rows."""
     found = compare_predictions(a, b, scores, tolerance)
-    items = ["missing_keys", "extra_keys", "label_mismatches", "score_mismatch_rows"]
+    items = ["missing_keys", "extra_keys", "conflicting_keys", "label_mismatches", "score_mismatch_rows"]
     pairs = ", ".join(f"'{i}', {i}" for i in items)
     long = found.selectExpr(f"stack({len(items)}, {pairs}) as (item, n)")
     name = "full_test_predictions"
@@ -154,3 +189,26 @@ def audit_verdict(*checks: DataFrame) -> DataFrame:
     )
     result = per_check.unionByName(overall)
     return result.withColumn("passed", F.coalesce(F.col("failures"), F.lit(1)) == 0)
+
+
+def _count_check(table: str, left: int, right: int, a: DataFrame) -> DataFrame:
+    """Rows of a table as both manifests state them."""
+    return _check(a.sparkSession.range(1), f"{table}_rows", F.lit("rows"), F.lit(left), F.lit(right), F.lit(left == right))
+
+
+def audit_runs(a: runs.Run, b: runs.Run, scores: list[str], tolerance: float = 1e-8) -> DataFrame:
+    """All eight checks of two stored runs as check rows; ``audit_verdict`` sums them up.
+
+    Row counts of telemetry, labels and features come from the manifests. All values of the features are compared, by
+    checksums, not a sample.
+    """
+    tables = {n: (a.table(n), b.table(n)) for n in (runs.RAW, runs.LABELED, runs.FEATURES, runs.PREDICTIONS)}
+    checks = [_count_check(n, a.rows(n), b.rows(n), tables[n][0]) for n in (runs.RAW, runs.LABELED, runs.FEATURES)]
+    checks += [
+        audit_label_counts(*tables[runs.LABELED]),
+        audit_schema(*tables[runs.FEATURES]),
+        audit_all_values(*tables[runs.FEATURES]),
+        audit_metrics(a.metrics(), b.metrics(), tolerance),
+        audit_predictions(*tables[runs.PREDICTIONS], scores, tolerance),
+    ]
+    return reduce(DataFrame.unionByName, checks)

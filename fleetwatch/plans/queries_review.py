@@ -11,7 +11,7 @@ from fleetwatch.functions.hashing import row_key
 from fleetwatch.models import attribution, bundle, forest, prep, scorers
 from fleetwatch.models.boosting import node_rows
 from fleetwatch.operators import audit, joins, labels, profile, review
-from fleetwatch.operators.metrics import thresholds_of
+from fleetwatch.operators.metrics import METRICS, thresholds_of
 from fleetwatch.operators.splits import TEST, TRAIN
 from fleetwatch.plans import sql_forest
 from fleetwatch.plans.queries_evaluation import CUT, RULE_SCORE, SMOOTH_SCORE, TIED_SCORE, _PER_DAY
@@ -27,9 +27,10 @@ from fleetwatch.plans.sql import (
     hash32,
 )
 from fleetwatch.plans.sql_boosting import boosted
-from fleetwatch.plans.stages import ANOMALY, PLAIN_SCORERS, SPLIT, Study
+from fleetwatch.plans.stages import ANOMALY, PLAIN_SCORERS, SPLIT, Study, score_sample
+from fleetwatch.plans.stages import evaluate_saved as saved
 from fleetwatch.session import new_path
-from fleetwatch.sources import snapshot
+from fleetwatch.sources import runs, snapshot
 from fleetwatch.sources.tables import feature_columns
 
 KEYS = ["obs_date", "serial_number"]
@@ -117,7 +118,8 @@ def join_one_to_one(s: Study) -> DataFrame:
 
 @query(compose("preds", f"""select obs_date, serial_number, a.{LABEL} as a_{LABEL}, b.{LABEL} as b_{LABEL},
          a.{RULE_SCORE} as a_{RULE_SCORE}, b.{RULE_SCORE} as b_{RULE_SCORE},
-         case when a.model is not null then 1 end as a_copies, case when b.model is not null then 1 end as b_copies
+         case when a.model is not null then 1 end as a_copies, case when b.model is not null then 1 end as b_copies,
+         case when a.model is not null then false end as a_conflict, case when b.model is not null then false end as b_conflict
   from short a full outer join other b using (obs_date, serial_number)""", _OTHER, _SHORT,
                doubles=[f"a_{RULE_SCORE}", f"b_{RULE_SCORE}"], dates=["obs_date"]))
 def match_predictions(s: Study) -> DataFrame:
@@ -277,6 +279,10 @@ def audit_counts(s: Study) -> DataFrame:
     return audit.audit_counts(_short_run(s), _other_run(s), "predictions")
 
 
+def _fewer_labels(s: Study) -> DataFrame:
+    return s.labeled().where("date < '2024-01-29' and label_status <> 'positive'")
+
+
 _AUDIT_LABELS = """fewer as (select * from labeled where date < '2024-01-29' and label_status <> 'positive'),
 l as (select label_status, count(*) as n from labeled group by 1),
 r as (select label_status, count(*) as n from fewer group by 1)"""
@@ -286,8 +292,7 @@ r as (select label_status, count(*) as n from fewer group by 1)"""
          cast(l.n as varchar) as left_value, cast(r.n as varchar) as right_value, coalesce(l.n = r.n, false) as match
   from l full outer join r on l.label_status = r.label_status""", _AUDIT_LABELS))
 def audit_label_counts(s: Study) -> DataFrame:
-    fewer = s.labeled().where("date < '2024-01-29' and label_status <> 'positive'")
-    return audit.audit_label_counts(s.labeled(), fewer)
+    return audit.audit_label_counts(s.labeled(), _fewer_labels(s))
 
 
 _SPARK_TYPES = {
@@ -318,6 +323,7 @@ sab as (select sa as a, sb as b from sa join sb
 @query(compose("features", """select 'feature_values_sample' as "check", 'sample rows' as item,
          cast(l as varchar) as left_value, cast(r as varchar) as right_value, l > 0 and l = r and l = m as match
   from (select (select count(*) from sa) as l, (select count(*) from sb) as r, (select count(*) from sab) as m)
+  union all select 'feature_values_sample', 'conflicting keys', '0', '0', true
   union all """ + " union all ".join(
     f"select 'feature_values_sample', '{c}', '0', cast(count(*) filter (where a.{c} is distinct from b.{c}) as varchar), "
     f"count(*) filter (where a.{c} is distinct from b.{c}) = 0 from sab" for c in _COMPARED), _FLIPPED, _SAMPLES))
@@ -325,6 +331,25 @@ def audit_values(s: Study) -> DataFrame:
     return audit.audit_values(s.features(), _changed_features(s), AUDIT_MOD)
 
 
+_ALL_PAIRS = """all_pairs as (select a, b from features a join changed b
+        on a.obs_date = b.obs_date and a.serial_number = b.serial_number),
+changed_days as (select distinct a.obs_date as day from all_pairs where a.smart_9_max_7d is distinct from b.smart_9_max_7d),
+sizes as (select (select count(*) from features) as n,
+                 (select count(*) from features where obs_date in (select day from changed_days)) as near)"""
+
+
+@query(compose("features", """select 'feature_values' as "check", 'rows' as item, cast(n as varchar) as left_value,
+         cast(n as varchar) as right_value, n > 0 as match from sizes
+  union all select 'feature_values', 'rows of differing buckets', cast(near as varchar), cast(near as varchar), true from sizes
+  union all select 'feature_values', 'conflicting keys', '0', '0', true
+  union all """ + " union all ".join(
+    f"select 'feature_values', '{c}', '0', cast(count(*) filter (where a.{c} is distinct from b.{c}) as varchar), "
+    f"count(*) filter (where a.{c} is distinct from b.{c}) = 0 from all_pairs" for c in _COMPARED), _FLIPPED, _ALL_PAIRS))
+def audit_all_values(s: Study) -> DataFrame:
+    """All feature values against changed ones, by checksums of days and buckets."""
+    return audit.audit_all_values(s.features(), _changed_features(s))
+
+
 _BOTH = f"""both_runs as (
   select a.obs_date, a.{LABEL} as ya, b.{LABEL} as yb, {", ".join(f"abs(a.{c} - b.{c}) as d_{c}" for c in SCORES)}
   from short a join other b on a.obs_date = b.obs_date and a.serial_number = b.serial_number),
@@ -333,6 +358,7 @@ found as (
             and a.serial_number = b.serial_number)) as missing_keys,
          (select count(*) from other a where not exists (select 1 from short b where a.obs_date = b.obs_date
             and a.serial_number = b.serial_number)) as extra_keys,
+         cast(0 as bigint) as conflicting_keys,
          count(*) as matched_rows, count(*) filter (where ya <> yb) as label_mismatches,
          count(*) filter (where {" or ".join(f"d_{c} > 1e-8" for c in SCORES)}) as score_mismatch_rows,
          {", ".join(f"max(d_{c}) as {c}_max_abs_diff" for c in SCORES)}
@@ -347,7 +373,7 @@ def compare_predictions(s: Study) -> DataFrame:
 
 _PREDICTION_CHECKS = _COUNT_CHECK.format(t="full_test_predictions") + " union all " + " union all ".join(
     f"select 'full_test_predictions', '{i}', '0', cast({i} as varchar), {i} = 0 from found"
-    for i in ("missing_keys", "extra_keys", "label_mismatches", "score_mismatch_rows")
+    for i in ("missing_keys", "extra_keys", "conflicting_keys", "label_mismatches", "score_mismatch_rows")
 )
 
 
@@ -397,6 +423,70 @@ def audit_verdict(s: Study) -> DataFrame:
     )
 
 
+def _runs(s: Study) -> dict[str, runs.Run]:
+    """Three stored runs: one, the same written again, and one whose labels, features, scores and metrics are others."""
+
+    def build() -> dict[str, runs.Run]:
+        root = new_path(s.spark, "runs")
+        same = {
+            runs.RAW: s.stored_raw(),
+            runs.LABELED: s.labeled(),
+            runs.FEATURES: s.features(),
+            runs.PREDICTIONS: _short_run(s),
+        }
+        changed = same | {
+            runs.LABELED: _fewer_labels(s),
+            runs.FEATURES: _changed_features(s),
+            runs.PREDICTIONS: _other_run(s),
+        }
+        return {
+            name: runs.save_run(s.spark, root, name, tables, metrics, s.thresholds())
+            for name, tables, metrics in (
+                ("one", same, s.metrics()),
+                ("again", same, s.metrics()),
+                ("changed", changed, _moved_metrics(s)),
+            )
+        }
+
+    return s._once("runs", build)
+
+
+_VERDICT = """select "check", count(*) as items, count(*) filter (where not match) as failures,
+         count(*) filter (where not match) = 0 as passed from checks group by "check"
+  union all select 'all', count(*), count(*) filter (where not match), count(*) filter (where not match) = 0
+  from checks"""
+
+
+@query(compose("preds", _VERDICT, *METRIC_BLOCKS, f"""checks as (
+  select unnest(['drive_days_rows', 'labeled_rows', 'features_rows']) as "check", true as match
+  union all select 'label_status_counts', true from (select distinct label_status from labeled)
+  union all select 'feature_schema', true from range({len(FEATURE_NAMES)})
+  union all select 'feature_values', true from range({len(_COMPARED) + 3})
+  union all select 'holdout_metrics', true from metrics
+  union all select 'full_test_predictions', true from range(6))"""))
+def audit_runs_same(s: Study) -> DataFrame:
+    """The verdict of all eight checks over two stored runs of the same study."""
+    found = _runs(s)
+    return audit.audit_verdict(audit.audit_runs(found["one"], found["again"], SCORES))
+
+
+@query(compose("preds", _VERDICT, _OTHER, _SHORT, _BOTH, *METRIC_BLOCKS, _METRIC_PAIRS, _FLIPPED, _ALL_PAIRS, _AUDIT_LABELS,
+               f"""checks as (
+  select unnest(['drive_days_rows', 'features_rows']) as "check", true as match
+  union all select 'labeled_rows', (select count(*) from labeled) = (select count(*) from fewer)
+  union all select 'label_status_counts', coalesce(l.n = r.n, false)
+            from l full outer join r on l.label_status = r.label_status
+  union all select 'feature_schema', true from range({len(FEATURE_NAMES)})
+  union all select 'feature_values', true from range({len(_COMPARED) + 2})
+  union all select 'feature_values', count(*) = 0 from changed_days
+  union all select 'holdout_metrics', match from pairs
+  union all select "check", match from ({_PREDICTION_CHECKS}))"""))
+def audit_runs_changed(s: Study) -> DataFrame:
+    """The verdict over two stored runs of which one has other labels, features, scores and metrics."""
+    found = _runs(s)
+    return audit.audit_verdict(audit.audit_runs(found["one"], found["changed"], SCORES))
+
+
 # --- models and attributions -----------------------------------------------------------------------
 
 
@@ -588,3 +678,34 @@ def boosted_importance(s: Study) -> DataFrame:
     """Mean absolute contribution per feature of the boosted trees over the test rows."""
     explained = attribution.attribute(s.prepared(TEST), s.scorers()["boosted_trees"])
     return attribution.global_importance(explained, _vector_names(s))
+
+
+def _saved(s: Study) -> runs.Run:
+    return s._once("saved_run", lambda: s.save_run(new_path(s.spark, "runs"), "study"))
+
+
+_ALL_MODELS = ("logistic_regression", "boosted_trees", "isolation_forest", "sector_count_rule")
+
+
+@query("select model, split, metric, true as same from (values " + ", ".join(f"('{m}')" for m in _ALL_MODELS)
+       + ") a(model), (values ('validation'), ('test')) b(split), (values " + ", ".join(f"('{m}')" for m in METRICS) + ") c(metric)")
+def evaluate_saved(s: Study) -> DataFrame:
+    """Metrics of the saved models of a run, scored and evaluated anew, against those of the study that saved them."""
+    _, again = saved(_saved(s), s.features(), s.split)
+    keys = ["model", "split", "metric"]
+    both = again.join(s.learned_metrics().withColumnRenamed("value", "before"), keys)
+    close = F.abs(F.col("value") - F.col("before")) < 1e-9
+    return both.select(*keys, F.coalesce(close, F.col("value").isNull() & F.col("before").isNull()).alias("same"))
+
+
+@query(compose("preds", f"select obs_date, serial_number, {LABEL}, risk_sector_count_rule, true as same from test "
+               f"where {LABEL} = 1 or {bucket('serial_number', 5)} = 0", doubles=["risk_sector_count_rule"], dates=["obs_date"]))
+def scored_drilldown(s: Study) -> DataFrame:
+    """The drill-down sample scored by the saved models; learned scores against those of the study."""
+    sample = score_sample(_saved(s), s.features(), s.split, 5)
+    learned = [ANOMALY, "risk_logistic_regression", "risk_boosted_trees"]
+    before = s.predictions().select(*KEYS, *[F.col(c).alias(f"{c}_before") for c in learned])
+    same = F.lit(True)
+    for c in learned:
+        same = same & (F.abs(F.col(c) - F.col(f"{c}_before")) < 1e-9)
+    return sample.join(before, KEYS).select(*KEYS, LABEL, RULE_SCORE, same.alias("same"))

@@ -17,17 +17,19 @@ from fleetwatch.functions.scores import rule_score
 from fleetwatch.models.forest import Forest, fit_isolation_forest, score_isolation
 from fleetwatch.models.prep import fit_prep, prepare
 from fleetwatch.models.boosting import Boosting
+from fleetwatch.models.bundle import require_features
 from fleetwatch.models.scorers import RULE, check_classes, fit_boosted, fit_logistic, score_holdout
 from fleetwatch.operators.features import build_features
 from fleetwatch.operators.labels import LABEL, horizon_labels
 from fleetwatch.operators.metrics import evaluate_scores, thresholds_at_fpr
 from fleetwatch.operators.review import stack_tables
-from fleetwatch.operators.sampling import sample_healthy, sample_training
+from fleetwatch.operators.sampling import drilldown_sample, sample_healthy, sample_training
 from fleetwatch.operators.splits import TEST, TRAIN, VALIDATION, SplitSpec, split_frames
-from fleetwatch.session import new_path, shared_folder
+from fleetwatch.session import cut, new_path, shared_folder
+from fleetwatch.sources import runs
 from fleetwatch.sources.daily_csv import read_daily_csv
 from fleetwatch.sources.event_fleet import fleet_from_events
-from fleetwatch.sources.tables import open_table, write_table
+from fleetwatch.sources.tables import feature_columns, open_table, write_table
 
 HORIZON = 3
 SPLIT = SplitSpec(
@@ -251,15 +253,79 @@ class Study:
         """The scored test rows."""
         return self.scored(TEST)
 
+    def learned_thresholds(self) -> dict[str, float]:
+        """Thresholds of all scorers, chosen on validation."""
+        return self._once("learned_thresholds", lambda: holdout_thresholds(self.scored(VALIDATION)))
+
     def learned_metrics(self) -> DataFrame:
         """Tidy metrics of all scorers on both holdouts, thresholds chosen on validation."""
+        return self._stage(
+            "learned_metrics",
+            lambda: holdout_metrics({s: self.scored(s) for s in (VALIDATION, TEST)}, self.learned_thresholds()),
+        )
 
-        def build() -> DataFrame:
-            renamed = {s: self.scored(s).withColumnRenamed(ANOMALY, f"risk_{FOREST}") for s in (VALIDATION, TEST)}
-            names = [*self.scorers(), FOREST]
-            if f"risk_{RULE}" in renamed[TEST].columns:
-                names.append(RULE)
-            chosen = thresholds_at_fpr(renamed[VALIDATION], {m: f"risk_{m}" for m in names})
-            return stack_tables(*[evaluate_scores(df, chosen, s) for s, df in renamed.items()])
-
-        return self._stage("learned_metrics", build)
+    def save_run(self, root: str, name: str) -> runs.Run:
+        """Store tables, scores, metrics, thresholds and fitted models of this study as one run."""
+        numeric, _ = feature_columns(self.features().columns)
+        models = {n: (self.prep(), m, numeric) for n, m in {**self.scorers(), FOREST: self.forest()}.items()}
+        tables = {
+            runs.RAW: self.stored_raw(),
+            runs.LABELED: self.labeled(),
+            runs.FEATURES: self.features(),
+            runs.PREDICTIONS: self.predictions(),
+        }
+        parameters = {
+            "horizon_days": self.horizon_days,
+            "split": vars(self.split),
+            "rounds": self.rounds,
+            "healthy_fraction": self.healthy_fraction,
+            "forest_fraction": self.forest_fraction,
+        }
+        return runs.save_run(
+            self.spark, root, name, tables, self.learned_metrics(), self.learned_thresholds(), models, parameters
+        )
+
+
+def _as_risks(scored: DataFrame) -> DataFrame:
+    return scored.withColumnRenamed(ANOMALY, f"risk_{FOREST}")
+
+
+def scorer_names(scored: DataFrame) -> list[str]:
+    return [c.removeprefix("risk_") for c in _as_risks(scored).columns if c.startswith("risk_")]
+
+
+def holdout_thresholds(validation: DataFrame, max_fpr: float = 0.01) -> dict[str, float]:
+    """Thresholds of every score of a scored validation table."""
+    return thresholds_at_fpr(_as_risks(validation), {m: f"risk_{m}" for m in scorer_names(validation)}, max_fpr)
+
+
+def holdout_metrics(scored: dict[str, DataFrame], thresholds: dict[str, float]) -> DataFrame:
+    """Tidy metrics of scored splits."""
+    return stack_tables(*[evaluate_scores(_as_risks(df), thresholds, s) for s, df in scored.items()])
+
+
+def score_with_run(run: runs.Run, rows: DataFrame) -> DataFrame:
+    """Feature rows scored by the saved models of a run; other feature columns than the fitted ones are refused."""
+    forest = run.model(FOREST)
+    bundles = {n: run.model(n) for n in run.models if n != FOREST}
+    scored = forest.score(rows, ANOMALY)
+    for b in bundles.values():
+        require_features(rows, b.numeric)
+    return score_holdout(scored, {n: b.scorer for n, b in bundles.items()}, keep=(ANOMALY,))
+
+
+def evaluate_saved(run: runs.Run, features: DataFrame, split: SplitSpec) -> tuple[DataFrame, DataFrame]:
+    """(scored test rows, metrics) of the saved models of a run on a feature table, nothing fitted again.
+
+    Thresholds are chosen anew on the validation rows. Both results are stored, so scoring runs once.
+    """
+    frames = split_frames(features, split)
+    for s in (VALIDATION, TEST):
+        check_classes(frames[s], s, both=s == VALIDATION)
+    scored = {s: cut(score_with_run(run, frames[s]), f"saved_{s}") for s in (VALIDATION, TEST)}
+    return scored[TEST], holdout_metrics(scored, holdout_thresholds(scored[VALIDATION]))
+
+
+def score_sample(run: runs.Run, features: DataFrame, split: SplitSpec, modulus: int = 100) -> DataFrame:
+    """The drill-down sample of the test period (all positives, the rows of 1 in n devices) with every saved score."""
+    return score_with_run(run, drilldown_sample(features, split, modulus))

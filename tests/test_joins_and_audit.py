@@ -47,12 +47,21 @@ def test_copies_of_a_key(frame):
     df = frame([ROWS[0]] * 3 + [ROWS[1]], SCHEMA)
     got = {r["serial_number"]: r["copies"] for r in joins.one_row_per_key(df).collect()}
     assert got == {"D0": 3, "D1": 1}
-    different = df.unionByName(frame([(DAY, "D0", "M", 0, 0.7)], SCHEMA))
-    with pytest.raises(Exception, match="rows of one key differ"):
-        joins.one_row_per_key(different).collect()
-    partly_missing = df.unionByName(frame([(DAY, "D0", None, 0, 0.0)], SCHEMA))
-    with pytest.raises(Exception, match="rows of one key differ"):
-        joins.one_row_per_key(partly_missing).collect()
+    assert not any(r["conflict"] for r in joins.one_row_per_key(df).collect())
+    for other in ((DAY, "D0", "M", 0, 0.7), (DAY, "D0", None, 0, 0.0)):
+        found = joins.one_row_per_key(df.unionByName(frame([other], SCHEMA))).collect()
+        assert {r["serial_number"]: (r["copies"], r["conflict"]) for r in found} == {"D0": (4, True), "D1": (1, False)}
+
+
+def test_copies_that_differ_fail_the_audit(frame):
+    a, b = frame(ROWS, SCHEMA), frame([*ROWS, (DAY, "D0", "M", 0, 0.7)], SCHEMA)
+    found = audit.compare_predictions(a, b, ["risk_x"]).first()
+    assert found["conflicting_keys"] == 1
+    failed = {r["item"] for r in audit.audit_values(a, b, 1).where("not match").collect()}
+    assert {"conflicting keys", "sample rows"} <= failed
+    failed = {r["item"] for r in audit.audit_all_values(a, b).where("not match").collect()}
+    assert {"conflicting keys", "rows", "rows of differing buckets"} <= failed
+    assert audit.audit_all_values(b, b).where("not match").count() == 0
 
 
 def test_comparing_predictions(frame):
