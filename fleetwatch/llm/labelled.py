@@ -38,16 +38,18 @@ def distinct_sample(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """The chosen rows with their texts, one of each group of copies, as a stored table.
 
     Copies share the smallest hash of three words in a row, near copies mostly do. Left in, one document with
-    many copies would make all of its words look like evidence.
+    many copies would make all of its words look like evidence. The row with the smallest (hash of the id, id) of a
+    group stays, so the sample is the same for any partitions; of rows that repeat an id, the smallest text.
     """
     word = F.col("__words")
     smallest = F.array_min(F.transform(word, lambda w, i: F.xxhash64(w, F.get(word, i + 1), F.get(word, i + 2))))
+    first = F.min_by(F.struct("doc_id", "text"), F.struct(F.xxhash64("doc_id"), "doc_id", "text"))
     return cut(
         teaching_docs(docs, rows)
         .withColumn("__words", F.split(F.lower("text"), r"[^\p{L}]+"))
         .withColumn("__least", smallest)
-        .drop("__words")
-        .dropDuplicates(["__least", "label"])
-        .drop("__least"),
+        .groupBy("__least", "label")
+        .agg(first.alias("row"))
+        .select("row.doc_id", "row.text", "label"),
         "sample",
     )

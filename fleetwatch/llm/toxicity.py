@@ -41,6 +41,8 @@ FUZZY_FROM = 5  # letters of an entry from which one edit is allowed; the end of
 SAME_SHARE = 0.9  # of the toxic documents of a beginning, for a longer one to stand for it
 CONTEXT = 6  # words on either side
 MEMORY = 200_000  # words and states that a worker keeps
+#: Bytes of pieces that a worker remembers, with what an entry itself takes.
+KNOWN_BYTES, ENTRY = 48 << 20, 130
 _WORD = re.compile(r"[^\W\d_]+")
 _EDGE = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "“”„«»‘’…"
 _QUOTE = re.compile(r"[\"“”„«»‘]")
@@ -143,16 +145,19 @@ class Scanner:
     def __init__(self, entries: list[str]):
         self.automaton = LexiconAutomaton(entries)
         self.known: dict[str, tuple] = {}
+        self.held = 0
 
     def hits(self, text: str) -> tuple[list[tuple[int, int, bool]], int]:
         pieces = text.lower().split()
-        if len(self.known) > MEMORY:
+        if self.held > KNOWN_BYTES:
             self.known.clear()
+            self.held = 0
         known, found = self.known, []
         for i, piece in enumerate(pieces):
             met = known.get(piece)
             if met is None:
                 met = known[piece] = tuple(m for w in self._words(piece) for m in self.automaton.match(w))
+                self.held += len(piece) + ENTRY * (1 + len(met))
             if met:
                 quoted = self._quoted(pieces, i)
                 found.extend((n, e, quoted) for n, e in met)
@@ -329,7 +334,7 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Mod
     sample = distinct_sample(docs, teaching_rows(labels, "toxic", FOLDS, HELD_OUT, most_rows))
     entries = learn_entries(sample)
     lexicon = Lexicon(entries, learn_weights(sample, entries) if entries else {})
-    rows = _feature_rows(sample, lexicon, "label int").collect()
+    rows = _feature_rows(sample, lexicon, "doc_id long, label int").orderBy("doc_id").collect()
     y = np.array([r["label"] for r in rows], float)
     rate = float(y.mean()) if len(y) else 0.0
     if not 0 < rate < 1:

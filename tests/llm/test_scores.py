@@ -174,3 +174,29 @@ def test_no_significant_term_is_cut_from_the_lexicon(spark):
 
 def test_whole_words_of_four_letters_allow_one_edit():
     assert dict(LexiconAutomaton(["scum$"]).match("skum")) == {0: 1} and LexiconAutomaton(["scum"]).match("skum") == ()
+
+
+@pytest.mark.parametrize("operator", [quality.quality, toxicity.toxicity])
+def test_scores_do_not_depend_on_partitions(spark, operator):
+    """Near copies teach once; which of them does must not depend on where they lie."""
+    rng = random.Random(4)
+    words = ["idiot", "scum", "the", "house", "garden", "wonderful", "is", "and", "away", "BUY", "a,", "of."]
+    rows, marks = [], []
+    for i in range(240):
+        toxic = i % 3 == 0
+        text = " ".join(rng.choices(words[:2] + words if toxic else words[2:], k=rng.randrange(4, 40)))
+        for copy in range(1 + i % 4):
+            key = 10 * i + copy
+            rows.append((key, f"{text} {copy}" if copy else text))
+            marks.append((key, int(not toxic and i % 2 == 0), int(toxic)))
+    found = []
+    for parts, shuffle in ((1, "1"), (5, "3"), (13, "8")):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", shuffle)
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        labels = spark.createDataFrame(marks, LABELS).repartition(parts)
+        found.append({r["doc_id"]: r["score"] for r in operator(docs, labels).collect()})
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(set(found[0].values())) > 20
+    for other in found[1:]:
+        assert other == pytest.approx(found[0], abs=1e-12)
