@@ -52,6 +52,32 @@ def fit_logistic(prepared: DataFrame, weight: str = WEIGHT) -> LogisticRegressio
     ).fit(prepared)
 
 
+def logistic_gradient(
+    prepared: DataFrame, model: LogisticRegressionModel, names: list[str], weight: str = WEIGHT
+) -> DataFrame:
+    """(feature, slope, size): derivative of the penalised loss by each coefficient, and the size of its terms.
+
+    One pass with map-side combine; a row per coefficient.
+    """
+    x = vector_to_array(FEATURES)
+    coefficients = [float(c) for c in model.coefficients]
+    margin = F.aggregate(
+        F.zip_with(x, F.array(*[F.lit(c) for c in coefficients]), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v
+    ) + F.lit(float(model.intercept))
+    off = F.col(weight) * (1 / (1 + F.exp(-margin)) - F.col(LABEL))
+    rows = prepared.select(off.alias("off"), F.posexplode(F.concat(x, F.array(F.lit(1.0)))).alias("place", "value"))
+    part = F.col("off") * F.col("value")
+    sums = rows.groupBy("place").agg(F.sum(part).alias("slope"), F.sum(F.abs(part)).alias("size"))
+    own = F.array(*[F.lit(c / LOGISTIC_C) for c in coefficients], F.lit(0.0))
+    named = F.array(*[F.lit(n) for n in [*names, "intercept"]])
+    penalty = F.get(own, F.col("place"))
+    return sums.select(
+        F.get(named, F.col("place")).alias("feature"),
+        (F.col("slope") + penalty).alias("slope"),
+        (F.col("size") + F.abs(penalty)).alias("size"),
+    )
+
+
 def fit_boosted(
     prepared: DataFrame, validation: DataFrame | None = None, weight: str = WEIGHT, seed: int = 42, **settings
 ) -> BoostedTrees:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from fleetwatch.functions.hashing import bucket as spark_bucket
 from fleetwatch.functions.hashing import row_key
 from fleetwatch.models import attribution, bundle, forest, prep, scorers
-from fleetwatch.models.boosting import node_rows
+from fleetwatch.models.boosting import Boosting, node_rows
 from fleetwatch.operators import audit, joins, labels, profile, review
 from fleetwatch.operators.metrics import METRICS, thresholds_of
 from fleetwatch.operators.splits import TEST, TRAIN
@@ -26,7 +26,7 @@ from fleetwatch.plans.sql import (
     compose,
     hash32,
 )
-from fleetwatch.plans.sql_boosting import boosted
+from fleetwatch.plans.sql_boosting import DEVICES, NUMERIC, PLACES, boosted, prepared
 from fleetwatch.plans.stages import ANOMALY, PLAIN_SCORERS, SPLIT, Study, score_sample
 from fleetwatch.plans.stages import evaluate_saved as saved
 from fleetwatch.session import new_path
@@ -497,14 +497,25 @@ def class_counts(s: Study) -> DataFrame:
     return scorers.class_counts(s.splits()[TRAIN])
 
 
-@query(compose("features", "select obs_date, serial_number, true as whole from features where "
-               f"obs_date >= date '{SPLIT.test_start}' and obs_date <= date '{SPLIT.test_cut}'", dates=["obs_date"]))
+def _standardised(c: str) -> str:
+    """A number as the preprocessing makes it: missing ones filled, mean 0 and sample deviation 1 over the training rows."""
+    return f"case when s.d_{c} > 0 then (coalesce(f.{c}, m.{c}) - s.m_{c}) / s.d_{c} else 0.0 end as {c}"
+
+
+_SPREAD = "spread as materialized (select " + ", ".join(
+    f"avg(coalesce(t.{c}, m.{c})) as m_{c}, stddev_samp(coalesce(t.{c}, m.{c})) as d_{c}" for c in NUMERIC
+) + " from train t, middle m)"
+
+
+@query(compose("features", "select f.obs_date, f.serial_number, " + ", ".join(_standardised(c) for c in NUMERIC) + ", "
+               + ", ".join(f"case when f.model = '{d}' then 1.0::double else 0.0 end as model_{d}" for d in DEVICES)
+               + f" from features f, middle m, spread s where f.obs_date >= date '{SPLIT.test_start}' "
+               f"and f.obs_date <= date '{SPLIT.test_cut}'", *prepared(Boosting())[:2], _SPREAD,
+               dates=["obs_date"], doubles=[*NUMERIC, *[f"model_{d}" for d in DEVICES]]))
 def prepare(s: Study) -> DataFrame:
-    """Every test row has a vector with one place per name, none of it missing."""
-    x = vector_to_array(prep.FEATURES)
-    known = ~F.exists(x, lambda v: v.isNull() | F.isnan(v))
-    whole = known & (F.size(x) == len(_vector_names(s)))
-    return s.prepared(TEST).select(*KEYS, whole.alias("whole"))
+    """The numbers of every test row's vector, by name."""
+    places = s.prepared(TEST).select(*KEYS, vector_to_array(prep.FEATURES).alias("x"))
+    return places.select(*KEYS, *[F.get("x", F.lit(i)).alias(n) for i, n in enumerate(_vector_names(s))])
 
 
 @query(compose("preds", f"select obs_date, serial_number, model, {LABEL}, risk_sector_count_rule, true as in_range "
@@ -527,6 +538,17 @@ def fit_logistic(s: Study) -> DataFrame:
     return s.spark.createDataFrame([*rows, ("intercept", float(model.intercept))], "feature string, value double")
 
 
+@query("select feature, true as flat from (values " + ", ".join(f"('{n}')" for n in [*PLACES, "intercept"]) + ") t(feature)")
+def logistic_gradient(s: Study) -> DataFrame:
+    """At the fitted coefficients the slope of the penalised loss vanishes in every direction.
+
+    Per direction the weighted residuals times the feature, plus the penalty's share, against the sum of their absolute values.
+    """
+    return scorers.logistic_gradient(s.training(), s.scorers()["logistic_regression"], _vector_names(s)).select(
+        "feature", (F.abs("slope") <= 2e-3 * F.col("size")).alias("flat")
+    )
+
+
 _BOOSTED_ROUNDS = 3
 
 

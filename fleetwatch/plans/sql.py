@@ -116,7 +116,7 @@ windowed as (
   window w7 as (partition by serial_number order by d range between interval 6 days preceding and current row),
          w30 as (partition by serial_number order by d range between interval 29 days preceding and current row),
          seq as (partition by serial_number order by d)),
-features as (
+features as materialized (
   select w.*, l.failure_date, l.will_fail_30d, l.label_status
   from windowed w, labeled l
   where w.date = l.date and w.serial_number = l.serial_number and l.will_fail_30d is not null)"""
@@ -127,7 +127,7 @@ SPLIT_CASE = f"""case when obs_date < date '{SPLIT.train_cut}' then 'train'
               when obs_date >= date '{SPLIT.test_start}' and obs_date <= date '{SPLIT.test_cut}' then 'test'
               else 'purged_or_outside' end"""
 
-PREDICTIONS = f"""preds as (
+PREDICTIONS = f"""preds as materialized (
   select obs_date, serial_number, model, failure_date, will_fail_30d, {SPLIT_CASE} as split,
          ln(1 + greatest(coalesce(smart_5_raw_num, 0), coalesce(smart_197_raw_num, 0)))
            as risk_sector_count_rule,
@@ -165,7 +165,7 @@ AVERAGE_PRECISION = """steps as (
          sum(n) over (partition by scorer, split order by s desc) as cn
   from (select scorer, split, s, count(*) filter (where y = 1) as p, count(*) filter (where y = 0) as n
         from scored group by scorer, split, s)),
-ap as (
+ap as materialized (
   select scorer, split, cast(coalesce(sum(p * (cp / (cp + cn))) / nullif(sum(p), 0), 0) as double) as value
   from steps group by scorer, split)"""
 
@@ -179,7 +179,7 @@ events_of as (
   select scorer, split, count(*) as n_events, avg(case when detected then 1.0 else 0.0 end) as covered,
          median(case when detected then lead_days end) as lead
   from rolled group by scorer, split),
-operating as (
+operating as materialized (
   select a.scorer as model, a.split as split, count(*) as rows, cast(sum(y) as bigint) as positive_rows,
          avg(cast(y as double)) as prevalence, max(t) as threshold_selected_on_validation_at_max_1pct_fpr,
          coalesce(count(*) filter (where hit and y = 1) / nullif(count(*) filter (where y = 1), 0), 0) as recall,
@@ -218,7 +218,7 @@ OPERATING_RATES = (
     "median_lead_days_detected_events",
 )
 
-TIDY = "metrics as (\n  " + "\n  union all ".join(
+TIDY = "metrics as materialized (\n  " + "\n  union all ".join(
     [
         *[
             f"select model, split, '{c}' as metric, cast({c} as double) as value from operating"
