@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pandas as pd
@@ -16,6 +16,7 @@ from fleetwatch.session import cut
 COUNTS = ("tp", "fp", "fn", "tn", "events", "detected_events")
 BROADCAST_ENTITIES = 250_000  # of seven numbers each: some 14 MB
 ENTITIES_PER_RANGE = 500_000
+LEVELS_PER_PLAN = 8  # of the tree of classes; then the counts are stored
 # Rates of one resample; an empty denominator counts as 1.
 RATES = (
     "precision",
@@ -102,29 +103,144 @@ def _hash_draw_totals(counts: DataFrame, n: int, replicates: int, seed: int, mos
     return drawn.groupBy("replicate").agg(*[F.sum(F.col(c) * F.col("times")).alias(c) for c in COUNTS])
 
 
+def class_table(counts: DataFrame) -> DataFrame:
+    """Entities with equal counts as one class: (counts, members, label); the label is the text of its counts."""
+    label = F.concat_ws(":", *[F.col(c).cast("string") for c in COUNTS]).alias("label")
+    return counts.groupBy(*COUNTS).agg(F.count(F.lit(1)).alias("members")).select("*", label)
+
+
+def class_tree(classes: DataFrame) -> DataFrame:
+    """(node, left_members, members): a binary tree over the classes, whose leaves are hash ranges of their labels.
+
+    Nodes are numbered as in a heap. Leaves lie at one depth; each class is a leaf, numbered by its position in (hash,
+    label) order, so the tree is the same on every engine.
+    """
+    n = classes.count()
+    depth = tree_depth(n)
+    placed = number_entities(classes.withColumnRenamed("label", ENTITY), -(-n // ENTITIES_PER_RANGE))
+    leaves = placed.select((F.col("position") + (1 << depth)).alias("leaf"), "members")
+    steps = F.explode(F.sequence(F.lit(1), F.lit(max(1, depth)))).alias("up")
+    above = leaves.select("leaf", "members", steps).select(
+        F.call_function("shiftright", "leaf", "up").alias("node"),
+        (F.call_function("shiftright", F.col("leaf"), F.col("up") - 1) % 2 == 0).alias("is_left"),
+        "members",
+    )
+    return above.groupBy("node").agg(
+        F.sum(F.when(F.col("is_left"), F.col("members")).otherwise(0)).alias("left_members"), F.sum("members").alias("members")
+    )
+
+
+def tree_depth(classes: int) -> int:
+    return max(0, (max(1, classes) - 1).bit_length())
+
+
+def uniform(*parts: str | Column) -> Column:
+    """A portable hash of texts as a number strictly between 0 and 1."""
+    return (hash32(F.concat_ws(":", *parts)) + 0.5) / HASH_SPACE
+
+
+def _from_the_mode(mode: np.ndarray, last: np.ndarray, u: np.ndarray, start: np.ndarray, up, down) -> np.ndarray:
+    """Inverse transform over outcomes ordered mode, mode + 1, mode - 1, mode + 2, ...: the first whose sum exceeds ``u``.
+
+    ``up(k)`` and ``down(k)`` are the ratios of the probabilities of k + 1 and of k - 1 to that of k.
+    """
+    out, total = mode.copy(), start.copy()
+    high, low, p_high, p_low = mode.copy(), mode.copy(), start.copy(), start.copy()
+    open_rows = np.flatnonzero(u >= total)
+    while len(open_rows):
+        for step, edge, p, ratio in ((1, high, p_high, up), (-1, low, p_low, down)):
+            k = edge[open_rows]
+            inside = (k < last[open_rows]) if step > 0 else (k > 0)
+            p[open_rows] = np.where(inside, p[open_rows] * ratio(open_rows, k), 0.0)
+            edge[open_rows] = k + step
+            total[open_rows] += p[open_rows]
+            done = u[open_rows] < total[open_rows]
+            out[open_rows[done]] = edge[open_rows[done]]
+            open_rows = open_rows[~done]
+        # Nothing is left on either side: rounding left the sum below ``u``.
+        open_rows = open_rows[(p_high[open_rows] > 0) | (p_low[open_rows] > 0)]
+    return out
+
+
+def _log_factorial(n: np.ndarray) -> np.ndarray:
+    kinds, place = np.unique(n, return_inverse=True)
+    return np.array([math.lgamma(k + 1.0) for k in kinds])[place]
+
+
+def binomial(n: np.ndarray, left: np.ndarray, whole: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Binomial(n, left / whole) numbers by inverse transform of ``u``, some sqrt(n) steps each."""
+    p = left / whole
+    sure = (p <= 0) | (p >= 1)
+    q = np.where(sure, 0.5, p)
+    mode = np.minimum(np.floor((n + 1) * q).astype(np.int64), n)
+    log_start = _log_factorial(n) - _log_factorial(mode) - _log_factorial(n - mode) + mode * np.log(q) + (n - mode) * np.log1p(-q)
+    odds = q / (1 - q)
+    found = _from_the_mode(
+        mode, n, u, np.exp(log_start),
+        lambda i, k: (n[i] - k) / (k + 1) * odds[i],
+        lambda i, k: k / np.maximum(n[i] - k + 1, 1) / odds[i],
+    )
+    return np.where(sure, np.where(p >= 1, n, 0), found)
+
+
+def poisson(mean: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Poisson numbers by inverse transform of ``u``, some sqrt(mean) steps each."""
+    mode = np.floor(mean).astype(np.int64)
+    start = np.exp(mode * np.log(mean) - mean - _log_factorial(mode))
+    last = np.full(len(mode), np.iinfo(np.int64).max)
+    return _from_the_mode(mode, last, u, start, lambda i, k: mean[i] / (k + 1), lambda i, k: k / mean[i])
+
+
+def _class_totals(counts: DataFrame, n: int, replicates: int, seed: int) -> DataFrame:
+    """Totals per replicate from n draws with replacement, without any rows for draws.
+
+    How often the members of each class are drawn is multinomial. It is drawn down the tree of classes: of the draws of a
+    node a binomial number goes left. The work is replicates times classes, whatever the size of the fleet.
+    """
+    classes = cut(class_table(counts), "classes")
+    depth, tree = tree_depth(classes.count()), cut(class_tree(classes), "class-tree")
+
+    @F.pandas_udf("long")
+    def goes_left(draws: pd.Series, left: pd.Series, whole: pd.Series, u: pd.Series) -> pd.Series:
+        return pd.Series(binomial(*(s.to_numpy() for s in (draws, left, whole, u))))
+
+    state = counts.sparkSession.range(replicates).select(
+        F.col("id").alias("replicate"), F.lit(1).cast("long").alias("node"), F.lit(n).cast("long").alias("draws")
+    )
+    for level in range(depth):
+        if level and level % LEVELS_PER_PLAN == 0:
+            state = cut(state, "draws")
+        here = state.join(tree, "node")
+        u = uniform(F.lit(str(seed)), F.col("replicate").cast("string"), F.col("node").cast("string"))
+        split = here.withColumn("left", goes_left("draws", "left_members", "members", u))
+        sides = F.array(
+            F.struct((2 * F.col("node")).alias("node"), F.col("left").alias("draws")),
+            F.struct((2 * F.col("node") + 1).alias("node"), (F.col("draws") - F.col("left")).alias("draws")),
+        )
+        state = split.select("replicate", F.inline(sides)).where("draws > 0")
+    placed = number_entities(classes.withColumnRenamed("label", ENTITY), -(-max(1, classes.count()) // ENTITIES_PER_RANGE))
+    leaves = placed.select((F.col("position") + (1 << depth)).alias("node"), *COUNTS)
+    drawn = state.join(leaves, "node")
+    return drawn.groupBy("replicate").agg(*[F.sum(F.col(c) * F.col("draws")).alias(c) for c in COUNTS])
+
+
 def _poisson_totals(counts: DataFrame, replicates: int, seed: int) -> DataFrame:
     """Totals per replicate with an independent Poisson(1) weight per entity.
 
-    Entities with the same counts are one class; the weights of a class of m entities add up to
-    Poisson(m), so the work grows with the number of classes and not with the fleet.
+    The weights of a class of m entities add up to Poisson(m), so the work is replicates times classes.
     """
-    classes = counts.groupBy(*COUNTS).agg(F.count(F.lit(1)).alias("members"))
+    classes = class_table(counts)
+    numbers = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")
+    u = uniform(F.lit(str(seed)), F.col("replicate").cast("string"), "label")
 
-    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            values = batch[list(COUNTS)].to_numpy(dtype=np.int64)
-            members = batch["members"].to_numpy(dtype=np.float64)
-            totals = np.zeros((replicates, len(COUNTS)), dtype=np.int64)
-            for row, m in zip(values, members):
-                weights = np.random.default_rng([seed, *row]).poisson(m, replicates)
-                totals += weights[:, None] * row
-            out = pd.DataFrame(totals, columns=list(COUNTS))
-            out.insert(0, "replicate", np.arange(replicates, dtype=np.int64))
-            yield out
+    @F.pandas_udf("long")
+    def weight(members: pd.Series, at: pd.Series) -> pd.Series:
+        return pd.Series(poisson(members.to_numpy().astype(float), at.to_numpy()))
 
-    schema = "replicate long, " + ", ".join(f"{c} long" for c in COUNTS)
-    parts = classes.mapInPandas(weigh, schema)
-    return parts.groupBy("replicate").agg(*[F.sum(c).alias(c) for c in COUNTS])
+    drawn = classes.select("*", numbers).withColumn("draws", weight("members", u))
+    return drawn.groupBy(F.col("replicate").cast("long").alias("replicate")).agg(
+        *[F.sum(F.col(c) * F.col("draws")).alias(c) for c in COUNTS]
+    )
 
 
 def cluster_bootstrap(
@@ -137,9 +253,10 @@ def cluster_bootstrap(
     """95% percentile intervals of five rates, one row each, from resampled entities.
 
     The caller chooses the method, at any size: ``draws`` draws n entities with replacement by hash in every
-    replicate; ``poisson`` gives entities Poisson weights, whose work does not grow with the number of draws.
+    replicate; ``classes`` draws how often each class of equal entities comes up, which has the same distribution and makes no
+    rows for draws; ``poisson`` gives entities Poisson weights. The work of the last two does not grow with the fleet.
     """
-    if method not in ("draws", "poisson"):
+    if method not in ("draws", "classes", "poisson"):
         raise ValueError(f"no such method: {method}")
     counts = cut(counts, "entity_counts")
     n = counts.count()
@@ -147,6 +264,8 @@ def cluster_bootstrap(
         raise ValueError("need at least two entities to resample")
     if method == "draws":
         totals = _hash_draw_totals(counts, n, replicates, seed, most_broadcast)
+    elif method == "classes":
+        totals = _class_totals(counts, n, replicates, seed)
     else:
         totals = _poisson_totals(counts, replicates, seed)
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))

@@ -307,6 +307,82 @@ def cluster_bootstrap(s: Study) -> DataFrame:
     return bootstrap.cluster_bootstrap(bootstrap.entity_counts(s.test(), TIED_SCORE, CUT), _REPLICATES)
 
 
+_RATES = _DRAWS[_DRAWS.index("rates as ("):]
+_INTERVALS = " union all ".join(
+    f"select '{r}' as metric, cast(quantile_cont({r}, 0.025) as double) as lower_95, "
+    f"cast(quantile_cont({r}, 0.975) as double) as upper_95 from rates" for r in bootstrap.RATES)
+_CLASSES = f"""classes as materialized (
+  select *, row_number() over (order by {hash32("label")}, label) - 1 as place
+  from (select tp, fp, fn, tn, events, detected_events, count(*) as members,
+               concat_ws(':', tp, fp, fn, tn, events, detected_events) as label from entity_counts group by all))"""
+_TOTALS = """totals as (
+  select rep, sum(tp * draws) as tp, sum(fp * draws) as fp, sum(fn * draws) as fn, sum(tn * draws) as tn,
+         sum(events * draws) as ev, sum(detected_events * draws) as de from drawn group by rep)"""
+
+
+def _order(k: str, mode: str) -> str:
+    """Place of an outcome in the order mode, mode + 1, mode - 1, mode + 2, ..."""
+    return f"case when {k} > {mode} then 2 * ({k} - {mode}) - 1 else 2 * ({mode} - {k}) end"
+
+
+def _tree_draws(levels: int = 10) -> list[str]:
+    """CTEs that draw class counts down the tree of at most ``2 ** levels`` classes."""
+    u = f"({hash32("concat('42:', cast(rep as varchar), ':', cast(node as varchar))")} + 0.5) / 4294967296"
+    parts = [
+        "leaves as (select 1 << cast(ceil(log2(greatest(count(*), 1))) as int) as first from classes)",
+        """tree as materialized (
+  select (place + first) >> up as node, sum(case when ((place + first) >> (up - 1)) % 2 = 0 then members else 0 end) as l,
+         sum(members) as m from classes, leaves, range(1, 20) r(up) where (place + first) >> up > 0 group by 1)""",
+        """state_0 as (select i as rep, 1 as node, (select count(*) from entity_counts) as draws
+  from range(""" + str(_REPLICATES) + ") t(i))",
+    ]
+    for i in range(levels):
+        parts += [
+            f"""open_{i} as materialized (
+  select rep, node, draws, l / m as p, least(floor((draws + 1) * (l / m)), draws) as mode, {u} as u
+  from state_{i} join tree using (node) where draws > 0)""",
+            f"""sums_{i} as (
+  select o.*, k, sum(exp(lgamma(draws + 1) - lgamma(k + 1) - lgamma(draws - k + 1) + k * ln(p) + (draws - k) * ln(1 - p)))
+           over (partition by rep, node order by {_order("k", "mode")}) as c, {_order("k", "mode")} as place
+  from open_{i} o, lateral (select unnest(range(draws + 1)) as k) where p > 0 and p < 1)""",
+            f"""left_{i} as materialized (
+  select rep, node, arg_min(k, place) as k from sums_{i} where c > u group by rep, node
+  union all select rep, node, case when p >= 1 then draws else 0 end from open_{i} where p <= 0 or p >= 1)""",
+            f"""state_{i + 1} as materialized (
+  select rep, 2 * node as node, k as draws from open_{i} join left_{i} using (rep, node)
+  union all select rep, 2 * node + 1, draws - k from open_{i} join left_{i} using (rep, node)
+  union all select rep, node, draws from state_{i} where node >= (select first from leaves))""",
+        ]
+    return [
+        *parts,
+        f"""drawn as (select s.rep, s.draws, c.* from state_{levels} s join classes c
+  on s.node = c.place + (select first from leaves) where s.draws > 0)""",
+    ]
+
+
+@query(compose("preds", _INTERVALS, _ENTITY_COUNTS, _CLASSES, *_tree_draws(), _TOTALS, _RATES, doubles=["lower_95", "upper_95"]))
+def cluster_bootstrap_classes(s: Study) -> DataFrame:
+    """Intervals from class counts drawn down a tree."""
+    return bootstrap.cluster_bootstrap(bootstrap.entity_counts(s.test(), TIED_SCORE, CUT), _REPLICATES, method="classes")
+
+
+_POISSON = f"""weighted as (
+  select i as rep, c.*, ({hash32("concat('42:', cast(i as varchar), ':', label)")} + 0.5) / 4294967296 as u
+  from classes c, range({_REPLICATES}) t(i)),
+poisson_sums as (
+  select rep, label, k, u, {_order("k", "members")} as nth,
+         sum(exp(k * ln(members) - members - lgamma(k + 1))) over (partition by rep, label order by {_order("k", "members")}) as c
+  from weighted, lateral (select unnest(range(members * 4 + 40)) as k)),
+weights as (select rep, label, arg_min(k, nth) as draws from poisson_sums where c > u group by rep, label),
+drawn as (select w.rep, w.draws, c.* from weights w join classes c using (label))"""
+
+
+@query(compose("preds", _INTERVALS, _ENTITY_COUNTS, _CLASSES, _POISSON, _TOTALS, _RATES, doubles=["lower_95", "upper_95"]))
+def cluster_bootstrap_poisson(s: Study) -> DataFrame:
+    """Intervals from Poisson weights per class."""
+    return bootstrap.cluster_bootstrap(bootstrap.entity_counts(s.test(), TIED_SCORE, CUT), _REPLICATES, method="poisson")
+
+
 _SLICES = """judged as (
   select strftime(obs_date, '%Y-%m') as month, device, a.scorer, y, hit from alerts a where split = 'test'),
 parts as (select 'month' as slice, month as value, scorer, y, hit from judged
