@@ -476,4 +476,4 @@ def daily_alerts(s: Study) -> DataFrame:
                "from fleet where date = (select max(date) from fleet) group by model "
                "order by drive_records desc, model limit 4"))
 def snapshot_models(s: Study) -> DataFrame:
-    return profile.snapshot_models(snapshot.latest_snapshot(s.stored_raw()), 4)
+    return profile.snapshot_models(s.snapshot(), 4)

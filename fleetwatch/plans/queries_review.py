@@ -157,7 +157,7 @@ def top_alerts(s: Study) -> DataFrame:
                "from snap qualify place <= 40", _SNAPSHOT, doubles=["smart_5_raw"], dates=["date"]))
 def review_sort(s: Study) -> DataFrame:
     """The first rows of the sorted snapshot, with the place each one got."""
-    shown = review.review_sort(snapshot.latest_snapshot(s.stored_raw())).limit(40)
+    shown = review.review_sort(s.snapshot()).limit(40)
     listed = shown.agg(F.collect_list(F.struct("failure", "smart_5_raw", "serial_number")).alias("all"))
     numbered = listed.select(F.posexplode("all").alias("at", "row")).select(
         (F.col("at") + 1).cast("bigint").alias("place"), F.col("row.serial_number").alias("serial_number")
@@ -177,7 +177,7 @@ _TITLED_DOUBLES = [f'"{t}"' for c, t in review.SNAPSHOT_TITLES.items() if c == "
 @query(compose("fleet", f"select {_TITLED} from snap order by failure desc, smart_5_raw desc nulls last, serial_number "
                "limit 50", _SNAPSHOT, doubles=_TITLED_DOUBLES, dates=['"Snapshot date"']))
 def titled_snapshot(s: Study) -> DataFrame:
-    return review.titled_snapshot(snapshot.latest_snapshot(s.stored_raw()), 50)
+    return review.titled_snapshot(s.snapshot(), 50)
 
 
 _REVIEW = f"""chosen as (
@@ -216,20 +216,20 @@ def _busiest(s: Study) -> str:
 @query(compose("preds", f"select {TEST_COLUMNS} from test where serial_number = (select serial_number from busiest)",
                _BUSIEST, doubles=SCORES, dates=TEST_DATES))
 def drive_history(s: Study) -> DataFrame:
-    return review.drive_history(s.test(), _busiest(s))
+    return review.drive_history(s.histories(), _busiest(s))
 
 
 @query(compose("preds", f"select count(*) as days, min_by(model, obs_date) as model, max({LABEL}) as any_positive, "
                "min(failure_date) as failure_date from test "
                "where serial_number = (select serial_number from busiest)", _BUSIEST, dates=["failure_date"]))
 def drive_summary(s: Study) -> DataFrame:
-    return review.drive_summary(review.drive_history(s.test(), _busiest(s)))
+    return review.drive_summary(review.drive_history(s.histories(), _busiest(s)))
 
 
 @query(compose("fleet", "select serial_number, model, failure from snap where model = 'M1' and not failure "
                "and contains(lower(serial_number), lower('d0000'))", _SNAPSHOT))
 def review_filter(s: Study) -> DataFrame:
-    rows = snapshot.latest_snapshot(s.stored_raw())
+    rows = s.snapshot()
     found = review.review_filter(rows, model="M1", failed=False, serial="d0000")
     return found.select("serial_number", "model", "failure")
 

@@ -95,7 +95,13 @@ _SNAP_DOUBLES = ["capacity_bytes", *[f"smart_{n}_raw" for n in (5, 9, 187, 188,
 
 @query(compose("fleet", "select * from snap", _SNAPSHOT, doubles=_SNAP_DOUBLES, dates=["date"]))
 def latest_snapshot(s: Study) -> DataFrame:
-    return snapshot.latest_snapshot(s.stored_raw())
+    return s.snapshot()
+
+
+@query(compose("fleet", "select * from snap", _SNAPSHOT, doubles=_SNAP_DOUBLES, dates=["date"]))
+def latest_snapshot_of_text(s: Study) -> DataFrame:
+    """The newest day of a table that is not stored by day."""
+    return snapshot.latest_snapshot(s.raw())
 
 
 # --- casts and scalar functions --------------------------------------------------------------------

@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from fleetwatch.functions.scores import rule_score
 from fleetwatch.models.forest import Forest, fit_isolation_forest, score_isolation
@@ -29,7 +30,8 @@ from fleetwatch.session import cut, new_path, shared_folder
 from fleetwatch.sources import runs
 from fleetwatch.sources.daily_csv import read_daily_csv
 from fleetwatch.sources.event_fleet import fleet_from_events
-from fleetwatch.sources.tables import feature_columns, open_table, write_table
+from fleetwatch.sources.snapshot import stored_snapshot
+from fleetwatch.sources.tables import DAY_OF, feature_columns, open_days, open_table, write_days, write_histories, write_table
 
 HORIZON = 3
 SPLIT = SplitSpec(
@@ -80,7 +82,8 @@ class Study:
 
     ``rounds`` is the number of boosting rounds, at most: it ends when average precision on validation stops rising.
     ``healthy_fraction`` and ``forest_fraction`` are the shares of entities whose healthy rows train the scorers
-    and the forest.
+    and the forest. ``least_hessian`` is what boosting asks of both sides of a split; a fleet with fewer than some hundred
+    weighted rows cannot be split at all with the usual value.
     """
 
     spark: SparkSession
@@ -91,6 +94,7 @@ class Study:
     rounds: int = ROUNDS
     healthy_fraction: float = 1.0
     forest_fraction: float = 1.0
+    least_hessian: float = Boosting.least_hessian
 
     @classmethod
     def from_daily_csv(
@@ -102,11 +106,20 @@ class Study:
         rounds: int = ROUNDS,
         healthy_fraction: float = HEALTHY_FRACTION,
         forest_fraction: float = HEALTHY_FRACTION,
+        least_hessian: float = Boosting.least_hessian,
     ) -> Study:
         """A study of the daily CSV files below a folder."""
         read = _DailyCsv(root)
         return cls(
-            spark, root, horizon_days, split, lambda: read(spark), rounds, healthy_fraction, forest_fraction
+            spark,
+            root,
+            horizon_days,
+            split,
+            lambda: read(spark),
+            rounds,
+            healthy_fraction,
+            forest_fraction,
+            least_hessian,
         )._named(read)
 
     def _named(self, source: object) -> Study:
@@ -125,6 +138,7 @@ class Study:
             self.rounds,
             self.healthy_fraction,
             self.forest_fraction,
+            self.least_hessian,
             name,
         )
 
@@ -149,8 +163,22 @@ class Study:
         """Daily telemetry, not stored."""
         return self.source() if self.source else fleet_from_events(self.events())
 
+    def _raw_days(self) -> tuple[str, StructType]:
+        """Path and schema of the stored telemetry, a table by day."""
+
+        def build() -> tuple[str, StructType]:
+            raw, path = self.raw(), new_path(self.spark, "raw")
+            write_days(raw, path, rebalance=self.source is None)
+            return path, raw.schema
+
+        return self._once("raw", build)
+
     def stored_raw(self) -> DataFrame:
-        return self._stage("raw", self.raw)
+        return open_days(self.spark, *self._raw_days()).drop(DAY_OF)
+
+    def snapshot(self) -> DataFrame:
+        """The newest day of the telemetry; no other day is read."""
+        return stored_snapshot(self.spark, *self._raw_days())
 
     def labeled(self) -> DataFrame:
         return self._stage("labeled", lambda: horizon_labels(self.stored_raw(), self.horizon_days))
@@ -231,7 +259,9 @@ class Study:
             check_classes(held_out, "validation")
             return {
                 "logistic_regression": fit_logistic(self.training()),
-                "boosted_trees": fit_boosted(self.training(), held_out, rounds=self.rounds),
+                "boosted_trees": fit_boosted(
+                    self.training(), held_out, rounds=self.rounds, least_hessian=self.least_hessian
+                ),
             }
 
         return self._once("scorers", build)
@@ -253,6 +283,15 @@ class Study:
         """The scored test rows."""
         return self.scored(TEST)
 
+    def histories(self) -> DataFrame:
+        """Plain test scores in the order of device and day, for reads of one device."""
+        key = self._key("histories")
+        if key not in _written:
+            path = new_path(self.spark, "histories")
+            write_histories(self.test(), path, "serial_number", "obs_date")
+            _written[key] = path
+        return open_table(self.spark, _written[key])
+
     def learned_thresholds(self) -> dict[str, float]:
         """Thresholds of all scorers, chosen on validation."""
         return self._once("learned_thresholds", lambda: holdout_thresholds(self.scored(VALIDATION)))
@@ -280,6 +319,7 @@ class Study:
             "rounds": self.rounds,
             "healthy_fraction": self.healthy_fraction,
             "forest_fraction": self.forest_fraction,
+            "least_hessian": self.least_hessian,
         }
         return runs.save_run(
             self.spark, root, name, tables, self.learned_metrics(), self.learned_thresholds(), models, parameters

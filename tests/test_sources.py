@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
+import pyarrow.parquet as pq
 import pytest
 
 from fleetwatch.plans.stages import Study
@@ -88,6 +91,36 @@ def test_snapshot(frame):
     assert (str(got[0]["date"]), got[0]["failure"], got[0]["capacity_bytes"], got[0]["smart_5_raw"]) == ("2020-01-02", True, 1000.0, None)
 
 
+def test_snapshot_of_a_table_by_day_reads_one_day(spark, frame, tmp_path):
+    rows = [(f"2020-01-{d:02d}", f"S{i}", "M", str(d), "0") for d in range(1, 10) for i in range(3)] + [("bad", "B", "M", "1", "0")]
+    df = frame(rows, "date string, serial_number string, model string, capacity_bytes string, failure string")
+    path = str(tmp_path / "days")
+    tables.write_days(df, path)
+    assert tables.newest_day(spark, path) == dt.date(2020, 1, 9)
+    found = snapshot.stored_snapshot(spark, path, df.schema)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, snapshot.latest_snapshot(df).collect()))
+    plan = found._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(day_of" in plan and "DataFilters: []" in plan
+    assert tables.open_days(spark, path, df.schema).count() == len(rows)
+    empty = str(tmp_path / "none")
+    tables.write_days(df.limit(0), empty)
+    assert tables.newest_day(spark, empty) is None and snapshot.stored_snapshot(spark, empty, df.schema).count() == 0
+
+
+def test_one_drive_is_in_few_row_groups(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "HISTORY_BLOCK", 50_000)
+    df = spark.range(200_000).selectExpr(
+        "concat('D', lpad(cast(id % 5000 as string), 5, '0')) as serial_number",
+        "date_add(date'2020-01-01', cast(id div 5000 as int)) as obs_date", "rand(1) as risk_x")
+    tables.write_histories(df, str(tmp_path / "h"), "serial_number", "obs_date")
+    files = [pq.ParquetFile(f) for f in (tmp_path / "h").glob("*.parquet")]
+    holds = lambda g: g.column(0).statistics.min <= "D01234" <= g.column(0).statistics.max
+    groups = [f.metadata.row_group(i) for f in files for i in range(f.metadata.num_row_groups)]
+    assert len(groups) > 8 and sum(map(holds, groups)) <= 2
+    back = tables.open_table(spark, str(tmp_path / "h")).where("serial_number = 'D01234'")
+    assert back.count() == 40 and "EqualTo(serial_number,D01234)" in back._jdf.queryExecution().toString()
+
+
 def test_metric_files(frame, spark, tmp_path):
     rows = [("x", "test", "recall", 0.5), ("x", "test", "median_lead_days_detected_events", None)]
     tidy = frame(rows, reports.METRIC_SCHEMA)
@@ -127,7 +160,8 @@ def test_a_study_of_csv_files(spark, tmp_path):
         header = "date,serial_number,model,capacity_bytes,failure,smart_5_raw,smart_9_raw,smart_197_raw\n"
         _write(tmp_path, f"2020-01-{day:02d}.csv", header + "\n".join(rows) + "\n")
     spec = SplitSpec("2020-01-14", "2020-01-21", "2020-01-28", horizon_days=3)
-    study = Study.from_daily_csv(spark, str(tmp_path), spec, horizon_days=3)
+    # The 17 training rows have a hessian of 7 in all.
+    study = Study.from_daily_csv(spark, str(tmp_path), spec, horizon_days=3, least_hessian=0.2)
     tidy = study.learned_metrics()
     models = {r["model"] for r in tidy.select("model").distinct().collect()}
     assert models == {"logistic_regression", "boosted_trees", "isolation_forest", "sector_count_rule"}

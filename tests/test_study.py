@@ -38,6 +38,7 @@ def test_every_parameter_is_part_of_the_key(spark, tmp_path):
         Study(spark, str(tmp_path), healthy_fraction=0.5),
         Study(spark, str(tmp_path), forest_fraction=0.5),
         Study(spark, str(tmp_path), horizon_days=9),
+        Study(spark, str(tmp_path), least_hessian=1.0),
         Study.from_daily_csv(spark, str(tmp_path), stages.SPLIT, stages.HORIZON),
     ]
     assert len({s._key("scorers") for s in made}) == len(made)
@@ -53,7 +54,7 @@ def test_the_learner_gets_the_rounds_of_the_study(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(Study, "_stage", lambda s, name, build, day=None: None)
     monkeypatch.setattr(stages, "check_classes", lambda *a: None)
     monkeypatch.setattr(stages, "fit_logistic", lambda rows: None)
-    monkeypatch.setattr(stages, "fit_boosted", lambda rows, held_out, rounds: asked.append(rounds))
+    monkeypatch.setattr(stages, "fit_boosted", lambda rows, held_out, rounds, least_hessian: asked.append(rounds))
     Study(spark, str(tmp_path)).scorers()
     Study(spark, str(tmp_path), rounds=3).scorers()
     assert asked == [Boosting().rounds, 3] and Boosting().rounds == 180
