@@ -14,7 +14,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
-from collections import Counter, deque
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,11 +28,16 @@ NEXT_TO = 0.6  # smoothness of blocks that follow each other
 SAME_PARENT = 0.8  # smoothness of blocks of one parent, falling with the distance in the tree
 SCHEMA = "page_id long, url string, text string, n_chars long, n_blocks int, n_content int"
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|"
-    r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S,
+#: A tag with its attributes; every part is taken once and for all, so it costs one pass whatever the page. A quote only
+#: opens a value behind an equals sign; one that is never closed is part of a name.
+_TAG = re.compile(
+    r"<(/?)([a-zA-Z][^\s/>]*+)"
+    r"((?:[\s/]++|[^\s/>=]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)?+|=)*+)>"
 )
+_TAG_BEGINS = re.compile(r"</?[a-zA-Z]")
+#: A slash that ends a tag and is not part of a value without quotes.
+_SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/\s*$")
+_FOREIGN = frozenset(["svg", "math"])
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][\w:.-]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*|[0-9]+")
 _SPACE = re.compile(r"\s+")
@@ -138,6 +143,21 @@ def _script_end(page: str, at: int) -> int:
     return -1
 
 
+def _next_token(page: str, at: int) -> tuple[int, int, re.Match | None] | None:
+    """(start, end, tag or None for comments and the like) of the next markup; a tag that the page's end cuts off takes all the rest."""
+    while (lt := page.find("<", at)) >= 0:
+        if page.startswith(("<!", "<?"), lt):
+            comment = page.startswith("<!--", lt)
+            mark = "-->" if comment else ">"
+            stop = page.find(mark, lt + 2)
+            return lt, len(page) if stop < 0 else stop + len(mark), None
+        if _TAG_BEGINS.match(page, lt):
+            tag = _TAG.match(page, lt)
+            return (lt, tag.end(), tag) if tag else (lt, len(page), None)
+        at = lt + 1
+    return None
+
+
 def _behind_raw(page: str, tag: str, at: int) -> int:
     """The place behind the end tag of a raw element whose content begins at ``at``; without one the end of the page."""
     start = _script_end(page, at) if tag == "script" else -1
@@ -227,11 +247,12 @@ def blocks_of(page: str) -> list[Block]:
         if linked_depth:
             current.linked += len(text.strip())
 
-    while (m := _TOKEN.search(page, at)) is not None:
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+    while (token := _next_token(page, at)) is not None:
+        start, stop, m = token
+        if start > at:
+            add(page[at:start])
+        at = stop
+        if m is None:
             continue
         tag, raw = m[2].lower(), m[3]
         if m[1]:
@@ -245,7 +266,7 @@ def blocks_of(page: str) -> list[Block]:
                 if stack[i].tag in _SCOPE and tag in _INLINE:
                     break
             continue
-        if tag in _RAW and not raw.rstrip().endswith("/"):
+        if tag in _RAW and not (tag in _FOREIGN and _SELF_CLOSED.search(raw)):
             at = _behind_raw(page, tag, at)
             if tag not in _INLINE:
                 end()
@@ -317,41 +338,78 @@ def minimum_cut(weights: list[float], edges: list[tuple[int, int, float]]) -> li
     """Which nodes stay with the source after a maximum flow.
 
     ``weights[i]`` is the capacity from the source (above 0) or to the sink (below 0): a pair of terminal
-    capacities differs from it by a constant that flows through the node anyway. Augmenting paths run along
-    shortest ways, so the flow ends after a number of steps that does not depend on the capacities.
+    capacities differs from it by a constant that flows through the node anyway. Flow runs in phases: all nodes get their
+    distance from the nearest excess, and then all shortest ways are filled at once, looking at each edge once. Neighbours
+    on a page are near each other, so a page of many blocks takes few phases.
     """
-    n = len(weights)
+    n, small = len(weights), 1e-9
     excess = list(weights)
-    near: list[dict[int, float]] = [{} for _ in range(n)]
+    left: list[dict[int, float]] = [{} for _ in range(n)]
     for i, j, c in edges:
-        near[i][j] = near[i].get(j, 0.0) + c
-        near[j][i] = near[j].get(i, 0.0) + c
-    small = 1e-9
+        left[i][j] = left[i].get(j, 0.0) + c
+        left[j][i] = left[j].get(i, 0.0) + c
+    near = [list(own) for own in left]
     while True:
-        parent = {i: i for i in range(n) if excess[i] > small}
-        queue = deque(parent)
-        goal = None
-        while queue and goal is None:
-            i = queue.popleft()
-            for j, c in near[i].items():
-                if c > small and j not in parent:
-                    parent[j] = i
-                    if excess[j] < -small:
-                        goal = j
-                        break
-                    queue.append(j)
-        if goal is None:
-            return [i in parent for i in range(n)]
-        path, j = [], goal
-        while parent[j] != j:
-            path.append((parent[j], j))
-            j = parent[j]
-        flow = min(excess[j], -excess[goal], *(near[a][b] for a, b in path))
-        excess[j] -= flow
-        excess[goal] += flow
-        for a, b in path:
-            near[a][b] -= flow
-            near[b][a] = near[b].get(a, 0.0) + flow
+        level = _distances(excess, near, left, small)
+        if not any(d >= 0 > e + small for d, e in zip(level, excess)):
+            return [d >= 0 for d in level]
+        tried = [0] * n  # edges of each node that are of no more use in this phase
+        for source in range(n):
+            if level[source] == 0 and excess[source] > small:
+                _fill(source, excess, level, near, left, tried, small)
+
+
+def _distances(excess: list[float], near: list[list[int]], left: list[dict[int, float]], small: float) -> list[int]:
+    """Steps from the nearest node with an excess, up to the nearest ones that take some; -1 where none leads."""
+    level = [0 if e > small else -1 for e in excess]
+    front, distance, found = [i for i, d in enumerate(level) if d == 0], 0, False
+    while front and not found:
+        distance += 1
+        after = []
+        for i in front:
+            for j in near[i]:
+                if level[j] < 0 and left[i][j] > small:
+                    level[j] = distance
+                    found = found or excess[j] < -small
+                    after.append(j)
+        front = after
+    return level
+
+
+def _fill(
+    source: int,
+    excess: list[float],
+    level: list[int],
+    near: list[list[int]],
+    left: list[dict[int, float]],
+    tried: list[int],
+    small: float,
+) -> None:
+    """Send the excess of a node along shortest ways until it is gone or all of them are full."""
+    path = [source]
+    while path and excess[source] > small:
+        i = path[-1]
+        if excess[i] < -small:
+            ways = list(zip(path, path[1:]))
+            flow = min(excess[source], -excess[i], *(left[a][b] for a, b in ways))
+            excess[source] -= flow
+            excess[i] += flow
+            for a, b in ways:
+                left[a][b] -= flow
+                left[b][a] += flow
+            full = next((k for k, (a, b) in enumerate(ways) if left[a][b] <= small), len(path) - 1)
+            del path[full + 1 :]
+            continue
+        while tried[i] < len(near[i]):
+            j = near[i][tried[i]]
+            if level[j] == level[i] + 1 and left[i][j] > small:
+                path.append(j)
+                break
+            tried[i] += 1
+        else:
+            path.pop()
+            if path:
+                tried[path[-1]] += 1
 
 
 def main_text(page: str | None) -> tuple[str, int, int]:

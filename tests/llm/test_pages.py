@@ -180,3 +180,48 @@ def test_broken_stream_is_refused():
     assert list(warc.records_of(iter([record[:10], record[10:] + record]))) == [record, record]
     with pytest.raises(ValueError, match="after the last whole record"):
         list(warc.records_of(iter([record, b"WARC/1.1"])))
+
+
+_PROSE = "Hello world, it is me, and this is a whole sentence of an article that says something. "
+
+
+@pytest.mark.parametrize(
+    "page, expected",
+    [
+        (f"<p title=it's>{_PROSE}</p>", _PROSE.strip()),
+        (f"<p title=it's>{_PROSE}It's here.</p>", f"{_PROSE}It's here."),
+        (f"<p title='it is' data-x=a'b>{_PROSE}</p>", _PROSE.strip()),
+        (f'<p title="never closed>{_PROSE}</p>', _PROSE.strip()),
+        (f"<p a = 'x>y' b=\"1>2\">{_PROSE}</p>", _PROSE.strip()),
+        (f"<script src=/js/>var a=1; if (a<b) f()</script><p>{_PROSE}</p>", _PROSE.strip()),
+        (f"<script src='/js/x.js' />var a=1;</script><p>{_PROSE}</p>", _PROSE.strip()),
+        (f"<svg viewBox='0 0 1 1' /><p>{_PROSE}</p>", _PROSE.strip()),
+        (f"<p>{_PROSE}</p><a <a <a", _PROSE.strip()),
+        (f"<p>{_PROSE}3 < 4 and 5 > 2.</p>", f"{_PROSE}3 < 4 and 5 > 2."),
+        (f"<!--><p>{_PROSE}</p><!-- open <p>no</p>", _PROSE.strip()),
+    ],
+)
+def test_markup_by_the_rules_of_html(page, expected):
+    assert main_text(page)[0] == expected
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a b='", '<a b="', "<!", "<p title=it's ", "</", "<a b = "])
+def test_a_megabyte_of_broken_tags_takes_a_moment(piece):
+    import time
+
+    page = f"<p>{_PROSE}</p>" + piece * (1_000_000 // len(piece))
+    begin = time.perf_counter()
+    text = main_text(page)[0]
+    assert time.perf_counter() - begin < 10 and text.startswith(_PROSE.strip())
+
+
+def test_a_page_of_many_mixed_blocks():
+    import time
+
+    rng = random.Random(2)
+    kinds = [f"<p>{PARAGRAPH}</p>", "<p>Short.</p>", "<li><a href=x>A link</a></li>", "<div class='ad'>Buy now</div>", f"<div>{PARAGRAPH}</div>"]
+    page = "<body>" + "".join(rng.choices(kinds, k=40_000)) + "</body>"
+    begin = time.perf_counter()
+    text, blocks, kept = main_text(page)
+    assert time.perf_counter() - begin < 20 and blocks == 40_000 and 0 < kept < blocks
+    assert PARAGRAPH in text and "Buy now" not in text
