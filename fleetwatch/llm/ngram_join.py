@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +38,7 @@ VERIFY_COST = 20.0  # of one candidate, in entries of a list
 SLOTS, SLICE = 2**24, 2**12
 LEAST_COUNT = 3
 TOGETHER = 2**20  # shingles that a worker sums up before they are shuffled
+TOGETHER_BYTES = 4 << 20  # of texts whose sets are compared at a time
 SHORT = 32  # entries of a list whose pairs are written out; longer lists are compared in squares
 SQUARE = 512
 OFTEN = 12  # log2 of the documents from which a list is summed up before it is joined
@@ -216,6 +218,7 @@ def prefixes(docs: DataFrame, levels: np.ndarray) -> DataFrame:
                     ],
                     names=["token", "id", "mark"],
                 )
+            pa.default_memory_pool().release_unused()
 
     return docs.select("id", "text").mapInArrow(run, "token long, id long, mark long")
 
@@ -288,6 +291,16 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return with_maybe(docs, "id", member_filter(ids, "id", bits), bits).where(MAYBE).drop(MAYBE)
 
 
+def slices(batch: pa.RecordBatch, names: tuple[str, ...], most: int = TOGETHER_BYTES) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of a batch whose texts have at most so many bytes together, or one row with longer ones."""
+    size = sum(pc.fill_null(pc.binary_length(batch.column(n)), 0).to_numpy().astype(np.int64) for n in names)
+    ends, at = np.cumsum(size), 0
+    while at < len(ends):
+        last = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, last - at)
+        at = last
+
+
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs whose whole sets overlap enough."""
     ends = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ends")
@@ -299,18 +312,20 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher(lower=True)
         for batch in batches:
-            sets = []
-            for name in ("text_a", "text_b"):
-                own = []
-                for chunk in chunks(batch.column(name)):
-                    value, bounds = shingle_sets(chunk, hasher)
-                    own.extend(np.split(value, bounds[1:-1]))
-                sets.append(own)
-            good = []
-            for a, b in zip(*sets):
-                common = len(np.intersect1d(a, b, assume_unique=True))
-                good.append(100 * common >= PERCENT * (len(a) + len(b) - common) and common > 0)
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            for part in slices(batch, ("text_a", "text_b")):
+                sets = []
+                for name in ("text_a", "text_b"):
+                    own = []
+                    for chunk in chunks(part.column(name)):
+                        value, bounds = shingle_sets(chunk, hasher)
+                        own.extend(np.split(value, bounds[1:-1]))
+                    sets.append(own)
+                good = []
+                for a, b in zip(*sets):
+                    common = len(np.intersect1d(a, b, assume_unique=True))
+                    good.append(100 * common >= PERCENT * (len(a) + len(b) - common) and common > 0)
+                yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            pa.default_memory_pool().release_unused()
 
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 

@@ -302,3 +302,12 @@ def test_repeated_rows_are_equally_early(spark):
 )
 def test_empty_tables_give_empty_tables(spark, operator):
     assert operator(_docs(spark, [])).count() == 0
+
+
+def test_slices_of_a_batch_hold_every_row_once():
+    import pyarrow as pa
+
+    texts = ["x" * n for n in (5, 0, 3, 50, 1, 1, 1)]
+    batch = pa.RecordBatch.from_pydict({"a": list(range(7)), "text_a": texts, "text_b": [None, *texts[1:]]})
+    parts = list(ngram_join.slices(batch, ("text_a", "text_b"), 12))
+    assert [p.column("a").to_pylist() for p in parts] == [[0, 1, 2], [3], [4, 5, 6]]
