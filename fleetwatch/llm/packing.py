@@ -16,8 +16,10 @@ from __future__ import annotations
 import re
 import sys
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, compress
+from operator import not_
 from types import SimpleNamespace
 
 import numpy as np
@@ -31,10 +33,12 @@ LENGTH, WIDTH, END_ID = 4096, 16, 2
 BINS = LENGTH // WIDTH
 GAP = 1e-3  # of the linear program to its bound
 GROUP_ROWS = 100_000  # of pieces that one task ranks
-MEMORY = 1_000_000  # words whose ids a worker keeps
+MEMORY = 256 << 20  # bytes of words and ids that a worker keeps, with ``ENTRY`` for each entry itself
+ENTRY = 150
+CHUNK = 1 << 20  # characters of texts whose new words are learned together
 # The pattern of the vocabulary, for lower-case words of Latin letters.
 _LETTER, _NUMBER = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
-_RUNS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_LETTER}{_NUMBER}]+")
+_RUNS = re.compile(f"\n|'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_LETTER}{_NUMBER}\n]+")
 _LATIN = re.compile("[\x00-\u024f]*")
 _SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")  # white space to str.split() and not to the tokenizer
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -46,45 +50,99 @@ def _worker(path: str) -> SimpleNamespace:
     if path not in held.by_path:
         from tokenizers import Tokenizer
 
-        held.by_path[path] = SimpleNamespace(tokenizer=Tokenizer.from_file(path), words={}, runs={})
+        held.by_path[path] = SimpleNamespace(
+            tokenizer=Tokenizer.from_file(path), words={}, runs={}, held=0
+        )
     return held.by_path[path]
 
 
+def _little_endian(ids: array) -> array:
+    if sys.byteorder == "big":
+        ids.byteswap()
+    return ids
+
+
 class WordEncoder:
     """Ids of texts as little-endian unsigned 32-bit bytes, by the words that white space separates.
 
     The tokenizer never merges over white space, so the ids of a text are those of its words in order; each
-    word is encoded once and remembered. Nor does it merge over the runs that its pattern cuts a word into: in
+    word is encoded once and remembered, up to a bound in bytes. Nor does it merge over the runs that its pattern cuts a word into: in
     words of Latin letters these are found here, so that a word with a comma or a capital costs nothing new.
     """
 
     def __init__(self, path: str):
-        state = _worker(path)
-        self.tokenizer, self.words, self.runs = state.tokenizer, state.words, state.runs
+        self.state = _worker(path)
+        self.tokenizer = self.state.tokenizer
+
+    @property
+    def words(self) -> dict[str, bytes]:
+        return self.state.words
+
+    @property
+    def runs(self) -> dict[str, bytes]:
+        return self.state.runs
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def _learn(self, words: list[str]) -> None:
-        runs = [_RUNS.findall(w.lower()) if _LATIN.fullmatch(w) and "<|" not in w else [w] for w in words]
-        fresh = [r for r in set(chain.from_iterable(runs)) if r not in self.runs]
+        return [_little_endian(array("I", e.ids)).tobytes() for e in found]
+
+    def _keep(self, memory: dict[str, bytes], entries: dict[str, bytes]) -> None:
+        self.state.held += sum(map(len, entries)) + sum(map(len, entries.values())) + ENTRY * len(entries)
+        memory.update(entries)
+
+    def _learn(self, fresh: list[str]) -> None:
+        """Words of Latin letters by their runs, all words at once; others whole."""
+        plain, joined = fresh, "\n".join(fresh)
+        if not _LATIN.fullmatch(joined) or "<|" in joined:
+            simple = [bool(_LATIN.fullmatch(w)) and "<|" not in w for w in fresh]
+            others = list(compress(fresh, map(not_, simple)))
+            self._keep(self.words, dict(zip(others, self._encode(others))))
+            plain = list(compress(fresh, simple))
+            joined = "\n".join(plain)
+        found = _RUNS.findall(joined.lower())
+        new = list(set(found).difference(self.runs, ("\n",)))
+        if new:
+            self._keep(self.runs, dict(zip(new, self._encode(new))))
+        known, entries, own = self.runs, {}, []
+        words = iter(plain)
+        for run in found:
+            if run == "\n":
+                entries[next(words)] = b"".join(own)
+                own = []
+            else:
+                own.append(known[run])
+        for word in words:  # the last one
+            entries[word] = b"".join(own)
+        self._keep(self.words, entries)
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; the new words of all of them are learned together."""
+        if self.state.held > MEMORY:
+            self.state.words, self.state.runs, self.state.held = {}, {}, 0
+        odd = [any(c in t for c in _SEPARATORS) for t in texts]
+        pieces = [() if o else t.split() for t, o in zip(texts, odd)]
+        fresh = set(chain.from_iterable(pieces)).difference(self.words)
         if fresh:
-            self.runs.update(zip(fresh, self._encode(fresh)))
-        known = self.runs
-        self.words.update((w, b"".join([known[r] for r in own])) for w, own in zip(words, runs))
+            self._learn(list(fresh))
+        known = self.words.__getitem__
+        return [self._encode([t])[0] if o else b"".join(map(known, p)) for t, o, p in zip(texts, odd, pieces)]
 
     def __call__(self, text: str) -> bytes:
-        if any(c in text for c in _SEPARATORS):
-            return self._encode([text])[0]
-        for memory in (self.words, self.runs):
-            if len(memory) > MEMORY:
-                memory.clear()
-        pieces = text.split()
-        fresh = [w for w in set(pieces) if w not in self.words]
-        if fresh:
-            self._learn(fresh)
-        return b"".join(map(self.words.__getitem__, pieces))
+        return self.texts([text])[0]
+
+
+def _chunks(texts: list[str | None], most: int = CHUNK) -> Iterator[list[str]]:
+    """Consecutive texts of at most so many characters together, or one longer text; null counts as empty."""
+    chunk, size = [], 0
+    for text in texts:
+        text = text or ""
+        if chunk and size + len(text) > most:
+            yield chunk
+            chunk, size = [], 0
+        chunk.append(text)
+        size += len(text)
+    if chunk:
+        yield chunk
 
 
 def cut_documents(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
@@ -95,8 +153,9 @@ def cut_documents(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = memoryview(encode(text or "") + end)
+            encoded = chain.from_iterable(map(encode.texts, _chunks(batch.column("text").to_pylist())))
+            for doc_id, found in zip(batch.column("doc_id").to_pylist(), encoded):
+                ids = memoryview(found + end)
                 n = len(ids) // 4
                 rows.extend(
                     (doc_id, s, min(length, n - s), zlib.crc32(ids[4 * s : 4 * (s + length)]), n)

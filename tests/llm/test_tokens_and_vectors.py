@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import random
 import zlib
 from collections import defaultdict
 
@@ -15,6 +16,7 @@ from fleetwatch.llm import ann, bpe, packing
 from fleetwatch.llm.queries import BYTE_RANKS, WORD_VOCABULARY, vocabulary
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
+Tokenizer = pytest.importorskip("tokenizers").Tokenizer
 
 TEXTS = [
     "", None, "   ", "a  b\n\n c\t\td ", "x\x1c\x1dy \x1e z", "don't I'LL 'll  's", "日本語 テキスト 123 ½²", "é ́x \xa0 y z", "🙂🙂 ok ​",
@@ -175,3 +177,19 @@ def test_no_vectors(spark):
     assert ann.nearest(spark.createDataFrame([], VECTORS)).count() == 0
     assert ann.nearest(spark.createDataFrame([(7, [1.0], 1)], VECTORS)).count() == 0
     assert ann.nearest(spark.createDataFrame([(100, [1.0], 1)], VECTORS)).count() == 0
+
+
+def test_word_memory_ages_and_gives_the_same_ids(monkeypatch):
+    """With room for a few words only, words are learned again; ids stay those of the library."""
+    path = vocabulary(WORD_VOCABULARY)
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcé,'0B", k=rng.randrange(1, 9))) for _ in range(300)] + ["日本", "<|x|>", "a\x1cb"]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(0, 40))) for _ in range(200)] + ["", "w " * 5000]
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    monkeypatch.setattr(packing, "MEMORY", 20_000)
+    for most in (1, 500, 10_000):
+        encode = packing.WordEncoder(path)
+        encode.state.words, encode.state.runs, encode.state.held = {}, {}, 0
+        found = [i for chunk in packing._chunks(texts, most) for i in encode.texts(chunk)]
+        assert [list(np.frombuffer(f, "<u4")) for f in found] == want
+        assert encode.state.held < 200_000
