@@ -46,9 +46,10 @@ def bucket_sums(df: DataFrame, columns: list[str], buckets: int) -> DataFrame:
 
     Sums of 32-bit halves stay exact up to 2^31 rows of one bucket. They count copies, and do not depend on order.
     """
-    day = F.col(DAY).cast("date").alias(DAY)
-    seeds = [[F.lit(i), *_parts(df, columns)] for i in range(2)]
-    rows = df.select(day, key_bucket(buckets).alias(BUCKET), *[F.xxhash64(*p).alias(f"h{i}") for i, p in enumerate(seeds)])
+    day = F.col(DAY).cast("date")
+    # The day is hashed too: a row that moves to another day must change the sums of the whole table.
+    seeds = [[F.lit(i), day, day.isNull(), *_parts(df, columns)] for i in range(2)]
+    rows = df.select(day.alias(DAY), key_bucket(buckets).alias(BUCKET), *[F.xxhash64(*p).alias(f"h{i}") for i, p in enumerate(seeds)])
     halves = [F.col(f"h{i}").bitwiseAND(0xFFFFFFFF) if low else F.shiftrightunsigned(f"h{i}", 32) for i in (0, 1) for low in (0, 1)]
     return rows.groupBy(DAY, BUCKET).agg(
         F.count(F.lit(1)).alias("rows"), *[F.sum(h).alias(f"s{i}") for i, h in enumerate(halves)]
