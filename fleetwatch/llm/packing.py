@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetwatch.llm.words import WORKER_MEMORY
 from fleetwatch.session import cut
 
 LENGTH, WIDTH, END_ID = 4096, 16, 2
@@ -46,7 +47,7 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 def _worker(path: str) -> SimpleNamespace:
     """The tokenizer and the word memory of this worker process, kept from task to task."""
-    held = sys.modules.setdefault("_corpus_tokenizers", SimpleNamespace(by_path={}))
+    held = sys.modules.setdefault(WORKER_MEMORY, SimpleNamespace(by_path={}))
     if path not in held.by_path:
         from tokenizers import Tokenizer
 

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from fleetwatch.llm.labelled import distinct_sample, remainder, teaching_rows
 from fleetwatch.llm.logistic import fit, sigmoid
+from fleetwatch.llm.words import release_worker_memory
 from fleetwatch.session import cut
 
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.5
@@ -370,6 +371,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def clean(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        release_worker_memory()
         scanner = Scanner(lexicon.entries)
         for batch in texts:
             f = [lexicon.features(*scanner.hits(t or "")) for t in batch]

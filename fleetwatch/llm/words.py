@@ -6,6 +6,7 @@ text being a chunk of its own. Hashes are 64-bit and the same in every process.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,6 +23,15 @@ LOWER[65:91] += 32
 _BASE = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd multipliers of the two hash families
 
 
+#: The module-like place where an operator keeps things in a Python worker from task to task.
+WORKER_MEMORY = "_corpus_worker_memory"
+
+
+def release_worker_memory() -> None:
+    """Drop what operators keep in this Python worker; workers pass from one operator to the next."""
+    sys.modules.pop(WORKER_MEMORY, None)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit (in place)."""
     x ^= x >> np.uint64(30)
