@@ -1,7 +1,7 @@
 """Isolation forest (Liu, Ting and Zhou, 2008) grown and applied by Spark tasks.
 
-Each tree only sees a bounded sample. Rows are drawn by hash in two steps, so that no task and no
-driver ever holds more than one tree's sample, whatever the size of the fleet. All draws are portable hashes: of the row's
+Each tree only sees a bounded sample, the rows of the whole fleet with its smallest draws. Rows above a chance fall away
+where they lie, so that no task and no driver ever holds more than one tree's sample, whatever the size of the fleet. All draws are portable hashes: of the row's
 key and the tree for samples, of the tree and the node for split features and thresholds. So any engine can grow the same
 forest from the same rows.
 """
@@ -16,17 +16,17 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetwatch.functions.hashing import HASH_SPACE, hash32, row_key
+from fleetwatch.functions.hashing import HASH_SPACE, row_key
 from fleetwatch.models.prep import FEATURES
 from fleetwatch.operators.labels import ENTITY
 from fleetwatch.session import cut
 
 TREES = 200
 ROWS_PER_TREE = 512
-# Extra rows drawn per tree, so that a tree practically never gets too few.
+# Rows kept per row that a tree needs; a tree that got too few nevertheless makes all draw again.
 OVERDRAW = 2.0
 #: Copies of a row without a key are numbered in blocks of so many.
 COPIES = 10_000
@@ -55,11 +55,6 @@ class Forest:
     rows_per_tree: int
 
 
-def _share(*parts: str | Column) -> Column:
-    """Portable hash of texts as a number in [0, 1)."""
-    return hash32(F.concat_ws(":", *parts)) / F.lit(float(HASH_SPACE))
-
-
 def _numbered_copies(values: DataFrame, block: int = COPIES) -> DataFrame:
     """(x, copy) of every row, equal rows numbered from 1.
 
@@ -87,23 +82,40 @@ def _known_rows(prepared: DataFrame) -> DataFrame:
     return rows.select(F.concat_ws(":", values, F.col("copy").cast("string")).alias("key"), "x")
 
 
-def tree_samples(prepared: DataFrame, trees: int, rows_per_tree: int, seed: int) -> DataFrame:
-    """(tree, draw, key, x): about ``OVERDRAW`` times the rows each tree needs.
+def _drawn(rows: DataFrame, trees: int, seed: int, chance: float) -> DataFrame:
+    """(tree, draw, key, x) of every row and tree whose draw is below a chance.
+
+    Hashes are compared as text first, so only the few that are drawn become numbers.
+    """
+    text = F.substring(F.md5(F.concat_ws(":", "key", F.lit(str(seed)), F.col("tree").cast("string"))), 1, 8)
+    numbers = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
+    drawn = rows.select("key", "x", numbers).select("tree", text.alias("hash"), "key", "x")
+    limit = math.ceil(chance * HASH_SPACE)
+    if limit < HASH_SPACE:
+        drawn = drawn.where(F.col("hash") < F.lit(f"{limit:08x}"))
+    draw = F.conv("hash", 16, 10).cast("bigint") / F.lit(float(HASH_SPACE))
+    return drawn.select("tree", draw.alias("draw"), "key", "x")
+
+
+def tree_samples(
+    prepared: DataFrame, trees: int, rows_per_tree: int, seed: int, overdraw: float = OVERDRAW
+) -> DataFrame:
+    """(tree, draw, key, x), stored: of all rows, those with the smallest draws of each tree.
 
-    First a pool of at most a few rows per tree place is drawn from all rows; then every pool row picks its trees.
+    Every row draws for every tree, and about ``overdraw`` times the rows a tree needs stay, so the ``rows_per_tree``
+    smallest draws of a tree are among them. Should a tree have got too few, all draw again with a larger chance.
     Draws depend on the key of a row alone, so they are the same for any partitions, files and cores.
     """
     n = prepared.count()
-    wanted = OVERDRAW * trees * rows_per_tree
+    wanted = min(rows_per_tree, n)
     rows = _known_rows(prepared)
-    if n > wanted:
-        rows = rows.where(_share("key", F.lit(f"{seed}:pool")) < wanted / n)
-    pool = cut(rows, "forest_pool")
-    chance = OVERDRAW * rows_per_tree / max(1, pool.count())
-    numbers = F.sequence(F.lit(0), F.lit(trees - 1))
-    drawn = pool.select("key", "x", F.explode(numbers).alias("tree"))
-    draw = _share("key", F.lit(str(seed)), F.col("tree").cast("string"))
-    return drawn.select("tree", draw.alias("draw"), "key", "x").where(F.col("draw") < chance)
+    while True:
+        chance = overdraw * rows_per_tree / max(1, n)
+        samples = cut(_drawn(rows, trees, seed, chance), "forest_samples")
+        full = samples.groupBy("tree").count().where(F.col("count") >= wanted).count()
+        if full == trees or chance >= 1:
+            return samples
+        overdraw *= 2
 
 
 def _hashed(text: str) -> int:

@@ -154,6 +154,22 @@ def test_tree_samples_are_bounded_also_for_copies(spark):
     assert len(sizes) == 8 and all(64 <= r["count"] <= 64 * 2 * 2 for r in sizes)
 
 
+def test_a_tree_gets_the_smallest_draws_of_all_rows(spark):
+    import hashlib
+
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = spark.range(900).selectExpr("date'2024-01-01' as obs_date", "concat('D', id) as serial_number", "double(id) as v")
+    prepared = VectorAssembler(inputCols=["v"], outputCol="features").transform(rows)
+    draw = lambda key, tree: int(hashlib.md5(f"{key}:3:{tree}".encode()).hexdigest()[:8], 16)
+    keys = [f"D{i}:2024-01-01" for i in range(900)]
+    for settings in ({}, {"overdraw": 0.25}):  # also where a tree gets too few at first
+        found = forest.tree_samples(prepared, 5, 16, 3, **settings).collect()
+        for tree in range(5):
+            own = sorted((r["draw"], r["key"]) for r in found if r["tree"] == tree)[:16]
+            assert [k for _, k in own] == sorted(keys, key=lambda k: draw(k, tree))[:16]
+
+
 def test_average_path():
     assert [forest.average_path(n) for n in (0, 1, 2)] == [0.0, 0.0, 1.0]
     assert forest.average_path(512) == pytest.approx(2 * (math.log(511) + 0.5772156649) - 2 * 511 / 512)
