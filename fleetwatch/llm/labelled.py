@@ -1,4 +1,4 @@
-"""Labelled rows for the classifiers: which may teach, which are held out, and a bounded sample of them."""
+"""Labelled rows for the classifiers: which may teach, which are held out, and a bounded sample of them for ``toxicity``."""
 
 from __future__ import annotations
 
@@ -13,22 +13,22 @@ def remainder(key: Column, divisor: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % divisor
 
 
-def teaching_rows(labels: DataFrame, label: str, divisor: int, held_out: int, most: int) -> DataFrame:
-    """(doc_id, label) of labelled rows outside the held-out fold, at most ``most``, chosen by a hash of the id.
-
-    Rows that repeat with different labels are left out; the result is small enough to broadcast.
-    """
+def known_labels(labels: DataFrame, label: str, divisor: int, held_out: int) -> DataFrame:
+    """(doc_id, label) of all labelled rows outside the held-out fold; rows that repeat with different labels are left out."""
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
     one = known.groupBy("doc_id").agg(F.min(label).alias("label"), F.max(label).alias("__other"))
     return (
         one.where(F.col("label") == F.col("__other"))
         .where(remainder(F.col("doc_id"), divisor) != held_out)
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(most)
         .select("doc_id", "label")
     )
 
 
+def teaching_rows(labels: DataFrame, label: str, divisor: int, held_out: int, most: int) -> DataFrame:
+    """At most ``most`` of the known labels, chosen by a hash of the id; small enough to broadcast."""
+    return known_labels(labels, label, divisor, held_out).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+
+
 def teaching_docs(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """(doc_id, text, label) of the chosen rows; the documents are not shuffled."""
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(rows), "doc_id")

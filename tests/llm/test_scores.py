@@ -165,6 +165,25 @@ def test_ranking_orders_pairs_and_cuts_at_the_quantile():
     assert len(better) == 1000 and y[better].all() and not y[worse].any()
 
 
+def test_every_labelled_row_outside_the_fold_teaches(spark):
+    import zlib
+
+    docs, labels = _documents(900)
+    found = quality.described(spark.createDataFrame(docs, "doc_id long, text string"))
+    rows = quality.teaching(found, spark.createDataFrame(labels, LABELS))
+    wanted = {d for d, _, _ in labels if zlib.crc32(str(d).encode()) % 4 != 2}
+    assert {r["doc_id"] for r in rows.collect()} == wanted
+    # In blocks of any size each row counts once, and no block lacks the rarer label.
+    packed = quality.blocks(rows, 40, 8).collect()
+    assert len(packed) > 10 and sum(np.frombuffer(r["own"], bool).sum() for r in packed) == len(wanted)
+    assert all(0 < np.frombuffer(r["y"]).mean() < 1 for r in packed)
+    small, whole = (quality.learn(found, spark.createDataFrame(labels, LABELS), n) for n in (40, 8_000))
+    assert small.rate == whole.rate and np.allclose(small.mean, whole.mean) and np.allclose(small.scale, whole.scale)
+    texts = np.array([r["f"] for r in found.orderBy("doc_id").collect()])
+    same = (small.scores(texts) >= quality.THRESHOLD) == (whole.scores(texts) >= quality.THRESHOLD)
+    assert same.mean() > 0.98
+
+
 def test_no_significant_term_is_cut_from_the_lexicon(spark):
     words = ["".join(chr(97 + i // 26**k % 26) for k in range(3)) + "zz" for i in range(900)]
     rows = [(" ".join(words), 1)] * 40 + [("0 1 2", 0)] * 400
