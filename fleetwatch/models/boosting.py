@@ -1,8 +1,8 @@
 """Gradient-boosted trees by second-order histograms, grown level by level by Spark jobs.
 
 * Features are cut at quantiles of the training rows, at most ``bins`` a feature, and stored as one byte each.
-* A level is one pass: gradients and hessians are summed per (node, feature, bin) inside each task and combined by one
-  aggregate. The driver gets the sums of one level (bounded by nodes, features and bins), not rows.
+* A level is one pass: gradients and hessians are summed per (node, feature, bin) inside each task. Sums of a (node, feature) meet
+  in one task, which looks for its best split; the driver gets one row per (node, feature), neither rows nor histograms.
 * A leaf is worth ``-G / (H + penalty)`` times the learning rate. A split needs a hessian of ``least_hessian`` on both
   sides; the hessian of a row holds its weight.
 * Boosting ends when average precision on the validation rows has not become better for ``patience`` rounds, and
@@ -37,12 +37,13 @@ from fleetwatch.session import cut
 BLOCK = 10
 #: Rows of the binned tables per file: some 10 MB. Every pass reads them, so they are not left in scraps.
 ROWS_PER_FILE = 100_000
-#: Sums of so few tasks go to the driver as they are; those of more are added up by an aggregate first.
-DIRECT_TASKS = 32
+#: Rows of so few files are summed by one task, which then holds whole sums and needs no shuffle.
+DIRECT_TASKS = 1
 DRAWS = 10_000
 LEAF = -1
 BINNED = "key string, y double, w double, bins binary, margin double"
-SUMS = "node int, feature int, bin int, g long, h long"
+SUMS = "node int, feature int, sums binary"
+SPLITS = "node int, feature int, gain double, bin int, lg long, lh long, g long, h long"
 
 
 @dataclass(frozen=True)
@@ -218,23 +219,48 @@ def drawn_features(width: int, share: float, seed: int, number: int) -> list[int
     return sorted(i for _, i in sorted(draws)[: max(1, int(share * width))])
 
 
-def _level_sums(
+def best_cuts(nodes: np.ndarray, feature: int, sums: np.ndarray, scale: float, chosen: Boosting) -> pa.RecordBatch:
+    """Best cut of one feature in each node, from sums (2, nodes, bins) of gradients and hessians; gain -1 where none fits.
+
+    Ties: first bin. Nodes without rows have no row.
+    """
+    whole = sums.sum(2)
+    there = np.flatnonzero(whole[1])
+    sums, whole = sums[:, there], whole[:, there]
+    left = sums.cumsum(2)
+    (lg, rg), (lh, rh) = ((part / scale, (all_ - part) / scale) for part, all_ in zip(left, whole[:, :, None]))
+    g, h = whole[:, :, None] / scale
+    gain = lg * lg / (lh + chosen.penalty) + rg * rg / (rh + chosen.penalty) - g * g / (h + chosen.penalty)
+    gain = np.where((lh >= chosen.least_hessian) & (rh >= chosen.least_hessian) & (gain > 0), gain, -1.0)
+    cut_at, own = gain.argmax(1), np.arange(len(there))
+    columns = [
+        *[pa.array(v.astype(np.int32)) for v in (nodes[there], np.full(len(there), feature))],
+        pa.array(gain[own, cut_at]),
+        pa.array(cut_at.astype(np.int32)),
+        *[pa.array(v.astype(np.int64)) for v in (*left[:, own, cut_at], *whole)],
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in SPLITS.split(", ")])
+
+
+def _level_splits(
     rows: DataFrame,
     block: list[Tree],
     tree: Tree,
     level: int,
     features: list[int],
     sizes: list[int],
-    depth: int,
     scale: float,
+    chosen: Boosting,
     few: bool = False,
 ) -> pd.DataFrame:
-    """Sums of gradients and hessians of the nodes of a level, per feature and bin; ``sizes`` holds the bins per feature."""
-    first = 1 << level
+    """Best cut per node of a level and feature, and the sums of its left side and of the node; ``sizes`` holds the bins per feature."""
+    first, depth = 1 << level, chosen.depth
     ends = np.cumsum([sizes[f] for f in features])
     starts, span = ends - [sizes[f] for f in features], int(ends[-1])
+    nodes = np.arange(first, 2 * first)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+        """(feature, sums of gradients and hessians by node and bin) of all batches."""
         total = np.zeros((2, first * span))
         for batch in batches:
             bins = _matrix(batch, len(sizes))
@@ -245,40 +271,42 @@ def _level_sums(
             place = (((at[own] - first) * span)[:, None] + starts + bins[own][:, features]).ravel()
             for i, v in enumerate(found):
                 total[i] += np.bincount(place, np.repeat(v[own], len(features)), total.shape[1])
-        place = np.flatnonzero(total[1])
-        inner = place % span
-        column = np.searchsorted(ends, inner, side="right")
-        values = [first + place // span, np.array(features)[column], inner - starts[column]]
-        yield pa.RecordBatch.from_arrays(
-            [*[pa.array(v.astype(np.int32)) for v in values], *[pa.array(t[place].astype(np.int64)) for t in total]],
-            names=["node", "feature", "bin", "g", "h"],
-        )
-
-    parts, key = rows.mapInArrow(run, SUMS), ["node", "feature", "bin"]
+        whole = total.astype(np.int64).reshape(2, first, span)
+        for feature, start, end in zip(features, starts, ends):
+            yield feature, whole[:, :, start:end]
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for feature, sums in summed(batches):
+            yield best_cuts(nodes, feature, sums, scale, chosen)
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for feature, sums in summed(batches):
+            there = np.flatnonzero(sums[1].any(1))
+            columns = [pa.array(v.astype(np.int32)) for v in (nodes[there], np.full(len(there), feature))]
+            packed = pa.array([sums[:, i].tobytes() for i in there], pa.binary())
+            yield pa.RecordBatch.from_arrays([*columns, packed], names=["node", "feature", "sums"])
+
+    def merged(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        node, feature = (k.as_py() for k in key)
+        sums = sum(np.frombuffer(v.as_py(), np.int64) for v in table.column("sums")).reshape(2, 1, -1)
+        return pa.Table.from_batches([best_cuts(np.array([node]), feature, sums, scale, chosen)])
+
     if few:
-        return parts.toArrow().to_pandas().groupby(key, as_index=False).sum()
-    return parts.groupBy(*key).agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toArrow().to_pandas()
+        return rows.coalesce(1).mapInArrow(split, SPLITS).toArrow().to_pandas()
+    return rows.mapInArrow(parts, SUMS).groupBy("node", "feature").applyInArrow(merged, SPLITS).toArrow().to_pandas()
 
 
-def _best_splits(sums: pd.DataFrame, scale: float, chosen: Boosting) -> dict[int, tuple]:
+def _best_splits(splits: pd.DataFrame, scale: float) -> dict[int, tuple]:
     """Per node the best split (gain, feature, cut) or None, and the sums of both its sides and of the node.
 
-    Ties: first feature, first bin.
+    Ties: first feature.
     """
-    sums = sums.sort_values(["node", "feature", "bin"])
-    by = [sums["node"], sums["feature"]]
-    whole = sums.groupby(by)[["g", "h"]].transform("sum")
-    left = sums.groupby(by)[["g", "h"]].cumsum()
-    (lg, lh), (rg, rh) = ((part["g"] / scale, part["h"] / scale) for part in (left, whole - left))
-    g, h = whole["g"] / scale, whole["h"] / scale
-    gain = lg * lg / (lh + chosen.penalty) + rg * rg / (rh + chosen.penalty) - g * g / (h + chosen.penalty)
-    fits = (lh >= chosen.least_hessian) & (rh >= chosen.least_hessian) & (gain > 0)
-    table = sums.assign(gain=gain.where(fits, -1.0), lg=lg, lh=lh, rg=rg, rh=rh, all_g=g, all_h=h)
-    ordered = table.sort_values(["node", "gain", "feature", "bin"], ascending=[True, False, True, True])
+    ordered = splits.sort_values(["node", "gain", "feature"], ascending=[True, False, True])
     out = {}
     for r in ordered.groupby("node").head(1).itertuples():
         split = (float(r.gain), int(r.feature), int(r.bin)) if r.gain > 0 else None
-        out[int(r.node)] = (split, (r.lg, r.lh), (r.rg, r.rh), (r.all_g, r.all_h))
+        left, right, whole = ((g / scale, h / scale) for g, h in ((r.lg, r.lh), (r.g - r.lg, r.h - r.lh), (r.g, r.h)))
+        out[int(r.node)] = (split, left, right, whole)
     return out
 
 
@@ -296,8 +324,7 @@ def _grow(
     for level in range(chosen.depth):
         if not open_nodes:
             break
-        sums = _level_sums(rows, block, tree, level, features, sizes, chosen.depth, scale, few)
-        found = _best_splits(sums, scale, chosen)
+        found = _best_splits(_level_splits(rows, block, tree, level, features, sizes, scale, chosen, few), scale)
         if level == 0 and 1 in found:
             leaf(1, *found[1][3])
         children = set()
