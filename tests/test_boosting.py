@@ -174,11 +174,10 @@ def test_wrong_inputs(spark):
 @pytest.mark.parametrize("rows_per_file", [90, 100_000])
 def test_the_driver_gets_splits_not_histograms(spark, monkeypatch, rows_per_file):
     """A level sends one row per node and feature, for one file of rows and for many."""
-    from pyspark.sql import DataFrame
-
-    sent, to_arrow = [], DataFrame.toArrow
-    monkeypatch.setattr(DataFrame, "toArrow", lambda df: sent.append(to_arrow(df)) or sent[-1])
+    frame = _frame(spark, _rows())
+    sent, to_arrow = [], type(frame).toArrow
+    monkeypatch.setattr(type(frame), "toArrow", lambda df: sent.append(to_arrow(df)) or sent[-1])
     monkeypatch.setattr(boosting, "ROWS_PER_FILE", rows_per_file)
     chosen = Boosting(rounds=1, depth=3, rate=0.3, rows=1.0, columns=1.0, least_hessian=3.0)
-    fit_boosted_trees(_frame(spark, _rows()), None, WEIGHT, chosen=chosen)
+    fit_boosted_trees(frame, None, WEIGHT, chosen=chosen)
     assert len(sent) == 3 and all(t.num_rows <= 4 << level for level, t in enumerate(sent))
