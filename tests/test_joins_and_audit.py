@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 from functools import reduce
 
 import pytest
@@ -153,3 +154,17 @@ def test_titles(frame):
     columns = ["date", "serial_number", "model", "failure", "capacity_bytes"] + [f"smart_{n}_raw" for n in (5, 9, 187, 188, 194, 197, 198)]
     row = reduce(lambda d, c: d.withColumn(c, F.lit(1.0)), columns, frame([(1,)], "one int"))
     assert review.titled_snapshot(row).columns == list(review.SNAPSHOT_TITLES.values())
+
+
+def test_an_audit_of_two_runs_writes_no_third(spark, monkeypatch):
+    from fleetwatch.plans import queries_review
+    from fleetwatch.plans.stages import Study
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test data here")
+    saved, save_run = [], queries_review.runs.save_run
+    monkeypatch.setattr(queries_review.runs, "save_run", lambda *a, **k: saved.append(a[2]) or save_run(*a, **k))
+    verdict = queries_review.audit_runs_same(Study(spark, folder, rounds=7))  # a study of its own
+    assert saved == ["one", "again"]
+    assert all(r["passed"] for r in verdict.collect())
