@@ -34,9 +34,10 @@ LENGTH, WIDTH, END_ID = 4096, 16, 2
 BINS = LENGTH // WIDTH
 GAP = 1e-3  # of the linear program to its bound
 GROUP_ROWS = 100_000  # of pieces that one task ranks
-MEMORY = 256 << 20  # bytes of words and ids that a worker keeps, with ``ENTRY`` for each entry itself
+MEMORY = 96 << 20  # bytes of words and ids that a worker keeps, with ``ENTRY`` for each entry itself
 ENTRY = 150
 CHUNK = 1 << 20  # characters of texts whose new words are learned together
+BATCH = 4096  # words that the tokenizer encodes at a time; what it returns is some hundred times their size
 # The pattern of the vocabulary, for lower-case words of Latin letters.
 _LETTER, _NUMBER = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
 _RUNS = re.compile(f"\n|'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_LETTER}{_NUMBER}\n]+")
@@ -52,7 +53,7 @@ def _worker(path: str) -> SimpleNamespace:
         from tokenizers import Tokenizer
 
         held.by_path[path] = SimpleNamespace(
-            tokenizer=Tokenizer.from_file(path), words={}, runs={}, held=0
+            tokenizer=Tokenizer.from_file(path), words={}, runs={}, held=0, old_words={}, old_runs={}
         )
     return held.by_path[path]
 
@@ -67,7 +68,8 @@ class WordEncoder:
     """Ids of texts as little-endian unsigned 32-bit bytes, by the words that white space separates.
 
     The tokenizer never merges over white space, so the ids of a text are those of its words in order; each
-    word is encoded once and remembered, up to a bound in bytes. Nor does it merge over the runs that its pattern cuts a word into: in
+    word is encoded once and remembered, up to a bound in bytes. When half of it is reached, what was remembered is old; old words
+    that come again are kept, the others go at the next turn. Nor does it merge over the runs that its pattern cuts a word into: in
     words of Latin letters these are found here, so that a word with a comma or a capital costs nothing new.
     """
 
@@ -84,13 +86,23 @@ class WordEncoder:
         return self.state.runs
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [_little_endian(array("I", e.ids)).tobytes() for e in found]
+        out = []
+        for at in range(0, len(texts), BATCH):
+            found = self.tokenizer.encode_batch_fast(texts[at : at + BATCH], add_special_tokens=False)
+            out += [_little_endian(array("I", e.ids)).tobytes() for e in found]
+        return out
 
     def _keep(self, memory: dict[str, bytes], entries: dict[str, bytes]) -> None:
         self.state.held += sum(map(len, entries)) + sum(map(len, entries.values())) + ENTRY * len(entries)
         memory.update(entries)
 
+    def _fresh(self, texts: set[str], memory: dict[str, bytes], old: dict[str, bytes]) -> list[str]:
+        """Of some texts those not remembered; old ones are kept."""
+        fresh = texts.difference(memory)
+        again = {t: old[t] for t in fresh if t in old}
+        self._keep(memory, again)
+        return list(fresh.difference(again))
+
     def _learn(self, fresh: list[str]) -> None:
         """Words of Latin letters by their runs, all words at once; others whole."""
         plain, joined = fresh, "\n".join(fresh)
@@ -101,7 +113,7 @@ class WordEncoder:
             plain = list(compress(fresh, simple))
             joined = "\n".join(plain)
         found = _RUNS.findall(joined.lower())
-        new = list(set(found).difference(self.runs, ("\n",)))
+        new = self._fresh(set(found) - {"\n"}, self.runs, self.state.old_runs)
         if new:
             self._keep(self.runs, dict(zip(new, self._encode(new))))
         known, entries, own = self.runs, {}, []
@@ -118,13 +130,14 @@ class WordEncoder:
 
     def texts(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; the new words of all of them are learned together."""
-        if self.state.held > MEMORY:
+        if self.state.held > MEMORY // 2:
+            self.state.old_words, self.state.old_runs = self.state.words, self.state.runs
             self.state.words, self.state.runs, self.state.held = {}, {}, 0
         odd = [any(c in t for c in _SEPARATORS) for t in texts]
         pieces = [() if o else t.split() for t, o in zip(texts, odd)]
-        fresh = set(chain.from_iterable(pieces)).difference(self.words)
+        fresh = self._fresh(set(chain.from_iterable(pieces)), self.words, self.state.old_words)
         if fresh:
-            self._learn(list(fresh))
+            self._learn(fresh)
         known = self.words.__getitem__
         return [self._encode([t])[0] if o else b"".join(map(known, p)) for t, o, p in zip(texts, odd, pieces)]
 

@@ -193,3 +193,30 @@ def test_word_memory_ages_and_gives_the_same_ids(monkeypatch):
         found = [i for chunk in packing._chunks(texts, most) for i in encode.texts(chunk)]
         assert [list(np.frombuffer(f, "<u4")) for f in found] == want
         assert encode.state.held < 200_000
+
+
+def test_words_that_come_again_outlive_the_memory_of_others(monkeypatch):
+    path = vocabulary(WORD_VOCABULARY)
+    monkeypatch.setattr(packing, "MEMORY", 40_000)
+    monkeypatch.setattr(packing, "BATCH", 16)
+    packing.sys.modules.pop(packing.WORKER_MEMORY, None)
+    encode = packing.WordEncoder(path)
+    plain, asked = encode.tokenizer, []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **settings):
+            asked.append(list(texts))
+            return plain.encode_batch_fast(texts, **settings)
+
+    encode.tokenizer = Counted()
+    try:
+        for i in range(40):
+            text = "the common words " + " ".join(f"rare{i:x}q{j:x}w" for j in range(50))
+            want = np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            assert encode(text) == want
+        assert sum("common" in batch for batch in asked) == 1  # each time the memory was emptied, before
+        assert max(map(len, asked)) <= 16
+        assert encode.state.held < 40_000
+    finally:
+        packing.sys.modules.pop(packing.WORKER_MEMORY, None)
+
