@@ -33,6 +33,7 @@ from fleetwatch.session import cut
 
 SPAN, GRAM = 20, 8
 CHUNK = 4 << 20
+COPIED = 1 << 15  # windows whose anchors are looked for at a time
 _PLACE_BITS = 40  # of the start of a window; above them 23 bits of a hash of the text
 _NO_ID = -(2**63)
 _FLAGS = "id long, place long, n int"
@@ -87,7 +88,9 @@ def anchors_of(hashes: np.ndarray, text: np.ndarray, span: int = SPAN, gram: int
         return empty, empty, empty, np.zeros(0, np.uint64)
     grams, width = windows(hashes, gram), span - gram + 1
     seen = np.lib.stride_tricks.sliding_window_view(grams, width)[:, ::-1]
-    at = np.arange(n) + width - 1 - seen.argmin(axis=1)
+    # The smallest of a view is found in a copy of it, so the copy is bounded.
+    back = [seen[i : i + COPIED].argmin(axis=1) for i in range(0, n, COPIED)]
+    at = np.arange(n) + width - 1 - np.concatenate(back)
     starts = np.flatnonzero(within(text, span))
     at = at[starts]
     new = np.ones(len(starts), bool)

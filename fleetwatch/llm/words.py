@@ -107,7 +107,10 @@ def words_of(chunk: Chunk) -> Words:
 
 
 class WordHasher:
-    """64-bit hashes of byte ranges by prefix sums of a polynomial with a random value per byte."""
+    """64-bit hashes of words, byte ranges in order, by prefix sums of a polynomial with a random value per byte.
+
+    Sums take some 40 bytes per byte, so they cover ``CHUNK_BYTES`` at a time, or one longer word.
+    """
 
     def __init__(self, family: int = 0, lower: bool = False):
         table = _bytes_table(family)
@@ -125,6 +128,15 @@ class WordHasher:
             )
 
     def __call__(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        out, at = np.empty(len(start), np.uint64), 0
+        while at < len(start):
+            last = max(at + 1, int(np.searchsorted(end, start[at] + CHUNK_BYTES, "right")))
+            first = start[at]
+            out[at:last] = self._hashes(data[first : end[last - 1]], start[at:last] - first, end[at:last] - first)
+            at = last
+        return out
+
+    def _hashes(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         n = len(data)
         self._grow(n + 1)
         sums = np.zeros(n + 1, np.uint64)

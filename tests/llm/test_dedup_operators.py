@@ -5,13 +5,16 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from fleetwatch.llm import exact_dedup, ngram_join, substring
 from fleetwatch.llm.components import components
+from fleetwatch.llm.words import WordHasher, chunks, words_of
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 CLASHING = "id long, sha string, doc string, `row` long, own string, `__maybe` boolean, flags string, short string"
@@ -311,3 +314,22 @@ def test_slices_of_a_batch_hold_every_row_once():
     batch = pa.RecordBatch.from_pydict({"a": list(range(7)), "text_a": texts, "text_b": [None, *texts[1:]]})
     parts = list(ngram_join.slices(batch, ("text_a", "text_b"), 12))
     assert [p.column("a").to_pylist() for p in parts] == [[0, 1, 2], [3], [4, 5, 6]]
+
+
+def test_anchors_of_a_chunk_need_little_memory():
+    """Sums over bytes and copied windows are bounded, and hashes are those of one pass over all bytes."""
+    words = [f"w{i % 7919:x}" for i in range(700_000)]
+    chunk = next(chunks(pa.array([" ".join(words)]), substring.CHUNK))
+    w = words_of(chunk)
+    hasher = WordHasher()
+    whole = WordHasher()._hashes(chunk.data, w.start, w.end)
+    tracemalloc.start()
+    try:
+        hashes = hasher(chunk.data, w.start, w.end)
+        found = substring.anchors_of(hashes, w.text)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert (hashes == whole).all()
+    assert found[1].sum() == len(words) - substring.SPAN + 1
+    assert peak < 100e6  # 156 MB before
