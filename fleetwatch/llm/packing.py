@@ -13,6 +13,7 @@ Empty tables give empty tables. Every token of a document lies in exactly one pi
 
 from __future__ import annotations
 
+import os
 import re
 import sys
 import zlib
@@ -40,7 +41,7 @@ CHUNK = 1 << 20  # characters of texts whose new words are learned together
 BATCH = 4096  # words that the tokenizer encodes at a time; what it returns is some hundred times their size
 # The pattern of the vocabulary, for lower-case words of Latin letters.
 _LETTER, _NUMBER = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
-_RUNS = re.compile(f"\n|'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_LETTER}{_NUMBER}\n]+")
+_RUNS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_LETTER}{_NUMBER}\\s]+")
 _LATIN = re.compile("[\x00-\u024f]*")
 _SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")  # white space to str.split() and not to the tokenizer
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -50,6 +51,8 @@ def _worker(path: str) -> SimpleNamespace:
     """The tokenizer and the word memory of this worker process, kept from task to task."""
     held = sys.modules.setdefault(WORKER_MEMORY, SimpleNamespace(by_path={}))
     if path not in held.by_path:
+        # A task has one core; threads of the tokenizer take more CPU time for the same words.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         held.by_path[path] = SimpleNamespace(
@@ -65,26 +68,17 @@ def _little_endian(ids: array) -> array:
 
 
 class WordEncoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes, by the words that white space separates.
+    """Ids of texts as little-endian unsigned 32-bit bytes, by parts that the tokenizer never merges with their neighbours.
 
-    The tokenizer never merges over white space, so the ids of a text are those of its words in order; each
-    word is encoded once and remembered, up to a bound in bytes. When half of it is reached, what was remembered is old; old words
-    that come again are kept, the others go at the next turn. Nor does it merge over the runs that its pattern cuts a word into: in
-    words of Latin letters these are found here, so that a word with a comma or a capital costs nothing new.
+    Texts of Latin letters are cut into the runs of the tokenizer's pattern, so that a word with a comma or a capital costs nothing
+    new; others into words by white space. Each part is encoded once and remembered, up to a bound in bytes. When half of it is
+    reached, what was remembered is old; old parts that come again are kept, the others go at the next turn.
     """
 
     def __init__(self, path: str):
         self.state = _worker(path)
         self.tokenizer = self.state.tokenizer
 
-    @property
-    def words(self) -> dict[str, bytes]:
-        return self.state.words
-
-    @property
-    def runs(self) -> dict[str, bytes]:
-        return self.state.runs
-
     def _encode(self, texts: list[str]) -> list[bytes]:
         out = []
         for at in range(0, len(texts), BATCH):
@@ -96,50 +90,30 @@ class WordEncoder:
         self.state.held += sum(map(len, entries)) + sum(map(len, entries.values())) + ENTRY * len(entries)
         memory.update(entries)
 
-    def _fresh(self, texts: set[str], memory: dict[str, bytes], old: dict[str, bytes]) -> list[str]:
-        """Of some texts those not remembered; old ones are kept."""
-        fresh = texts.difference(memory)
+    def _learn(self, parts: list[list[str]], memory: dict[str, bytes], old: dict[str, bytes]) -> None:
+        """Remember all parts of some texts; old ones are kept as they are."""
+        fresh = set(chain.from_iterable(parts)).difference(memory)
         again = {t: old[t] for t in fresh if t in old}
         self._keep(memory, again)
-        return list(fresh.difference(again))
-
-    def _learn(self, fresh: list[str]) -> None:
-        """Words of Latin letters by their runs, all words at once; others whole."""
-        plain, joined = fresh, "\n".join(fresh)
-        if not _LATIN.fullmatch(joined) or "<|" in joined:
-            simple = [bool(_LATIN.fullmatch(w)) and "<|" not in w for w in fresh]
-            others = list(compress(fresh, map(not_, simple)))
-            self._keep(self.words, dict(zip(others, self._encode(others))))
-            plain = list(compress(fresh, simple))
-            joined = "\n".join(plain)
-        found = _RUNS.findall(joined.lower())
-        new = self._fresh(set(found) - {"\n"}, self.runs, self.state.old_runs)
-        if new:
-            self._keep(self.runs, dict(zip(new, self._encode(new))))
-        known, entries, own = self.runs, {}, []
-        words = iter(plain)
-        for run in found:
-            if run == "\n":
-                entries[next(words)] = b"".join(own)
-                own = []
-            else:
-                own.append(known[run])
-        for word in words:  # the last one
-            entries[word] = b"".join(own)
-        self._keep(self.words, entries)
+        if new := list(fresh.difference(again)):
+            self._keep(memory, dict(zip(new, self._encode(new))))
 
     def texts(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text; the new words of all of them are learned together."""
-        if self.state.held > MEMORY // 2:
-            self.state.old_words, self.state.old_runs = self.state.words, self.state.runs
-            self.state.words, self.state.runs, self.state.held = {}, {}, 0
+        """Ids of each text; the new parts of all of them are learned together."""
+        state = self.state
+        if state.held > MEMORY // 2:
+            state.old_words, state.old_runs = state.words, state.runs
+            state.words, state.runs, state.held = {}, {}, 0
         odd = [any(c in t for c in _SEPARATORS) for t in texts]
-        pieces = [() if o else t.split() for t, o in zip(texts, odd)]
-        fresh = self._fresh(set(chain.from_iterable(pieces)), self.words, self.state.old_words)
-        if fresh:
-            self._learn(fresh)
-        known = self.words.__getitem__
-        return [self._encode([t])[0] if o else b"".join(map(known, p)) for t, o, p in zip(texts, odd, pieces)]
+        plain = [not o and "<|" not in t and bool(_LATIN.fullmatch(t)) for t, o in zip(texts, odd)]
+        parts = [_RUNS.findall(t.lower()) if p else () if o else t.split() for t, o, p in zip(texts, odd, plain)]
+        self._learn(list(compress(parts, plain)), state.runs, state.old_runs)
+        self._learn(list(compress(parts, map(not_, plain))), state.words, state.old_words)
+        run, word = state.runs.__getitem__, state.words.__getitem__
+        return [
+            self._encode([t])[0] if o else b"".join(map(run if p else word, own))
+            for t, o, p, own in zip(texts, odd, plain, parts)
+        ]
 
     def __call__(self, text: str) -> bytes:
         return self.texts([text])[0]

@@ -220,3 +220,17 @@ def test_words_that_come_again_outlive_the_memory_of_others(monkeypatch):
     finally:
         packing.sys.modules.pop(packing.WORKER_MEMORY, None)
 
+
+
+def test_parts_of_texts_are_remembered_once_with_any_neighbours(monkeypatch):
+    """Runs, not words with their punctuation, are encoded; ids stay those of the library."""
+    path = vocabulary(WORD_VOCABULARY)
+    monkeypatch.setitem(packing.sys.modules, packing.WORKER_MEMORY, packing.SimpleNamespace(by_path={}))
+    encode = packing.WordEncoder(path)
+    letters = [f"{a}{b}é" for a in "abcdefg" for b in "hijklmn"]
+    ends = [",", ".", "!", "!?", "%%%", "-", ";"]
+    texts = [" ".join(w + e for w in letters for e in ends), "Don't  don 't x'\tS", "İ ǅ ß\u0085'll", "  a", "日本, a日", "<| a |>", " ", ""]
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert list(np.frombuffer(encode.texts(texts[:1])[0], "<u4")) == want[0]
+    assert len(encode.state.words) + len(encode.state.runs) == len(letters) + len(ends)
+    assert [list(np.frombuffer(f, "<u4")) for f in encode.texts(texts)] == want
