@@ -17,6 +17,7 @@ are one document as to links, also with different texts. Rows that repeat id and
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -144,7 +145,7 @@ def frequency_levels(docs: DataFrame) -> np.ndarray:
     """For each slot of shingles log2 of the documents that hold its most frequent shingle; 0 below ``LEAST_COUNT``.
 
     Counts cover every shingle of every set. Workers sum up their shingles before the shuffle; what reaches the driver is
-    ``SLOTS`` bytes at any size of input.
+    ``SLOTS`` bytes at any size of input, deflated.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,14 +162,14 @@ def frequency_levels(docs: DataFrame) -> np.ndarray:
 
     def fill(rows: pa.Table) -> pa.Table:
         own = slice_levels(rows)
-        found = [own.tobytes()] if own.any() else []
+        found = [zlib.compress(own, 1)] if own.any() else []
         part = rows.column("slice").slice(0, len(found)).combine_chunks()
         return pa.table({"slice": part, "levels": pa.array(found, pa.binary())})
 
     packed = docs.select("text").mapInArrow(count, "slice int, gaps binary, counts binary")
     out = np.zeros(SLOTS, np.uint8)
     for r in packed.groupBy("slice").applyInArrow(fill, "slice int, levels binary").collect():
-        out[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["levels"], np.uint8)
+        out[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(zlib.decompress(r["levels"]), np.uint8)
     return out
 
 
@@ -192,10 +193,14 @@ def chosen_matches(frequency: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """(token, id, mark) of every prefix entry; ``mark`` packs set size, position, matches asked for, frequent."""
+    """(token, id, mark) of every prefix entry; ``mark`` packs set size, position, matches asked for, frequent.
+
+    The levels are sent to the tasks deflated: most slots are 0.
+    """
+    packed = zlib.compress(levels, 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher(lower=True)
+        hasher, levels = WordHasher(lower=True), np.frombuffer(zlib.decompress(packed), np.uint8)
         for batch in batches:
             ids = batch.column("id").to_numpy(zero_copy_only=False)
             for chunk in chunks(batch.column("text")):
@@ -285,10 +290,18 @@ def _shared(met: DataFrame) -> DataFrame:
     )
 
 
+def _looked_up(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows with ``MAYBE``, false where their id is surely not among the keys.
+
+    The filter is stored: rows that are read several times would each time bring the plan that makes it.
+    """
+    bits = filter_bits(keys.count())
+    return with_maybe(rows, "id", cut(member_filter(keys, key, bits), "filter"), bits)
+
+
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Documents whose id may be among ``ids``: the others are not shuffled for the join that follows."""
-    bits = filter_bits(ids.count())
-    return with_maybe(docs, "id", member_filter(ids, "id", bits), bits).where(MAYBE).drop(MAYBE)
+    return _looked_up(docs, ids, "id").where(MAYBE).drop(MAYBE)
 
 
 def slices(batch: pa.RecordBatch, names: tuple[str, ...], most: int = TOGETHER_BYTES) -> Iterator[pa.RecordBatch]:
@@ -505,7 +518,7 @@ def _by_set(rows: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame, boo
     if not n:
         return rows, sets, False
     bits = filter_bits(n)
-    member = member_filter(several, "__id", bits)
+    member = cut(member_filter(several, "__id", bits), "filter")
 
     def renamed(looked: DataFrame, keyed: DataFrame) -> DataFrame:
         own = F.when(F.col("__id").isNotNull(), F.xxhash64("doc", "key1", "key2")).otherwise(F.col("doc"))
@@ -552,8 +565,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     # Only the head of each class is joined; the others are looked up by a filter, not by a shuffle of all texts.
     later = cut(named.where(F.col("id") != F.col("head")).select("id").distinct(), "later")
-    bits = filter_bits(later.count())
-    looked = with_maybe(rows.where(F.col("id").isNotNull()), "id", member_filter(later, "id", bits), bits)
+    looked = _looked_up(rows.where(F.col("id").isNotNull()), later, "id")
     checked = looked.where(MAYBE).join(later.select(F.col("id").alias("__later")), F.col("id") == F.col("__later"), "left_anti")
     classes = looked.where(~F.col(MAYBE)).unionByName(checked).select("id", "text")
     links = linked(classes)
@@ -577,8 +589,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents that stay, with their columns: of each component the one with the smallest id."""
     found = near_duplicates(docs.select("doc_id", "text"))
     gone = cut(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone")).distinct(), "gone")
-    bits = filter_bits(gone.count())
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    looked = with_maybe(rows, "id", member_filter(gone, "gone", bits), bits)
+    looked = _looked_up(rows, gone, "gone")
     checked = looked.where(MAYBE).join(gone, F.col("id") == F.col("gone"), "left_anti")
     return looked.where(~F.col(MAYBE)).unionByName(checked).select("doc.*")

@@ -194,6 +194,21 @@ def test_levels_count_every_shingle_of_every_set(spark, monkeypatch, together):
     assert expected.any() and (ngram_join.frequency_levels(_docs(spark, rows)) == expected).all()
 
 
+def test_the_driver_sends_few_bytes_and_short_plans(spark, monkeypatch):
+    """Levels go to the tasks deflated, and no plan holds how a filter is made."""
+    import numpy as np
+    from pyspark.cloudpickle import dumps
+
+    docs, sent = _docs(spark, _corpus()), []
+    frame = type(docs)
+    monkeypatch.setattr(frame, "mapInArrow", lambda df, run, schema: sent.append(len(dumps(run))))
+    ngram_join.prefixes(docs.withColumnRenamed("doc_id", "id"), np.zeros(ngram_join.SLOTS, np.uint8))
+    assert sent[0] < 2**20
+    monkeypatch.undo()
+    plan = ngram_join._only(docs.withColumnRenamed("doc_id", "id"), docs.select(F.col("doc_id").alias("id")))
+    assert "bitmap_construct_agg" not in plan._jdf.queryExecution().toString()
+
+
 def test_one_of_each_component_stays_with_its_columns(spark):
     rows = _corpus()
     docs = _clashing(_docs(spark, rows))
