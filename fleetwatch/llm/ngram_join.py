@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from fleetwatch.llm.components import components
 from fleetwatch.llm.exact_dedup import MAYBE, filter_bits, member_filter, with_maybe
-from fleetwatch.llm.words import Chunk, WordHasher, chunks, mix, windows, words_of
+from fleetwatch.llm.words import Chunk, WordHasher, chunks, mix, tidy, windows, words_of
 from fleetwatch.session import cut
 
 WORDS, PERCENT = 5, 75
@@ -94,7 +94,7 @@ def profile(docs: DataFrame) -> DataFrame:
                 columns = [batch.column("id"), *(pa.array(np.concatenate(c)) for c in zip(*found))]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "key1", "key2"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, n long, key1 long, key2 long")
+    return docs.select("id", "text").mapInArrow(tidy(run), "id long, n long, key1 long, key2 long")
 
 
 def packed_counts(value: np.ndarray) -> pa.RecordBatch:
@@ -166,7 +166,7 @@ def frequency_levels(docs: DataFrame) -> np.ndarray:
         part = rows.column("slice").slice(0, len(found)).combine_chunks()
         return pa.table({"slice": part, "levels": pa.array(found, pa.binary())})
 
-    packed = docs.select("text").mapInArrow(count, "slice int, gaps binary, counts binary")
+    packed = docs.select("text").mapInArrow(tidy(count), "slice int, gaps binary, counts binary")
     out = np.zeros(SLOTS, np.uint8)
     for r in packed.groupBy("slice").applyInArrow(fill, "slice int, levels binary").collect():
         out[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(zlib.decompress(r["levels"]), np.uint8)
@@ -225,7 +225,7 @@ def prefixes(docs: DataFrame, levels: np.ndarray) -> DataFrame:
                 )
             pa.default_memory_pool().release_unused()
 
-    return docs.select("id", "text").mapInArrow(run, "token long, id long, mark long")
+    return docs.select("id", "text").mapInArrow(tidy(run), "token long, id long, mark long")
 
 
 def _size(mark: Column) -> Column:
@@ -340,7 +340,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
             pa.default_memory_pool().release_unused()
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(tidy(run), "a long, b long")
 
 
 def linked(classes: DataFrame) -> DataFrame:
@@ -547,7 +547,7 @@ def _with_keys(rows: DataFrame) -> DataFrame:
                 columns = [own.column("doc"), own.column("text"), pa.array(key1), pa.array(key2)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc", "text", "key1", "key2"])
 
-    return rows.select("doc", "text").mapInArrow(run, "doc long, text string, key1 long, key2 long")
+    return rows.select("doc", "text").mapInArrow(tidy(run), "doc long, text string, key1 long, key2 long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetwatch.llm.exact_dedup import MAYBE, filter_bits, member_filter, with_maybe
-from fleetwatch.llm.words import WordHasher, chunks, mix, windows, within, words_of
+from fleetwatch.llm.words import WordHasher, chunks, mix, tidy, windows, within, words_of
 from fleetwatch.session import cut
 
 SPAN, GRAM = 20, 8
@@ -128,7 +128,7 @@ def seed(docs: DataFrame) -> DataFrame:
                     names=["anchor", "stretch", "id", "place", "n", "shift", "repeats"],
                 )
 
-    return docs.mapInArrow(run, ANCHORS)
+    return docs.mapInArrow(tidy(run), ANCHORS)
 
 
 def _compare_windows(docs: DataFrame, differing: DataFrame) -> DataFrame:
@@ -171,7 +171,7 @@ def _compare_windows(docs: DataFrame, differing: DataFrame) -> DataFrame:
 
     wanted = _only_of(docs, held, "__id").join(held, F.col("id") == F.col("__id"))
     return wanted.select("id", "row", "text", "held").mapInArrow(
-        run, "anchor long, window long, id long, place long, repeats boolean"
+        tidy(run), "anchor long, window long, id long, place long, repeats boolean"
     )
 
 
@@ -280,7 +280,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         "repeats array<struct<first: long, n: long>>"
     )
     both = hit.select("id", "row", "text", "flags").unionByName(clear.select("id", "row", "text", "flags"))
-    return both.mapInArrow(run, result)
+    return both.mapInArrow(tidy(run), result)
 
 
 def _kept(text: str, flags, row: int) -> tuple[list[bytes], list[bytes], list[tuple[int, int]]]:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from fleetwatch.llm.labelled import distinct_sample, remainder, teaching_rows
 from fleetwatch.llm.logistic import fit, sigmoid
-from fleetwatch.llm.words import release_worker_memory
+from fleetwatch.llm.words import hand_back, release_worker_memory, tidy
 from fleetwatch.session import cut
 
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.5
@@ -234,7 +234,7 @@ def word_beginnings(docs: DataFrame) -> DataFrame:
 
     return (
         docs.select("text", "label")
-        .mapInArrow(count, "term string, toxic long, n long")
+        .mapInArrow(tidy(count), "term string, toxic long, n long")
         .groupBy("term")
         .agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
     )
@@ -299,7 +299,7 @@ def learn_weights(docs: DataFrame, entries: list[str]) -> dict[tuple[int, int],
 
     rows = (
         docs.select("text", "label")
-        .mapInArrow(hits, "entry long, edits long, toxic long, n long")
+        .mapInArrow(tidy(hits), "entry long, edits long, toxic long, n long")
         .groupBy("entry", "edits")
         .agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
         .collect()
@@ -327,7 +327,7 @@ def _feature_rows(docs: DataFrame, lexicon: Lexicon, extra: str) -> DataFrame:
                 [*(batch.column(c) for c in names), pa.array(rows, pa.list_(pa.float64()))], names=[*names, "f"]
             )
 
-    return docs.select(*names, "text").mapInArrow(run, f"{extra}, f array<double>")
+    return docs.select(*names, "text").mapInArrow(tidy(run), f"{extra}, f array<double>")
 
 
 def learn(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Model:
@@ -376,5 +376,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in texts:
             f = [lexicon.features(*scanner.hits(t or "")) for t in batch]
             yield pd.Series(sigmoid(np.array(f).reshape(-1, FEATURES) @ coefficients) < THRESHOLD)
+        del scanner
+        hand_back()
 
     return docs.where(clean("text"))

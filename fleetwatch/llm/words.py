@@ -9,8 +9,9 @@ from __future__ import annotations
 import ctypes
 import gc
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -29,16 +30,33 @@ _BASE = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd multipliers of the two h
 WORKER_MEMORY = "_corpus_worker_memory"
 
 
-def release_worker_memory() -> None:
-    """Drop what operators keep in this Python worker; workers pass from one operator to the next.
+Batches = Iterator[pa.RecordBatch]
 
-    The C library keeps freed memory unless it is told to hand it back.
-    """
+
+def hand_back() -> None:
+    """Give freed memory to the system: Arrow and the C library keep it unless they are told."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def release_worker_memory() -> None:
+    """Drop what operators keep in this Python worker; workers pass from one operator to the next."""
     if sys.modules.pop(WORKER_MEMORY, None) is not None:
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-            libc.malloc_trim(0)
+        hand_back()
+
+
+def tidy(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """The function of a task, which drops what other operators kept and leaves no freed memory to an idle worker."""
+
+    @wraps(run)
+    def whole(batches: Batches) -> Batches:
+        release_worker_memory()
+        yield from run(batches)
+        hand_back()
+
+    return whole
 
 
 def mix(x: np.ndarray) -> np.ndarray:

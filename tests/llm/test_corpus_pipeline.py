@@ -7,11 +7,13 @@ import random
 import re
 import subprocess
 import sys
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from fleetwatch.llm import exact_dedup
+from fleetwatch.llm import exact_dedup, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ROOT = os.path.dirname(os.path.abspath(corpus_pipeline.__file__))
@@ -127,3 +129,32 @@ def test_entry_point_works_without_the_package(tmp_path):
     shutil.copy(f"{ROOT}/__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert q and 'pipeline' not in q and not set(e.oracle_sql()) - set(q)"
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": ""}, check=True)
+
+
+def test_idle_workers_keep_no_memory_of_other_operators(monkeypatch):
+    """What packing keeps in a Python worker goes when another operator's task begins; freed memory goes back at its end."""
+    seen = []
+    monkeypatch.setitem(words.sys.modules, words.WORKER_MEMORY, SimpleNamespace(by_path={}))
+    monkeypatch.setattr(words, "hand_back", lambda: seen.append("back"))
+    run = words.tidy(lambda batches: (seen.append(words.WORKER_MEMORY in words.sys.modules) or b for b in batches))
+    assert list(run(iter([1, 2]))) == [1, 2]
+    assert seen == ["back", False, False, "back"]
+
+
+def test_stages_send_small_batches_to_python(spark):
+    """The texts of a task are not one Arrow batch; a smaller setting stays as it is."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([len(b)], pa.int64())})
+
+    docs = spark.range(6000).selectExpr("id as doc_id", "'a b' as text").coalesce(1)
+    try:
+        for rows, want in ((10_000, 2000), (0, 2000), (500, 500)):
+            spark.conf.set(key, rows)
+            corpus_pipeline.drop_copies(spark, docs, "")
+            assert max(r["n"] for r in docs.mapInArrow(sizes, "n long").collect()) == want
+    finally:
+        spark.conf.set(key, before)
