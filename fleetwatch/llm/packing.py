@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetwatch.llm.words import SLICE_ROWS, WORKER_MEMORY, hand_back
+from fleetwatch.llm.words import WORKER_MEMORY, hand_back
 from fleetwatch.session import cut
 
 LENGTH, WIDTH, END_ID = 4096, 16, 2
@@ -37,7 +37,7 @@ GAP = 1e-3  # of the linear program to its bound
 GROUP_ROWS = 100_000  # of pieces that one task ranks
 MEMORY = 96 << 20  # bytes of words and ids that a worker keeps, with ``ENTRY`` for each entry itself
 ENTRY = 150
-CHUNK = 1 << 18  # characters of texts whose new words are learned together
+CHUNK = 1 << 20  # characters of texts whose new words are learned together
 BATCH = 4096  # words that the tokenizer encodes at a time; what it returns is some hundred times their size
 # The pattern of the vocabulary, for lower-case words of Latin letters.
 _LETTER, _NUMBER = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -139,7 +139,7 @@ def cut_documents(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = WordEncoder(path)
         end = np.array([END_ID], "<u4").tobytes()
-        for batch in (b.slice(i, SLICE_ROWS) for b in batches for i in range(0, len(b), SLICE_ROWS)):
+        for batch in batches:
             rows = []
             encoded = chain.from_iterable(map(encode.texts, _chunks(batch.column("text").to_pylist())))
             for doc_id, found in zip(batch.column("doc_id").to_pylist(), encoded):
